@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from checks.registry import STEPS, query
 from checks.views import AS_OF
-from stowage.functions.numeric import inverse_normal
 from stowage.operators import classify, demand
 
 STEPS["o_prepared"] = """
@@ -170,8 +169,3 @@ def _(t):
         "service_level_hint",
     )
 
-
-@query("inverse_normal")
-def _(t):
-    share = F.lit(0.5) + F.lit(0.4999) * F.col("l_discount") / 0.1
-    return t.lineitem.select("l_orderkey", "l_linenumber", share.alias("p"), inverse_normal(share).alias("z"))

@@ -1,0 +1,130 @@
+"""Replenishment orders and the planning chain (M1-M7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.demand import weekly
+from checks.forecasts import planned
+from checks.registry import STEPS, query
+from checks.views import AS_OF
+from stowage.operators import demand, mrp, safety
+from stowage.params import KEYS, OrderParams
+from stowage.plans.planning import plan_orders
+
+DOUBLES = "forecast_in_lead net_requirement available in_transit dynamic_safety final_safety"
+# A learned lead time for two thirds of the items.
+STEPS["o_learned_leads"] = """
+SELECT item, warehouse, CAST(lead_days + LENGTH(item) AS DOUBLE) AS p60_lead, CASE WHEN warehouse = '5' THEN 'Air' ELSE 'Vessel' END AS mode
+FROM item_warehouse WHERE lead_days % 3 <> 1"""
+
+
+def order_sql(prefix: str, base: str, weeks: str, days: str, mode: str, algorithm: str, lots: str = "qty", zero: bool = False) -> str:
+    """Orders from keys with safety stock, step by step."""
+    STEPS[f"{prefix}_need"] = f"""
+SELECT b.item, b.warehouse, b.moq, b.lot, {days} AS lead_days, {mode} AS mode, b.activity_level, b.demand_type, b.dynamic_safety, b.final_safety,
+  b.available, b.in_transit, f.total AS forecast_in_lead, f.total + b.final_safety - b.available - b.in_transit AS net_requirement
+FROM {base} b JOIN (SELECT b.item, b.warehouse, SUM(f.forecast) AS total FROM {base} b JOIN o_forecast f
+  ON f.item = b.item AND f.warehouse = b.warehouse AND f.k <= {weeks} GROUP BY b.item, b.warehouse) f
+  ON f.item = b.item AND f.warehouse = b.warehouse"""
+    STEPS[f"{prefix}_sized"] = f"""
+SELECT n.*, CAST(round_even(CASE WHEN net_requirement > 0 THEN {lots} ELSE 0 END, 0) AS BIGINT) AS recommended_qty
+FROM (SELECT *, greatest(net_requirement, moq, 1) AS qty FROM {prefix}_need) n"""
+    kept = "" if zero else "WHERE recommended_qty > 0"
+    return f"""
+SELECT item, warehouse, CAST(moq AS INTEGER) AS moq, mode, CAST(lead_days AS INTEGER) AS lead_days, available, in_transit, demand_type, activity_level,
+  forecast_in_lead, dynamic_safety, final_safety, net_requirement, recommended_qty,
+  CASE WHEN recommended_qty > 0 AND available < in_transit THEN 'Replenish & On-Demand'
+    WHEN activity_level IN ('Dormant', 'Inactive') AND net_requirement > 0 AND forecast_in_lead < 1e-5 THEN 'SafetyStockTopUp'
+    WHEN activity_level IN ('Dormant', 'Inactive') AND available + in_transit < 0 THEN 'On-Demand'
+    WHEN recommended_qty > 0 THEN 'Replenish' END AS order_reason, '{algorithm}' AS algorithm FROM {prefix}_sized {kept}"""
+
+
+STEPS["o_stocked"] = """
+SELECT s.*, l.moq, l.lot, l.lead_days, COALESCE(k.available, 0) AS available, COALESCE(k.in_transit, 0) AS in_transit FROM o_static_safety s
+JOIN o_levels l ON l.item = s.item AND l.warehouse = s.warehouse LEFT JOIN o_stock k ON k.item = s.item AND k.warehouse = s.warehouse"""
+STEPS["o_stocked_learned"] = """
+SELECT s.*, CAST(floor(d.p60_lead) AS INTEGER) AS smart_days, d.mode AS smart_mode FROM o_stocked s
+JOIN o_learned_leads d ON d.item = s.item AND d.warehouse = s.warehouse"""
+STATIC_WEEKS = "greatest(1, CAST(round_even(b.lead_days / 7.0, 0) AS INTEGER))"
+SMART_WEEKS = "greatest(1, b.smart_days // 7)"
+STEPS["o_static_orders"] = order_sql("o_s", "o_stocked", STATIC_WEEKS, "b.lead_days", "'Default'", "Static")
+STEPS["o_dynamic_orders"] = order_sql("o_d", "o_stocked_learned", SMART_WEEKS, "b.smart_days", "b.smart_mode", "Dynamic")
+
+
+def stocked(t):
+    universe = demand.item_universe(weekly(t), t.item_warehouse)
+    stock = demand.merge_parent_stock(t.stock, t.replacement, universe)
+    return safety.safety_stock(planned(t)).join(stock, list(KEYS), "left")
+
+
+def learned(t):
+    mode = F.when(F.col("warehouse") == "5", "Air").otherwise("Vessel")
+    return t.item_warehouse.where(F.col("lead_days") % 3 != 1).select(
+        *KEYS, (F.col("lead_days") + F.length("item")).cast("double").alias("p60_lead"), mode.alias("mode")
+    )
+
+
+def shown(orders):
+    return orders.select(
+        "item", "warehouse", "moq", "mode", "lead_days", "available", "in_transit", "demand_type", "activity_level",
+        "forecast_in_lead", "dynamic_safety", "final_safety", "net_requirement", "recommended_qty", "order_reason", "algorithm",
+    )
+
+
+@query(
+    "forecast_within_lead_time",
+    "SELECT item, warehouse, forecast_in_lead, net_requirement FROM o_s_need",
+    "forecast_in_lead net_requirement",
+)
+def _(t):
+    return mrp.static_orders(stocked(t), OrderParams(include_zero=True)).select(
+        "item", "warehouse", "forecast_in_lead", "net_requirement"
+    )
+
+
+@query("static_orders", "SELECT * FROM o_static_orders", DOUBLES)
+def _(t):
+    return shown(mrp.static_orders(stocked(t)))
+
+
+@query("dynamic_orders", "SELECT * FROM o_dynamic_orders", DOUBLES)
+def _(t):
+    return shown(mrp.dynamic_orders(stocked(t), learned(t)))
+
+
+@query(
+    "orders_in_nearest_lots",
+    order_sql("o_nl", "o_stocked", STATIC_WEEKS, "b.lead_days", "'Default'", "Static", "round_even(qty / lot, 0) * lot", zero=True),
+    DOUBLES,
+)
+def _(t):
+    return shown(mrp.static_orders(stocked(t), OrderParams(use_lots=True, include_zero=True)))
+
+
+@query(
+    "orders_in_full_lots",
+    order_sql("o_fl", "o_stocked", STATIC_WEEKS, "b.lead_days", "'Default'", "Static", "ceil(qty / lot) * lot"),
+    DOUBLES,
+)
+def _(t):
+    return shown(mrp.static_orders(stocked(t), OrderParams(use_lots=True, round_up_lots=True)))
+
+
+@query(
+    "static_and_dynamic_orders",
+    "SELECT * FROM o_static_orders UNION ALL SELECT * FROM o_dynamic_orders",
+    DOUBLES,
+)
+def _(t):
+    return shown(mrp.all_orders(stocked(t), learned(t)))
+
+
+def planning_run(t):
+    return plan_orders(weekly(t), t.item_master, t.item_warehouse, t.replacement, t.stock, AS_OF, learned(t))
+
+
+# The whole chain on merged demand. Its comparison re-reads the same steps over the merged series.
+@query("planning_run")
+def _(t):
+    return shown(planning_run(t))

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stowage.session import configure
+
 AS_OF = dt.date(2001, 8, 1)
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -251,7 +253,7 @@ class Tables:
     """The derived tables of one test folder, as lazy DataFrames by attribute."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = configure(spark)
         self._base = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in BASE_TABLES}
 
     def __getattr__(self, name: str) -> DataFrame:

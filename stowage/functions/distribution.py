@@ -8,56 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.functions.running import running_sum
-
-
-def magnitude(value: str) -> Column:
-    """A coarse, order-preserving level for continuous values: three leading binary digits or so."""
-    v = F.col(value)
-    size = F.floor(F.log2(F.abs(v)) * 8)
-    return F.when(v > 0, size + 20000).when(v < 0, -size - 20000).otherwise(F.lit(0)).cast("int")
-
 
 def describe(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
-    continuous: bool = False,
 ) -> DataFrame:
-    """Per group: samples, mean, std (sample), typical (most frequent, smallest on ties) and interpolated quantiles.
-
-    ``continuous`` splits groups by magnitude before cumulating, for values whose distinct count
-    has no bound.
-    """
+    """Per group: samples, mean, std (sample), typical (most frequent, smallest on ties) and interpolated quantiles."""
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    if continuous:
-        ranked = running_sum(counts, keys, magnitude("_v"), [F.col("_v")], "_before", "_total", F.col("_n"))
-        ranked = ranked.withColumn("_upto", F.col("_before") + F.col("_n"))
-        top = counts.groupBy(*keys).agg(
-            F.max("_n").alias("_top"),
-            (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("_mean"),
-        )
-        ranked = ranked.join(top, keys)
-    else:
-        group = Window.partitionBy(*keys)
-        upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counts.withColumns(
-            {
-                "_upto": F.sum("_n").over(upto),
-                "_total": F.sum("_n").over(group),
-                "_top": F.max("_n").over(group),
-                "_mean": F.sum(F.col("_n") * F.col("_v")).over(group) / F.sum("_n").over(group),
-            }
-        )
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns(
+        {
+            "_upto": F.sum("_n").over(upto),
+            "_total": F.sum("_n").over(group),
+            "_top": F.max("_n").over(group),
+            "_mean": F.sum(F.col("_n") * F.col("_v")).over(group) / F.sum("_n").over(group),
+        }
+    )
     aggregates = [
         F.max("_total").cast("long").alias("samples"),
         F.max("_mean").alias("mean"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,12 +61,23 @@ def mode_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def lookup(values: Mapping[str, object], key: Column) -> Column:
+    """The value of a constant text-keyed map; null for an unknown key. One small expression, whatever the map."""
+
+    def literal(value: object) -> str:
+        if isinstance(value, bool):
+            return str(value).lower()
+        if isinstance(value, float):
+            return f"double('{'Infinity' if value == INF else value}')"
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    entries = ", ".join(f"'{k}', {literal(v)}" for k, v in values.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
+
+
 def attribute(mode: Column, field: str) -> Column:
     """One attribute of a mode column; null for a name outside the dimension."""
-    chosen = F
-    for m in MODES:
-        chosen = chosen.when(mode == m.name, F.lit(getattr(m, field)))
-    return chosen
+    return lookup({m.name: getattr(m, field) for m in MODES}, mode)
 
 
 def move_allowed(source: str, target: str) -> bool:

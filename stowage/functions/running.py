@@ -76,6 +76,19 @@ def numbered(
     return running_sum(df, keys, level, order, position, size).withColumn(position, F.col(position) + 1)
 
 
+def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of several tables by column name.
+
+    Spark 4.1 may report a partitioning for a union that its rows do not have after adaptive
+    replanning; a window or grouping on top then misses its shuffle and counts wrongly. The setting
+    takes the union back to an unknown partitioning.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group. Spark limits every map task to one row per group before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.distribution import describe
 from stowage.functions.numeric import ratio
-from stowage.functions.running import first_rows, nulls_last
+from stowage.functions.running import first_rows, nulls_last, stacked
 from stowage.operators.leadtime import correct_modes, fallback_means, lead_time_ranges
 from stowage.operators.po import base_line, number_sublines
 
 GROUP = ("vendor", "mode", "warehouse", "item")
 
 
-def delivery_records(
+def combined_deliveries(
     history: DataFrame, in_transit: DataFrame, stats: DataFrame | None = None, tolerance: float = 2
 ) -> DataFrame:
-    """A4: finished and invoiced open deliveries in one shape, with corrected mode and unified sub-lines."""
+    """A4: finished and invoiced open deliveries in one shape, with corrected mode."""
     ranges = lead_time_ranges(stats, fallback_means(history))
     corrected = correct_modes(history, ranges, tolerance, courier_to_air=True)
     shape = ["ponum", "poline", "item", "vendor", "warehouse", "ordered_qty"]
@@ -38,7 +37,15 @@ def delivery_records(
         F.lit("GIT").alias("source"),
         F.lit("N").alias("is_closed"),
     )
-    numbered = number_sublines(done.unionByName(moving), ("invoice_date", "delivery_date"), out="unified_poline")
+    return stacked(done, moving)
+
+
+def delivery_records(
+    history: DataFrame, in_transit: DataFrame, stats: DataFrame | None = None, tolerance: float = 2
+) -> DataFrame:
+    """A4: the combined deliveries with unified sub-lines, base line and split flag."""
+    combined = combined_deliveries(history, in_transit, stats, tolerance)
+    numbered = number_sublines(combined, ("invoice_date", "delivery_date"), out="unified_poline")
     based = numbered.withColumn("base_poline", base_line())
     sizes = based.groupBy("ponum", "base_poline").agg((F.count(F.lit(1)) > 1).alias("is_split"))
     return based.join(sizes, ["ponum", "base_poline"], "left").select(*numbered.columns, "base_poline", "is_split")
@@ -47,7 +54,8 @@ def delivery_records(
 def delivery_behaviour(records: DataFrame, closed_only: bool = True) -> DataFrame:
     """A5: how a vendor splits deliveries of an item: from invoice dates to order lines to groups.
 
-    An order line takes vendor, mode, warehouse and item from its first row.
+    Takes the combined deliveries or the numbered records. An order line takes vendor, mode,
+    warehouse and item from its first row.
     """
     rows = records.where(F.col("is_closed") == "Y") if closed_only else records
     rows = rows.withColumn("_base", base_line())
@@ -84,7 +92,7 @@ def delivery_behaviour(records: DataFrame, closed_only: bool = True) -> DataFram
     def mean_if(condition: Column, value: str, otherwise: float) -> Column:
         return F.coalesce(F.avg(F.when(condition, F.col(value))), F.lit(otherwise))
 
-    habits = known.groupBy(*GROUP).agg(
+    return known.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("total_pos"),
         F.avg((count > 1).cast("double")).alias("split_rate"),
         mean_if(count > 1, "_batches", 1.0).alias("avg_batch_count"),
@@ -92,9 +100,9 @@ def delivery_behaviour(records: DataFrame, closed_only: bool = True) -> DataFram
         mean_if(F.col("_spread") > 0, "_spread", 0.0).alias("avg_spread_days"),
         mean_if(F.col("_interval") > 0, "_interval", 0.0).alias("avg_interval_days"),
         F.avg("_tail_share").alias("avg_tail_share"),
+        # Keeps a count per distinct quantity, not per order line, and is combined before the shuffle.
+        F.percentile("_largest", F.lit(0.9)).alias("max_batch_qty"),
     )
-    largest = describe(known, GROUP, "_largest", {"max_batch_qty": 0.9}, continuous=True)
-    return habits.join(largest.select(*GROUP, "max_batch_qty"), list(GROUP))
 
 
 def batch_profile(behaviour: DataFrame) -> DataFrame:

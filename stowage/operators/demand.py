@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.numeric import half_even
-from stowage.functions.running import first_rows
+from stowage.functions.running import first_rows, stacked
 from stowage.functions.weeks import history_label, monday, monday_of, next_weeks, parse_week, week_label, week_number
 from stowage.params import KEYS
 
@@ -70,7 +70,7 @@ def merge_parent_demand(weekly: DataFrame, links: DataFrame, universe: DataFrame
         .groupBy(F.col("parent").alias("item"), "warehouse")
         .agg(F.min("child").alias("_child"))
     )
-    items = universe.select("item").unionByName(redirect.select("item")).distinct()
+    items = stacked(universe.select("item"), redirect.select("item")).distinct()
     places = universe.select("warehouse").distinct()
     return (
         weekly.join(items, "item", "left_semi")
@@ -97,7 +97,7 @@ def merge_parent_stock(stock: DataFrame, links: DataFrame, universe: DataFrame)
         return half_even(F.coalesce(F.sum(name), F.lit(0.0)), 2)
 
     return (
-        own.unionByName(borrowed)
+        stacked(own, borrowed)
         .join(held, ["_source", "warehouse"], "left")
         .groupBy("item", "warehouse")
         .agg(total("available").alias("available"), total("on_order").alias("in_transit"))
@@ -125,7 +125,7 @@ def item_universe(weekly: DataFrame, item_warehouse: DataFrame) -> DataFrame:
     """Keys with demand or with a manual safety stock."""
     demand = weekly.select(*KEYS)
     safety = item_warehouse.where(F.col("safety") > 0).select(*KEYS)
-    return demand.unionByName(safety).distinct()
+    return stacked(demand, safety).distinct()
 
 
 def master_data(universe: DataFrame, items: DataFrame, item_warehouse: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.modes import mode_of_code, static_days, vendor_type
-from stowage.functions.running import first_rows, nulls_last, numbered
+from stowage.functions.running import first_rows, nulls_last, numbered, stacked
 from stowage.operators.po import number_sublines, repair_truck_days, stage_days
 from stowage.sources.readers import digits_to_date
 
@@ -449,7 +449,7 @@ def in_transit_lines(
             F.col("PCMT").alias("comment"),
         )
     )
-    return sent.unionByName(local).withColumn("mode", mode_of_code(F.col("transport_code")))
+    return stacked(sent, local).withColumn("mode", mode_of_code(F.col("transport_code")))
 
 
 def open_orders(orders: DataFrame, headers: DataFrame, params: OrderExtract = OrderExtract()) -> DataFrame:

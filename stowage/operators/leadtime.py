@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.distribution import describe, smoothed
-from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, move_allowed, move_penalty
+from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, lookup, move_allowed, move_penalty
 from stowage.functions.numeric import is_true
 from stowage.functions.running import first_rows
 from stowage.operators.po import base_line
@@ -88,10 +88,7 @@ def _allowed(group: Column, target: str) -> Column:
 
 
 def _penalty(group: Column, target: str) -> Column:
-    chosen = F
-    for g in sorted(GROUPS):
-        chosen = chosen.when(group == g, F.lit(move_penalty(g, target)))
-    return chosen
+    return lookup({g: move_penalty(g, target) for g in sorted(GROUPS)}, group)
 
 
 def predicted_mode(days: Column, tolerance: float, fallback_for_candidates: bool = True) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.numeric import ratio
+from stowage.functions.running import stacked
 from stowage.functions.weeks import as_of_column
 
 ORDER_LINE = ("lord", "lline", "warehouse")
@@ -72,7 +73,7 @@ def mark_order_changes(
             ).otherwise(F.col("reason")),
         }
     ).select(*raw.columns)
-    return marked.unionByName(raw.where(F.col("is_changed") != 0))
+    return stacked(marked, raw.where(F.col("is_changed") != 0))
 
 
 def safety_transfers(item_warehouse: DataFrame, links: DataFrame) -> DataFrame:

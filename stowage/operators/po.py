@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.numeric import is_true
-from stowage.functions.running import dated, first_rows, nulls_last, numbered
+from stowage.functions.running import dated, first_rows, nulls_last, numbered, stacked
 from stowage.functions.weeks import as_of_column
 
 PO_LINE = ("ponum", "poline")
@@ -98,7 +98,7 @@ def add_tail_lines(df: DataFrame, keys: Sequence[str] = PO_LINE) -> DataFrame:
         .withColumn("remaining_qty", F.when(is_true(F.col("_tailed")), 0.0).otherwise(F.col("remaining_qty")))
         .select(*df.columns)
     )
-    return originals.unionByName(virtual.select(*df.columns))
+    return stacked(originals, virtual.select(*df.columns))
 
 
 def number_sublines(

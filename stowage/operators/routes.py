@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.running import stacked
 from stowage.params import KEYS
 
 # Stand-ins for a route without statistics.
@@ -37,12 +38,13 @@ def candidate_routes(
     routes = used
     if vendor_paths:
         defaults = keys.join(items.select("item", "vendor"), "item").where(F.col("vendor").isNotNull())
-        partners = used.select(*KEYS, "vendor").unionByName(defaults.select(*KEYS, "vendor")).distinct()
+        partners = stacked(used.select(*KEYS, "vendor"), defaults.select(*KEYS, "vendor")).distinct()
         measured = stats.select("vendor", "warehouse", "mode").distinct()
         listed = vendors.where(F.col("is_active") == "Y").select("vendor", "mode").distinct()
-        routes = (
-            used.unionByName(partners.join(measured, ["vendor", "warehouse"]).select(*ROUTE))
-            .unionByName(partners.join(listed, "vendor").select(*ROUTE))
+        routes = stacked(
+            used,
+            partners.join(measured, ["vendor", "warehouse"]).select(*ROUTE),
+            partners.join(listed, "vendor").select(*ROUTE),
         )
     active = vendors.where(F.col("is_active") == "Y").select("vendor", "mode", "static_days")
     figures = stats.select("vendor", "warehouse", "mode", F.col(lead).alias("_days"), "cost_per_kg")

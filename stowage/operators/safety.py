@@ -149,15 +149,11 @@ def dynamic_safety_stock(items: DataFrame, params: SafetyParams = SafetyParams()
     An optional ``lead_weeks_hint`` column is used before the master lead time.
     """
     learned = F.greatest(F.lit(1), F.floor(F.col("smart_days") / 7).cast("int"))
-    hint = (
-        F.greatest(F.lit(1), F.rint("lead_weeks_hint").cast("int"))
-        if "lead_weeks_hint" in items.columns
-        else F.lit(None).cast("int")
-    )
-    weeks = F.coalesce(
-        F.when(F.col("smart_days") > 0, learned),
-        F.when(F.lit("lead_weeks_hint" in items.columns), hint),
-        lead_weeks(F.col("lead_days"), params),
+    known = F.col("lead_weeks_hint") if "lead_weeks_hint" in items.columns else F.lit(None).cast("double")
+    weeks = (
+        F.when(F.col("smart_days") > 0, learned)
+        .when(known.isNotNull(), F.greatest(F.lit(1), F.rint(known).cast("int")))
+        .otherwise(lead_weeks(F.col("lead_days"), params))
     )
     level = service_level(F.col("cost"), F.col("smart_days"), F.col("cv"), params.service_level)
     return _sized(items, F.col("demand_type"), _cold(), weeks, level, params)

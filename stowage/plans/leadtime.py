@@ -6,9 +6,10 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from stowage.operators.delivery import batch_profile, delivery_behaviour, delivery_records
+from stowage.operators.delivery import batch_profile, combined_deliveries, delivery_behaviour
 from stowage.operators.freight import analyse_freight, with_freight_cost
 from stowage.operators.leadtime import prepare_stats, smart_lead_times, transport_preference, transport_stats
+from stowage.session import cut_lineage
 
 
 class LeadTimes(NamedTuple):
@@ -33,12 +34,12 @@ def analyse_lead_times(
     """Transport, preparation, preference, behaviour, profile, smart lead time, freight.
 
     ``previous`` holds the transport statistics of the last run. The freight figures come back on
-    the transport statistics as well.
+    the transport statistics as well. Results that several later steps read are materialised once.
     """
-    transport = transport_stats(deliveries, previous)
-    prepare = prepare_stats(deliveries)
-    preference = transport_preference(deliveries, transport)
-    behaviour = delivery_behaviour(delivery_records(deliveries, in_transit, transport))
+    transport = cut_lineage(transport_stats(deliveries, previous))
+    prepare = cut_lineage(prepare_stats(deliveries))
+    preference = cut_lineage(transport_preference(deliveries, transport))
+    behaviour = cut_lineage(delivery_behaviour(combined_deliveries(deliveries, in_transit, transport)))
     smart = smart_lead_times(preference, prepare, transport, vendors)
     freight = analyse_freight(charges, rates, vendors, base_currency)
     return LeadTimes(

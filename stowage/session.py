@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # See stowage.functions.running.stacked.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
