@@ -51,7 +51,9 @@ def describe(
         low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
         high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
         share = F.max(place - F.floor(place))
-        aggregates.append((low + (high - low) * share).alias(name))
+        # From the nearer end, which keeps tenths exact.
+        near_low, near_high = low + (high - low) * share, high - (high - low) * (1 - share)
+        aggregates.append(F.when(share < 0.5, near_low).otherwise(near_high).alias(name))
     return ranked.groupBy(*keys).agg(*aggregates)
 
 

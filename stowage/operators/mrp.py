@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.numeric import is_true
+from stowage.functions.numeric import is_true, whole
 from stowage.operators import classify as kinds
 from stowage.params import KEYS, OrderParams
 
@@ -141,5 +141,5 @@ def all_orders(planned: DataFrame, lead_times: DataFrame, params: OrderParams =
 
 def _learned(lead_times: DataFrame) -> DataFrame:
     return lead_times.where(F.col("p60_lead") != 0).select(
-        *KEYS, F.col("p60_lead").cast("int").alias("smart_days"), F.col("mode").alias("smart_mode")
+        *KEYS, whole(F.col("p60_lead")).alias("smart_days"), F.col("mode").alias("smart_mode")
     )

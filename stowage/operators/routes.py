@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.numeric import whole
 from stowage.functions.running import stacked
 from stowage.params import KEYS
 
@@ -56,7 +57,7 @@ def candidate_routes(
         .select(
             *ROUTE,
             known.alias("from_stats"),
-            F.when(known, F.col("_days").cast("int"))
+            F.when(known, whole(F.col("_days")))
             .otherwise(F.coalesce(F.col("static_days").cast("int"), F.lit(UNKNOWN_LEAD)))
             .alias("lead_time"),
             F.when(known, F.coalesce(F.col("cost_per_kg"), F.lit(0.0))).otherwise(UNKNOWN_COST).alias("cost_per_kg"),
@@ -71,7 +72,7 @@ def with_prepare_time(
     measured = prepare.groupBy("item", "vendor").agg(F.max(metric).alias("_prep"))
     master = item_warehouse.select(*KEYS, F.col("lead_days").alias("_master")).distinct()
     fallback = F.greatest(F.col("_master"), F.lit(0)).cast("double")
-    days = F.coalesce(F.col("_prep"), F.when(F.col("_master").isNotNull(), fallback), F.lit(0.0)).cast("int")
+    days = whole(F.coalesce(F.col("_prep"), F.when(F.col("_master").isNotNull(), fallback), F.lit(0.0)))
     return (
         routes.join(measured, ["item", "vendor"], "left")
         .join(master, list(KEYS), "left")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.numeric import whole
 from stowage.functions.weeks import monday_of
 from stowage.operators.classify import classify_items, prepare_series, series_metrics
 from stowage.operators.demand import fill_weeks, item_universe, master_data, merge_parent_demand, merge_parent_stock
@@ -40,7 +41,7 @@ def planned_items(
     forecasts = forecast(classify_items(master, metrics, classes), models)
     if smart is None:
         return safety_stock(forecasts, safety)
-    learned = smart.select(*KEYS, F.col("p60_lead").cast("int").alias("smart_days"))
+    learned = smart.select(*KEYS, whole(F.col("p60_lead")).alias("smart_days"))
     return dynamic_safety_stock(forecasts.join(learned, list(KEYS), "left"), safety).drop("smart_days")
 
 
