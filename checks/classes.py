@@ -138,10 +138,10 @@ def _(t):
     )
 
 
-# Keys without history, replaced items and stock-only keys come from demand limited to odd lead times.
+# Replaced items are the parents of links; keys with a large minimum order count as never ordered.
 STEPS["o_gaps"] = """
-SELECT w.item, w.warehouse, w.safety, CASE WHEN LENGTH(w.item) % 5 = 0 THEN 'Y' END AS rpflag,
-  w.lead_days % 3 = 0 AS unseen FROM item_warehouse w"""
+SELECT w.item, w.warehouse, w.safety, CASE WHEN w.item LIKE '%/ECONOMY' THEN 'Y' END AS rpflag,
+  w.moq > 6 AS unseen FROM item_warehouse w"""
 
 
 @query(
@@ -160,8 +160,8 @@ WHERE g.rpflag = 'Y' OR NOT g.unseen OR g.safety > 0""",
 )
 def _(t):
     master = t.item_warehouse.select(
-        "item", "warehouse", "safety", F.when(F.length("item") % 5 == 0, "Y").alias("rpflag"),
-        (F.col("lead_days") % 3 == 0).alias("unseen"),
+        "item", "warehouse", "safety", F.when(F.col("item").like("%/ECONOMY"), "Y").alias("rpflag"),
+        (F.col("moq") > 6).alias("unseen"),
     )
     seen = metrics(t).join(master.where(~F.col("unseen")).select("item", "warehouse"), ["item", "warehouse"], "left_semi")
     return classify.classify_items(master, seen).select(

@@ -241,9 +241,9 @@ def _(t):
     )
 
 
-# A learned lead time for the keys with an even master lead time.
+# A learned lead time for the keys that hold a safety stock.
 STEPS["o_learned"] = """
-SELECT item, warehouse, CASE WHEN lead_days % 2 = 0 THEN lead_days + 10 END AS smart_days, 3 AS hint FROM item_warehouse"""
+SELECT item, warehouse, CASE WHEN safety > 0 THEN lead_days + 10 END AS smart_days, 3 AS hint FROM item_warehouse"""
 STEPS["o_dynamic_levels"] = """
 SELECT l.* REPLACE (COALESCE(round_even((0.85 + (0.95 - 0.85) / (1 + exp(-(l.cv * ln(1.0 + d.smart_days) / ln(361.0) / NULLIF(ln(1.0 + l.cost), 0))))) * 10000, 0) / 10000, 0.85) AS level,
   CASE WHEN d.smart_days IS NOT NULL THEN greatest(1, d.smart_days // 7) ELSE d.hint END AS lead_weeks)
@@ -254,7 +254,7 @@ size_steps("o_dynamic", "o_dynamic_levels", "l.lead_weeks")
 @query("dynamic_safety_stock", "SELECT * FROM o_dynamic_safety", "service_level dynamic_safety final_safety")
 def _(t):
     learned = planned(t).withColumns(
-        {"smart_days": F.when(F.col("lead_days") % 2 == 0, F.col("lead_days") + 10), "lead_weeks_hint": F.lit(3)}
+        {"smart_days": F.when(F.col("safety") > 0, F.col("lead_days") + 10), "lead_weeks_hint": F.lit(3)}
     )
     return safety.dynamic_safety_stock(learned).select(
         "item", "warehouse", "demand_type", "activity_level", "lead_weeks", "service_level", "dynamic_safety", "final_safety"

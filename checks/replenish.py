@@ -13,10 +13,10 @@ from stowage.params import KEYS, OrderParams
 from stowage.plans.planning import plan_orders
 
 DOUBLES = "forecast_in_lead net_requirement available in_transit dynamic_safety final_safety"
-# A learned lead time for two thirds of the items.
+# A learned lead time for the keys that hold a safety stock.
 STEPS["o_learned_leads"] = """
 SELECT item, warehouse, CAST(lead_days + LENGTH(item) AS DOUBLE) AS p60_lead, CASE WHEN warehouse = '5' THEN 'Air' ELSE 'Vessel' END AS mode
-FROM item_warehouse WHERE lead_days % 3 <> 1"""
+FROM item_warehouse WHERE safety > 0"""
 
 
 def order_sql(prefix: str, base: str, weeks: str, days: str, mode: str, algorithm: str, lots: str = "qty", zero: bool = False) -> str:
@@ -60,7 +60,7 @@ def stocked(t):
 
 def learned(t):
     mode = F.when(F.col("warehouse") == "5", "Air").otherwise("Vessel")
-    return t.item_warehouse.where(F.col("lead_days") % 3 != 1).select(
+    return t.item_warehouse.where(F.col("safety") > 0).select(
         *KEYS, (F.col("lead_days") + F.length("item")).cast("double").alias("p60_lead"), mode.alias("mode")
     )
 

@@ -234,13 +234,13 @@ abc_query("location_abc_classes", "location", "pick_locations")
     """
 SELECT l.warehouse, l.location, l.x, l.y, l.z, s.item, s.on_hand FROM
   (SELECT warehouse, TRIM(location) AS location, split_part(description, ',', 1) AS x, split_part(description, ',', 2) AS y, split_part(description, ',', 3) AS z FROM location_rows) l
-LEFT JOIN (SELECT warehouse, location, item, CAST(COUNT(*) AS DOUBLE) AS on_hand FROM pick_locations WHERE slot % 5 <> 0 GROUP BY warehouse, location, item) s
+LEFT JOIN (SELECT warehouse, location, item, CAST(COUNT(*) AS DOUBLE) AS on_hand FROM pick_locations WHERE item NOT LIKE '%/SMALL' GROUP BY warehouse, location, item) s
   ON s.warehouse = l.warehouse AND s.location = l.location""",
     "on_hand",
 )
 def _(t):
     held = (
-        t.pick_locations.where(F.col("slot") % 5 != 0).groupBy("warehouse", "location", "item")
+        t.pick_locations.where(~F.col("item").like("%/SMALL")).groupBy("warehouse", "location", "item")
         .agg(F.count(F.lit(1)).cast("double").alias("on_hand"))
     )
     return layout.stock_on_layout(layout.location_table(t.location_rows), held)

@@ -1,0 +1,123 @@
+"""Reading, typing and change detection."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from checks.registry import query
+from checks.views import AS_OF
+from stowage.sources import readers, tables
+
+RAW_TEXT = """SELECT o_orderkey, CONCAT('  ', o_orderpriority, ' ') AS priority, o_totalprice AS total,
+  CAST(YEAR(o_orderdate) * 10000 + MONTH(o_orderdate) * 100 + DAY(o_orderdate) + CASE WHEN o_custkey % 10 = 0 THEN 77 ELSE 0 END AS INT) AS entered FROM orders"""
+
+
+def raw_orders(t):
+    d = F.col("o_orderdate")
+    digits = F.year(d) * 10000 + F.month(d) * 100 + F.day(d) + F.when(F.col("o_custkey") % 10 == 0, 77).otherwise(0)
+    return t.orders.select(
+        "o_orderkey", F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")).alias("priority"),
+        F.col("o_totalprice").alias("total"), digits.alias("entered"),
+    )
+
+
+@query(
+    "cleaned_source",
+    f"""
+SELECT o_orderkey, TRIM(priority) AS priority, total, CAST(try_strptime(CAST(entered AS VARCHAR), '%Y%m%d') AS DATE) AS entered FROM ({RAW_TEXT}) r""",
+    "total",
+)
+def _(t):
+    return readers.cleaned(raw_orders(t), dates=("entered",))
+
+
+@query(
+    "narrowed_read",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority = '1-URGENT'",
+    "o_totalprice",
+)
+def _(t):
+    return readers.narrowed(
+        t.orders,
+        {"o_orderstatus": ("F", "O"), "o_orderpriority": "1-URGENT", "o_custkey": None},
+        ("o_orderkey", "o_orderstatus", "o_totalprice"),
+    )
+
+
+@query(
+    "sql_statement",
+    "SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS qty FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY l_returnflag",
+    "qty",
+)
+def _(t):
+    text = "SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS qty FROM {lines} WHERE l_shipdate >= :day GROUP BY l_returnflag"
+    return readers.run_sql(t.spark, text, {"lines": t.lineitem}, day=dt.datetime(1996, 1, 1))
+
+
+@query(
+    "enforced_types",
+    "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, TRY_CAST(LEFT(o_orderpriority, 1) AS INTEGER) AS first, CAST(NULL AS INTEGER) AS word, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders",
+)
+def _(t):
+    rows = t.orders.select(
+        "o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).alias("first"),
+        F.col("o_orderpriority").alias("word"), "o_orderdate",
+    )
+    return readers.enforce_types(
+        rows, {"o_custkey": "string", "first": "int", "word": "int", "o_orderdate": "date", "absent": "int"}
+    )
+
+
+DIFFERENT = "s.item IS NOT NULL AND (s.cost IS DISTINCT FROM n.cost OR s.vendor IS DISTINCT FROM n.vendor)"
+
+
+@query(
+    "changed_rows",
+    f"""
+SELECT n.item, n.cost, n.vendor FROM item_master n LEFT JOIN stored_items s ON s.item = n.item WHERE s.item IS NULL OR ({DIFFERENT})""",
+    "cost",
+)
+def _(t):
+    return tables.changed_rows(t.item_master.select("item", "cost", "vendor"), t.stored_items, ["item"])
+
+
+@query(
+    "change_log",
+    """
+SELECT n.item, 'vendor' AS field_name, s.vendor AS old_value, n.vendor AS new_value, DATE '2001-08-01' AS change_date, 'Table update' AS change_reason
+FROM item_master n JOIN stored_items s ON s.item = n.item WHERE s.vendor IS DISTINCT FROM n.vendor""",
+)
+def _(t):
+    return tables.change_log(
+        t.item_master.select("item", "cost", "vendor"), t.stored_items, ["item"], AS_OF, monitor=("vendor",)
+    )
+
+
+@query(
+    "upserted_rows",
+    """
+SELECT item, cost, vendor FROM item_master WHERE vendor < '2' UNION ALL SELECT item, cost, vendor FROM stored_items WHERE item NOT IN (SELECT item FROM item_master WHERE vendor < '2')""",
+    "cost",
+)
+def _(t):
+    new = t.item_master.select("item", "cost", "vendor").where(F.col("vendor") < "2")
+    return tables.upserted(t.stored_items, new, ["item"])
+
+
+@query(
+    "hot_zone_replaced",
+    """
+SELECT lord, lline, warehouse, item, order_date, qty FROM demand_lines WHERE order_date < DATE '2001-02-02'
+UNION ALL SELECT lord, lline, warehouse, item, order_date, qty + 1 FROM demand_lines WHERE order_date >= DATE '2001-02-02'""",
+    "qty",
+)
+def _(t):
+    new = t.demand_lines.where(F.col("order_date") >= "2001-02-02").withColumn("qty", F.col("qty") + 1)
+    return tables.hot_zone_replaced(t.demand_lines, new, "order_date", AS_OF)
+
+
+@query("rows_with_values", "SELECT * FROM (SELECT vendor, cost FROM stored_items) s WHERE vendor IS NOT NULL OR cost IS NOT NULL", "cost")
+def _(t):
+    return tables.without_blank_rows(t.stored_items.select("vendor", "cost"))

@@ -146,7 +146,7 @@ FROM orders WHERE o_orderkey % 3 = 0""",
     "iim": f"""
 SELECT CONCAT(item, ' ') AS "IPROD", CASE LENGTH(item) % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'E' WHEN 2 THEN 'Q' ELSE 'K' END AS "IITYP",
   CONCAT(' part ', item) AS "IDESC", CONCAT('local ', item) AS "IDSCE", CAST(LENGTH(item) % 6 AS VARCHAR(20)) AS "ICLAS",
-  CAST(100 + MIN(l_suppkey) AS INT) AS "IVEND", MIN(p_retailprice) AS "ISCST", CAST(MIN(p_size) % 5 AS DOUBLE) AS "ICUSA",
+  CAST(100 + MAX(l_suppkey) AS INT) AS "IVEND", MIN(p_retailprice) AS "ISCST", CAST(MIN(p_size) % 5 AS DOUBLE) AS "ICUSA",
   CAST(COUNT(*) % 7 AS DOUBLE) AS "IONOD" FROM lines GROUP BY item""",
     "ili": """
 SELECT warehouse AS "LWHS", CASE WHEN l_partkey % 19 = 0 THEN ' ' ELSE CONCAT('L', CAST(l_partkey % 997 AS VARCHAR(20))) END AS "LLOC",
