@@ -15,6 +15,9 @@ PURCHASE = extract.OrderExtract(
 )
 MASTER = extract.MasterExtract(rate_date_min=19941231)
 
+OPEN_CODE = """COALESCE(d."POTPTC", '40')"""
+VENDOR_CODE = """COALESCE(d."STTPTC", '')"""
+
 
 def date_of(digits: str) -> str:
     return f"CAST(try_strptime(CAST({digits} AS VARCHAR), '%Y%m%d') AS DATE)"
@@ -122,7 +125,7 @@ def _(t):
 
 EXCLUDED = ", ".join(f"'{v}'" for v in "EDII EDIA ACGA ACGB ACGC ACGH ACGS ACGI EXPC EXTI EXTS EXTH EXTA EXTB EXTC EDIC".split())
 STEPS["o_vendor_rows"] = f"""
-SELECT CAST(v."VENDOR" AS VARCHAR) AS vendor, TRIM(v."VNDNAM") AS vendor_name, {MODE_OF_CODE.format(c='COALESCE(d."STTPTC", '')')} AS mode, d."STNMDY" AS days, v."VENDOR" AS number, v."VTYPE" AS vtype
+SELECT CAST(v."VENDOR" AS VARCHAR) AS vendor, TRIM(v."VNDNAM") AS vendor_name, {MODE_OF_CODE.format(c=VENDOR_CODE)} AS mode, d."STNMDY" AS days, v."VENDOR" AS number, v."VTYPE" AS vtype
 FROM avm v JOIN avx x ON v."VENDOR" = x."VXVNDN" LEFT JOIN dst d ON x."VXSPCD" = d."STSPCD"
 WHERE (v."VENDOR" BETWEEN 100 AND 999 OR v."VENDOR" BETWEEN 10000 AND 90000 AND v."VENDOR" % 10 = 5 OR v."VENDOR" IN (99908, 99909)) AND v."VTYPE" NOT IN ({EXCLUDED})
   OR v."VENDOR" IN (611, 624, 530, 103, 129, 170, 172, 186, 190, 372, 999) AND d."STORTC" = 'UR'"""
@@ -225,7 +228,7 @@ def _(t):
     f"""
 SELECT TRIM(h."PWHSE") AS warehouse, CAST(h."PVEND" AS VARCHAR) AS vendor, {date_of('h."PEDTE"')} AS po_entry_date, h."PORD" AS ponum, h."PLINE" AS poline, COALESCE(d."POTPTC", '40') AS transport_code, TRIM(h."PPROD") AS item,
   h."PQORD", h."PQREC", h."PQORD" - h."PQREC" AS "PQREM", h."PCQTY", h."PCQTY" - h."PQREC" AS "PQTRANSIT", {date_of('h."PDDTE"')} AS due_date, {date_of('h."HVDUE"')} AS acknowledged_date, h."PCMT" AS comment,
-  {MODE_OF_CODE.format(c='COALESCE(d."POTPTC", '40')')} AS mode
+  {MODE_OF_CODE.format(c=OPEN_CODE)} AS mode
 FROM hpo h LEFT JOIN dpo d ON h."PORD" = d."POPORD" WHERE h."PEDTE" > 20001101 AND h."PPROD" NOT LIKE 'FA%' AND h."PQORD" > h."PQREC" AND h."PWHSE" IN ('5', '6')""",
     '"PQORD" "PQREC" "PQREM" "PCQTY" "PQTRANSIT"',
 )
