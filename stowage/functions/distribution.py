@@ -17,13 +17,18 @@ def describe(
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
+    copies: str | None = None,
 ) -> DataFrame:
-    """Per group: samples, mean, std (sample), typical (most frequent, smallest on ties) and interpolated quantiles."""
+    """Per group: samples, mean, std (sample), typical (most frequent, smallest on ties) and interpolated quantiles.
+
+    ``copies`` names the row count of a table that is counted already.
+    """
     keys = list(keys)
+    n = F.lit(1) if copies is None else F.col(copies)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum(n).alias("_n"))
     )
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,18 +62,25 @@ def describe(
     return ranked.groupBy(*keys).agg(*aggregates)
 
 
-def smoothed(df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: float, out: str) -> DataFrame:
+def counted(df: DataFrame, keys: Sequence[str], *values: str, copies: str = "copies") -> DataFrame:
+    """Rows counted by group and values, for several statistics to share."""
+    return df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias(copies))
+
+
+def smoothed(
+    df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: float, out: str, copies: str | None = None
+) -> DataFrame:
     """The last value of ``s = a*x + (1-a)*s`` over rows ordered by date, then value; ``s`` starts at the first x.
 
-    Equal (date, value) rows fold in closed form, so rows are counted, not sorted.
+    Equal (date, value) rows fold in closed form, so rows are counted, not sorted. With ``copies`` the
+    table holds one counted row per group, date and value.
     """
     keys = list(keys)
     keep = F.lit(1.0 - alpha)
-    steps = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, date, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    known = df.where(F.col(value).isNotNull())
+    if copies is None:
+        known, copies = counted(known, keys, date, value), "copies"
+    steps = known.select(*keys, date, F.col(value).cast("double").alias("_v"), F.col(copies).alias("_n"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy(date, "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = steps.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(group)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.functions.distribution import describe, smoothed
+from stowage.functions.distribution import counted, describe, smoothed
 from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, lookup, move_allowed, move_penalty
 from stowage.functions.numeric import is_true
 from stowage.functions.running import first_rows
@@ -173,8 +173,9 @@ def transport_stats(
     """Transport days per warehouse, vendor and corrected mode. Cost columns are filled by the freight model."""
     rows = corrected_transports(deliveries, previous, tolerance, shipment_grain)
     keys = ["warehouse", "vendor", "mode"]
-    spread = describe(rows, keys, "transport_days", {"p60": 0.6, "p90": quantile})
-    recent = smoothed(rows, keys, "invoice_date", "transport_days", alpha, "smoothed_days")
+    counts = counted(rows, keys, "invoice_date", "transport_days")
+    spread = describe(counts, keys, "transport_days", {"p60": 0.6, "p90": quantile}, "copies")
+    recent = smoothed(counts, keys, "invoice_date", "transport_days", alpha, "smoothed_days", "copies")
     return spread.join(recent, keys, "left").select(
         *keys,
         F.col("mean").alias("mean_days"),
@@ -200,8 +201,9 @@ def prepare_stats(deliveries: DataFrame, alpha: float = 0.3, tail_only: bool = T
     """Preparation days per item, warehouse and vendor."""
     rows = last_batches(deliveries) if tail_only else deliveries
     keys = ["item", "warehouse", "vendor"]
-    spread = describe(rows, keys, "prepare_days", {"p60": 0.6, "p90": 0.9})
-    recent = smoothed(rows, keys, "invoice_date", "prepare_days", alpha, "smoothed_prep")
+    counts = counted(rows, keys, "invoice_date", "prepare_days")
+    spread = describe(counts, keys, "prepare_days", {"p60": 0.6, "p90": 0.9}, "copies")
+    recent = smoothed(counts, keys, "invoice_date", "prepare_days", alpha, "smoothed_prep", "copies")
     return spread.join(recent, keys).select(
         *keys,
         F.col("mean").alias("mean_prep"),
