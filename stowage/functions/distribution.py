@@ -1,7 +1,7 @@
 """Statistics of a value inside groups, computed from counts of distinct values.
 
-Counting first (map-side combined) means a group's size never matters: only its number of distinct
-values reaches one task, and for whole days that number is bounded by the calendar.
+Counts are combined on the map side, so a group's size never matters: only its distinct values
+reach one task, and for whole days their number is bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -12,75 +12,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def describe(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: Mapping[str, float],
-    copies: str | None = None,
-) -> DataFrame:
+def describe(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Per group: samples, mean, std (sample), typical (most frequent, smallest on ties) and interpolated quantiles.
 
-    ``copies`` names the row count of a table that is counted already.
+    The mode and the quantiles keep a count per distinct value and are combined before the shuffle.
     """
-    keys = list(keys)
-    n = F.lit(1) if copies is None else F.col(copies)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.sum(n).alias("_n"))
-    )
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumns(
-        {
-            "_upto": F.sum("_n").over(upto),
-            "_total": F.sum("_n").over(group),
-            "_top": F.max("_n").over(group),
-            "_mean": F.sum(F.col("_n") * F.col("_v")).over(group) / F.sum("_n").over(group),
-        }
+    v = F.col(value).cast("double")
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*keys).agg(
+        F.count(v).alias("samples"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
+        F.mode(v, True).alias("typical"),
+        *[F.percentile(v, F.lit(float(p))).alias(name) for name, p in quantiles.items()],
     )
-    aggregates = [
-        F.max("_total").cast("long").alias("samples"),
-        F.max("_mean").alias("mean"),
-        F.sqrt(
-            F.try_divide(
-                F.sum(F.col("_n") * F.pow(F.col("_v") - F.col("_mean"), 2)),
-                (F.max("_total") - 1).cast("double"),
-            )
-        ).alias("std"),
-        F.min(F.when(F.col("_n") == F.col("_top"), F.col("_v"))).alias("typical"),
-    ]
-    for name, p in quantiles.items():
-        place = (F.col("_total") - 1) * F.lit(float(p))
-        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
-        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
-        share = F.max(place - F.floor(place))
-        # From the nearer end, which keeps tenths exact.
-        near_low, near_high = low + (high - low) * share, high - (high - low) * (1 - share)
-        aggregates.append(F.when(share < 0.5, near_low).otherwise(near_high).alias(name))
-    return ranked.groupBy(*keys).agg(*aggregates)
 
 
-def counted(df: DataFrame, keys: Sequence[str], *values: str, copies: str = "copies") -> DataFrame:
-    """Rows counted by group and values, for several statistics to share."""
-    return df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias(copies))
-
-
-def smoothed(
-    df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: float, out: str, copies: str | None = None
-) -> DataFrame:
+def smoothed(df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: float, out: str) -> DataFrame:
     """The last value of ``s = a*x + (1-a)*s`` over rows ordered by date, then value; ``s`` starts at the first x.
 
-    Equal (date, value) rows fold in closed form, so rows are counted, not sorted. With ``copies`` the
-    table holds one counted row per group, date and value.
+    Equal (date, value) rows fold in closed form, so rows are counted, not sorted.
     """
     keys = list(keys)
     keep = F.lit(1.0 - alpha)
-    known = df.where(F.col(value).isNotNull())
-    if copies is None:
-        known, copies = counted(known, keys, date, value), "copies"
-    steps = known.select(*keys, date, F.col(value).cast("double").alias("_v"), F.col(copies).alias("_n"))
+    steps = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, date, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     group = Window.partitionBy(*keys)
     upto = group.orderBy(date, "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = steps.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(group)})

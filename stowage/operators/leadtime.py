@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.functions.distribution import counted, describe, smoothed
+from stowage.functions.distribution import describe, smoothed
 from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, lookup, move_allowed, move_penalty
 from stowage.functions.numeric import is_true
 from stowage.functions.running import first_rows
@@ -91,8 +91,12 @@ def _penalty(group: Column, target: str) -> Column:
     return lookup({g: move_penalty(g, target) for g in sorted(GROUPS)}, group)
 
 
-def predicted_mode(days: Column, tolerance: float, fallback_for_candidates: bool = True) -> Column:
-    """A3: the mode itself if its days are plausible, else the cheapest permitted mode that fits them."""
+def mode_choices(routes: DataFrame, ranges: DataFrame, fallback_for_candidates: bool = True) -> DataFrame:
+    """A3: what each route compares its days with: its own range, and the mean and price of every permitted mode.
+
+    A mode that may not be chosen has no price. Routes are few, so the rules are worked out here
+    and rows only compare numbers.
+    """
     mode, group = F.col("mode"), attribute(F.col("mode"), "group")
 
     def part(m, name: str) -> Column:
@@ -104,15 +108,29 @@ def predicted_mode(days: Column, tolerance: float, fallback_for_candidates: bool
             chosen = chosen.when(mode == m.name, part(m, name) if m.assignable else F.lit(_static(m, name)))
         return chosen
 
-    accepted = days.between(own("low"), own("high")) & (F.abs(days - own("mean")) <= tolerance)
     mean = "mean" if fallback_for_candidates else "stats_mean"
-    options = []
+    columns = [own(name).alias(f"_own_{name}") for name in ("low", "high", "mean")]
     for m in ASSIGNABLE:
-        fits = (mode != m.name) & _allowed(group, m.group) & days.between(m.low, m.high)
-        score = F.abs(days - part(m, mean)) + _penalty(group, m.group) + SWITCH_COST
-        options.append(F.when(fits, F.struct(score.alias("score"), F.lit(m.ord).alias("ord"), F.lit(m.name).alias("mode"))))
-    best = F.least(*options)["mode"]
-    return F.when(is_true(accepted), mode).otherwise(F.coalesce(best, mode))
+        permitted = (mode != m.name) & _allowed(group, m.group)
+        columns.append(part(m, mean).alias(f"_mean_{m.ord}"))
+        columns.append(F.when(permitted, _penalty(group, m.group) + SWITCH_COST).alias(f"_price_{m.ord}"))
+    return routes.join(_profiles(ranges), ["vendor", "warehouse"], "left").select(*ROUTE, *columns)
+
+
+def predicted_mode(days: Column, tolerance: float) -> Column:
+    """A3: the mode itself if its days are plausible, else the cheapest permitted mode that fits them."""
+    accepted = days.between(F.col("_own_low"), F.col("_own_high")) & (F.abs(days - F.col("_own_mean")) <= tolerance)
+    costs = {
+        m.name: F.when(
+            days.between(F.lit(m.low), F.lit(m.high)), F.abs(days - F.col(f"_mean_{m.ord}")) + F.col(f"_price_{m.ord}")
+        )
+        for m in ASSIGNABLE
+    }
+    lowest = F.least(*costs.values())
+    best = F
+    for name, cost in costs.items():
+        best = best.when(cost == lowest, F.lit(name))
+    return F.when(is_true(accepted), F.col("mode")).otherwise(F.coalesce(best, F.col("mode")))
 
 
 def correct_modes(
@@ -132,8 +150,9 @@ def correct_modes(
     start = df.withColumn("original_mode", original)
     if courier_to_air:
         start = start.withColumn("mode", F.when(F.col("mode") == "Courier", "Air").otherwise(F.col("mode")))
-    predicted = predicted_mode(F.col("transport_days"), tolerance, fallback_for_candidates)
-    joined = start.join(_profiles(ranges), ["vendor", "warehouse"], "left").withColumn("predicted_mode", predicted)
+    choices = mode_choices(start.select(*ROUTE).distinct(), ranges, fallback_for_candidates)
+    predicted = predicted_mode(F.col("transport_days").cast("double"), tolerance)
+    joined = start.join(choices, list(ROUTE), "left").withColumn("predicted_mode", predicted)
     if overwrite:
         joined = joined.withColumn("mode", F.col("predicted_mode"))
     return joined.select(*kept, "original_mode", "predicted_mode")
@@ -173,9 +192,8 @@ def transport_stats(
     """Transport days per warehouse, vendor and corrected mode. Cost columns are filled by the freight model."""
     rows = corrected_transports(deliveries, previous, tolerance, shipment_grain)
     keys = ["warehouse", "vendor", "mode"]
-    counts = counted(rows, keys, "invoice_date", "transport_days")
-    spread = describe(counts, keys, "transport_days", {"p60": 0.6, "p90": quantile}, "copies")
-    recent = smoothed(counts, keys, "invoice_date", "transport_days", alpha, "smoothed_days", "copies")
+    spread = describe(rows, keys, "transport_days", {"p60": 0.6, "p90": quantile})
+    recent = smoothed(rows, keys, "invoice_date", "transport_days", alpha, "smoothed_days")
     return spread.join(recent, keys, "left").select(
         *keys,
         F.col("mean").alias("mean_days"),
@@ -201,9 +219,8 @@ def prepare_stats(deliveries: DataFrame, alpha: float = 0.3, tail_only: bool = T
     """Preparation days per item, warehouse and vendor."""
     rows = last_batches(deliveries) if tail_only else deliveries
     keys = ["item", "warehouse", "vendor"]
-    counts = counted(rows, keys, "invoice_date", "prepare_days")
-    spread = describe(counts, keys, "prepare_days", {"p60": 0.6, "p90": 0.9}, "copies")
-    recent = smoothed(counts, keys, "invoice_date", "prepare_days", alpha, "smoothed_prep", "copies")
+    spread = describe(rows, keys, "prepare_days", {"p60": 0.6, "p90": 0.9})
+    recent = smoothed(rows, keys, "invoice_date", "prepare_days", alpha, "smoothed_prep")
     return spread.join(recent, keys).select(
         *keys,
         F.col("mean").alias("mean_prep"),
