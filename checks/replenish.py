@@ -128,3 +128,45 @@ def planning_run(t):
 @query("planning_run")
 def _(t):
     return shown(planning_run(t))
+
+
+# Stored results read back for the keys that hold a safety stock.
+STEPS["o_holding"] = "SELECT item, warehouse FROM item_warehouse WHERE safety > 0"
+
+
+@query(
+    "stored_forecasts",
+    """
+SELECT f.item, f.warehouse, f.model, CAST(COUNT(*) AS INTEGER) AS weeks, SUM(round_even(f.forecast * 100, 0) / 100) AS total,
+  CASE WHEN f.warehouse = '5' THEN SUM(CASE WHEN f.k <= 4 THEN round_even(f.forecast * 100, 0) / 100 END) ELSE round_even(SUM(CASE WHEN f.k <= 4 THEN f.forecast END) * 100, 0) / 100 END AS forecast_monthly
+FROM o_forecast f JOIN o_holding h ON h.item = f.item AND h.warehouse = f.warehouse GROUP BY f.item, f.warehouse, f.model""",
+    "total forecast_monthly",
+)
+def _(t):
+    stored = planned(t).select(
+        *KEYS, "forecast_json", F.when(F.col("warehouse") != "5", F.col("forecast_monthly")).alias("forecast_monthly"), "model"
+    )
+    read = demand.stored_forecasts(stored, demand.universe_from_safety(t.item_warehouse))
+    total = F.aggregate("forecast", F.lit(0.0), lambda a, x: a + x)
+    return read.select(*KEYS, "model", F.size("forecast").alias("weeks"), total.alias("total"), "forecast_monthly")
+
+
+@query(
+    "stored_demand_types",
+    """
+SELECT t.item, t.warehouse, t.demand_type, t.activity_level, t.weeks_with_demand, t.zero_ratio, t.cv, t.trend_slope, t.seasonal_strength
+FROM o_types t JOIN o_holding h ON h.item = t.item AND h.warehouse = t.warehouse""",
+    "zero_ratio cv trend_slope seasonal_strength",
+)
+def _(t):
+    return demand.stored_demand_types(planned(t), demand.universe_from_safety(t.item_warehouse))
+
+
+@query(
+    "stored_safety",
+    """
+SELECT s.item, s.warehouse, s.service_level, s.dynamic_safety, s.final_safety FROM o_static_safety s JOIN o_holding h ON h.item = s.item AND h.warehouse = s.warehouse""",
+    "service_level dynamic_safety final_safety",
+)
+def _(t):
+    return demand.stored_safety(safety.safety_stock(planned(t)), demand.universe_from_safety(t.item_warehouse))
