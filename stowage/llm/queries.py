@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import decontaminate, language_id, mixing, pii, quality_rules, secret_scan, url_filter
+from stowage.llm import decontaminate, language_id, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
 from stowage.llm.sql import ORACLES
 
 
@@ -13,6 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked(table(spark, folder, "documents"))
+
+
+def op2_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output.tokenized(table(spark, folder, "documents"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents")).drop("rejected_by")
 
@@ -44,7 +56,18 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_quality_rules, op5_url_filters, op6_source_mixing, op7_secret_scans, op8_language_id, op9_pii, op10_decontamination)
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_token_output,
+        op3_suffix_array_dedup,
+        op4_quality_rules,
+        op5_url_filters,
+        op6_source_mixing,
+        op7_secret_scans,
+        op8_language_id,
+        op9_pii,
+        op10_decontamination,
+    )
 }
 
 

@@ -57,7 +57,7 @@ def tally(df: DataFrame, bits: int, buckets: Callable[[pa.RecordBatch], Iterator
         total = np.zeros(size, np.int64)
         for batch in batches:
             for values in buckets(batch):
-                np.add.at(total, values, 1) if len(values) < 1000 else np.add(total, np.bincount(values, minlength=size), out=total)
+                np.add.at(total, values, 1) if 16 * len(values) < size else np.add(total, np.bincount(values, minlength=size), out=total)
         ids, kinds, data = [], [], []
         for start in range(0, size, SLICE):
             part = total[start : start + SLICE]
@@ -70,18 +70,19 @@ def tally(df: DataFrame, bits: int, buckets: Callable[[pa.RecordBatch], Iterator
             data.append(part.tobytes() if dense else at.astype("<u4").tobytes() + part[at].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(data, pa.binary())], ["slice", "dense", "data"])
 
-    def add(key, batches):
-        part = np.zeros(SLICE, np.int64)
+    def add(batches):
+        parts = {}
         for batch in batches:
-            for dense, raw in zip(batch.column("dense").to_pylist(), batch.column("data").to_pylist()):
+            for at, dense, raw in zip(*[batch.column(c).to_pylist() for c in ("slice", "dense", "data")]):
+                part = parts.setdefault(at, np.zeros(SLICE, np.int64))
                 if dense:
                     part[: len(raw) // 8] += np.frombuffer(raw, "<i8")
                 else:
                     n = len(raw) // 12
                     part[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<i8", n, 4 * n)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["slice", "data"])
 
-    sums = df.mapInArrow(count, "slice int, dense boolean, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary").collect()
+    sums = df.mapInArrow(count, "slice int, dense boolean, data binary").repartition("slice").mapInArrow(add, "slice int, data binary").collect()
     total = np.zeros(max(size, SLICE), np.int64)
     for row in sums:
         total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["data"], "<i8")
