@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -107,17 +108,109 @@ def _(t):
 
 
 @query(
-    "hot_zone_replaced",
+    "upserted_columns",
     """
-SELECT lord, lline, warehouse, item, order_date, qty FROM demand_lines WHERE order_date < DATE '2001-02-02'
-UNION ALL SELECT lord, lline, warehouse, item, order_date, qty + 1 FROM demand_lines WHERE order_date >= DATE '2001-02-02'""",
+SELECT coalesce(s.item, n.item) AS item, CASE WHEN n.item IS NOT NULL THEN n.cost ELSE s.cost END AS cost, s.vendor
+FROM stored_items s FULL JOIN (SELECT item, MAX(cost) + 1 AS cost FROM item_master GROUP BY item) n ON s.item = n.item""",
+    "cost",
+)
+def _(t):
+    # Each key comes twice, without the vendor.
+    new = t.item_master.select("item", "cost")
+    return tables.upserted(t.stored_items, new.union(new.withColumn("cost", F.col("cost") + 1)), ["item"], order=["cost"])
+
+
+KEYED_LINES = "SELECT lord, lline, warehouse, item, order_date, MAX(qty) AS qty FROM demand_lines GROUP BY lord, lline, warehouse, item, order_date"
+
+
+@query(
+    "hot_zone_replaced",
+    f"""
+SELECT lord, lline, warehouse, item, order_date, CASE WHEN order_date >= DATE '2000-12-01' THEN qty + 1 ELSE qty END AS qty FROM ({KEYED_LINES}) d""",
     "qty",
 )
 def _(t):
-    new = t.demand_lines.where(F.col("order_date") >= "2001-02-02").withColumn("qty", F.col("qty") + 1)
-    return tables.hot_zone_replaced(t.demand_lines, new, "order_date", AS_OF)
+    # New rows reach two months behind the zone: those replace their stored rows by key.
+    keys = ["lord", "lline", "warehouse", "item", "order_date"]
+    stored = t.demand_lines.groupBy(*keys).agg(F.max("qty").alias("qty"))
+    new = stored.where(F.col("order_date") >= "2000-12-01").withColumn("qty", F.col("qty") + 1)
+    return tables.hot_zone_replaced(stored, new, "order_date", AS_OF, keys=keys)
+
 
+def new_table(t, name: str, date: str | None = None) -> tables.StoredTable:
+    """A stored table of its own under the session's warehouse."""
+    unique = f"{name}_{uuid.uuid4().hex}"
+    return tables.StoredTable(t.spark, unique, f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{unique}", date)
 
-@query("rows_with_values", "SELECT * FROM (SELECT vendor, cost FROM stored_items) s WHERE vendor IS NOT NULL OR cost IS NOT NULL", "cost")
+
+@query(
+    "stored_orders",
+    """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day,
+  o_totalprice + CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus <> 'P' THEN 2 WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END AS total FROM orders""",
+    "total",
+)
+def _(t):
+    """S9-S12 on a table by month: append, upsert, hot zone, and empty inputs in between."""
+    rows = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date")).alias("day"),
+        F.col("o_totalprice").alias("total"), "o_custkey",
+    )
+    plain = rows.drop("o_custkey")
+    table = new_table(t, "stored_orders", "day")
+    table.append(plain.where("o_orderkey % 2 = 0"))
+    table.append(plain.where("o_orderkey % 2 = 1"))
+    changed = rows.where("o_custkey % 7 = 0").withColumn("total", F.col("total") + 1).drop("o_custkey")
+    table.upsert(changed, ["o_orderkey"])
+    table.upsert(plain.where("o_orderkey < 0"), ["o_orderkey"])
+    hot = plain.where("day >= '1998-01-01'").withColumn("total", F.col("total") + 2)
+    table.replace_hot_zone(hot, "day", dt.date(1998, 8, 2), 100, ["o_orderkey"])
+    table.replace_hot_zone(hot.where("o_orderkey < 0"), "day", dt.date(1998, 8, 2), 100, ["o_orderkey"])
+    table.overwrite(plain.where("o_orderkey < 0"))
+    return table.read()
+
+
+@query(
+    "written_changes",
+    """
+SELECT o_orderkey, 'o_orderstatus' AS field_name, o_orderstatus AS old_value, 'X' AS new_value, DATE '2001-08-01' AS change_date, 'Table update' AS change_reason, 'X' AS stored
+FROM orders WHERE o_custkey % 5 = 0""",
+)
+def _(t):
+    """A dry run and an unchanged input leave no trace, the changed input one log entry per field."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey")
+    table, log = new_table(t, "kept_orders"), new_table(t, "order_log")
+    table.overwrite(rows)
+    changed = rows.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    table.write_changes(changed, ["o_orderkey"], AS_OF, log, dry_run=True)
+    table.write_changes(rows, ["o_orderkey"], AS_OF, log)
+    table.write_changes(changed, ["o_orderkey"], AS_OF, log)
+    table.write_changes(changed, ["o_orderkey"], AS_OF, log)
+    now = table.read().select("o_orderkey", F.col("o_orderstatus").alias("stored"))
+    return log.read().join(now, "o_orderkey")
+
+
+@query("csv_round_trip", "SELECT o_orderkey, o_orderpriority, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders")
+def _(t):
+    """An export read again."""
+    rows = t.orders.select("o_orderkey", "o_orderpriority", F.col("o_custkey").cast("bigint").alias("o_custkey"))
+    folder = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orders_{uuid.uuid4().hex}"
+    tables.export_csv(rows, folder)
+    return t.spark.read.csv(folder, header=True, schema=rows.schema)
+
+
+@query("required_columns", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(t):
+    """Present and filled columns pass; the check reads the whole table."""
+    return readers.require_columns(t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderkey", "o_orderstatus"])
+
+
+@query(
+    "rows_with_values",
+    "SELECT * FROM (SELECT NULLIF(vendor, '1') AS vendor, CASE WHEN cost < 1000 THEN NULL ELSE cost END AS cost FROM stored_items) s WHERE vendor IS NOT NULL OR cost IS NOT NULL",
+    "cost",
+)
 def _(t):
-    return tables.without_blank_rows(t.stored_items.select("vendor", "cost"))
+    # One vendor and small costs are blanked, so that some rows hold nothing.
+    rows = t.stored_items.select(F.nullif(F.col("vendor"), F.lit("1")).alias("vendor"), F.when(F.col("cost") >= 1000, F.col("cost")).alias("cost"))
+    return tables.without_blank_rows(rows)

@@ -28,12 +28,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so that later stages restart from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    one (a local test run) gets a temporary folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Without it only a local session, whose
+    executor is the driver, gets a temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stowage-checkpoint-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), context.master))
     return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(named: str | None, master: str) -> str:
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="stowage-checkpoint-")

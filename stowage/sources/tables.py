@@ -1,8 +1,11 @@
 """Changing stored tables.
 
-A stored table is a catalog table over a folder of parquet files. A rewrite goes to a new folder
-and the table is pointed at it afterwards: readers see the old or the new content, never a mixture,
-and a lost executor only repeats its own files.
+A stored table is a catalog table over parquet files. With a date column it is partitioned by month, and a
+change rewrites only the months it touches. Without one, a rewrite goes to a new folder and the table is
+pointed at it afterwards; the folder before the last one is removed. Either way new content is complete
+on disk before old content goes, and a lost executor only repeats its own files.
+
+An empty input changes nothing in any sink.
 """
 
 from __future__ import annotations
@@ -14,7 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.running import first_rows
+
 NEW = "_stored"
+MONTH = "_month"
+UNDATED = "none"
+PREVIOUS = "stowage.previous"
 
 
 def _beside(new: DataFrame, stored: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -30,28 +38,23 @@ def _compared_fields(new: DataFrame, stored: DataFrame, keys: Sequence[str], exc
     return [c for c in new.columns if c in stored.columns and c not in {*keys, *exclude}]
 
 
-def changed_rows(
-    new: DataFrame, stored: DataFrame, keys: Sequence[str], exclude: Sequence[str] = ()
-) -> DataFrame:
-    """Rows whose key is new or that differ from the stored row in any compared field."""
+def _changed(new: DataFrame, stored: DataFrame, keys: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """The new and changed rows, beside the stored values of their compared fields."""
     fields = _compared_fields(new, stored, keys, exclude)
     different = F.col(NEW).isNull()
     for f in fields:
         different = different | _differs(f)
-    return _beside(new, stored, keys, fields).where(different).select(*new.columns)
+    return _beside(new, stored, keys, fields).where(different)
 
 
-def change_log(
-    new: DataFrame,
-    stored: DataFrame,
-    keys: Sequence[str],
-    as_of: dt.date,
-    monitor: Sequence[str] | None = None,
-    exclude: Sequence[str] = (),
-    reason: str = "Table update",
+def changed_rows(
+    new: DataFrame, stored: DataFrame, keys: Sequence[str], exclude: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per monitored field that changed on a stored key, with the old and new value as text."""
-    fields = [f for f in _compared_fields(new, stored, keys, exclude) if monitor is None or f in monitor]
+    """Rows whose key is new or that differ from the stored row in any compared field."""
+    return _changed(new, stored, keys, exclude).select(*new.columns)
+
+
+def _entries(beside: DataFrame, fields: Sequence[str], keys: Sequence[str], as_of: dt.date, reason: str) -> DataFrame:
     entries = [
         F.when(
             F.col(NEW).isNotNull() & _differs(f),
@@ -63,27 +66,72 @@ def change_log(
         )
         for f in fields
     ]
-    return (
-        _beside(new, stored, keys, fields)
-        .select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("_entry"))
-        .select(
-            *keys, "_entry.*", F.lit(as_of).cast("date").alias("change_date"), F.lit(reason).alias("change_reason")
-        )
+    return beside.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("_entry")).select(
+        *keys, "_entry.*", F.lit(as_of).cast("date").alias("change_date"), F.lit(reason).alias("change_reason")
     )
 
 
-def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The stored rows without the new keys, and the new rows."""
-    return stored.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(
-        new, allowMissingColumns=True
-    )
+def change_log(
+    new: DataFrame,
+    stored: DataFrame,
+    keys: Sequence[str],
+    as_of: dt.date,
+    monitor: Sequence[str] | None = None,
+    exclude: Sequence[str] = (),
+    reason: str = "Table update",
+) -> DataFrame:
+    """One row per monitored field that changed on a stored key, with the old and new value as text."""
+    fields = _monitored(new, stored, keys, monitor, exclude)
+    return _entries(_beside(new, stored, keys, fields), fields, keys, as_of, reason)
+
+
+def _monitored(new, stored, keys, monitor, exclude) -> list[str]:
+    return [f for f in _compared_fields(new, stored, keys, exclude) if monitor is None or f in monitor]
+
+
+def last_per_key(new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the one that sorts last by ``order``, then by all other columns (nulls first)."""
+    rest = [c for c in new.columns if c not in {*keys, *order}]
+    return first_rows(new, keys, [F.col(c).desc_nulls_last() for c in (*order, *rest)])
+
 
+def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Stored rows with the delivered columns of their new row, and the rows of new keys.
 
-def hot_zone_replaced(stored: DataFrame, new: DataFrame, date: str, as_of: dt.date, days: int = 180) -> DataFrame:
-    """Stored rows before the hot zone, and the new rows. Rows without a date count as old."""
+    Columns that ``new`` does not deliver keep their stored value; columns the table lacks are left out.
+    Of several new rows of a key the last one counts (``last_per_key``). A null in a key matches a null.
+    """
+    keys = list(keys)
+    delivered = [c for c in new.columns if c in stored.columns and c not in keys]
+    fresh = last_per_key(fitted(new, stored.columns), keys, [c for c in order if c in stored.columns])
+    here = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_n_{c}") for c in delivered], F.lit(True).alias(NEW))
+    there = stored.withColumn("_old", F.lit(True))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    met = there.join(here, same, "full")
+
+    def column(c: str) -> Column:
+        if c in keys:
+            return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_k_{c}")).alias(c)
+        return (F.when(F.col(NEW), F.col(f"_n_{c}")).otherwise(F.col(c)) if c in delivered else F.col(c)).alias(c)
+
+    return met.select(*[column(c) for c in stored.columns])
+
+
+def hot_zone_replaced(
+    stored: DataFrame, new: DataFrame, date: str, as_of: dt.date, days: int = 180, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The hot zone is dropped and the new rows are upserted by key into what is left.
+
+    Rows without a date count as old. Keys are needed wherever new rows can be older than the zone: without them
+    rows are only added.
+    """
     start = F.lit(as_of - dt.timedelta(days=days)).cast("date")
     cold = stored.where(F.coalesce(F.col(date) < start, F.lit(True)))
-    return cold.unionByName(new, allowMissingColumns=True)
+    if keys:
+        return upserted(cold, new, keys)
+    return cold.unionByName(fitted(new, stored.columns), allowMissingColumns=True)
 
 
 def without_blank_rows(df: DataFrame) -> DataFrame:
@@ -97,46 +145,138 @@ def fitted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class StoredTable:
-    """A catalog table whose files live under ``root``."""
+    """A catalog table whose files live under ``root``; with ``date`` it is partitioned by that column's month."""
 
-    def __init__(self, spark, name: str, root: str):
+    def __init__(self, spark, name: str, root: str, date: str | None = None):
         self.spark = spark
         self.name = name
         self.root = root.rstrip("/")
+        self.date = date
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
     def read(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).drop(MONTH)
 
-    def append(self, df: DataFrame) -> None:
-        """S9."""
+    def _folder(self, kind: str) -> str:
+        return f"{self.root}/{kind}-{uuid.uuid4().hex}"
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _staged(self, df: DataFrame) -> tuple[DataFrame, str]:
+        folder = self._folder("staged")
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder), folder
+
+    def _by_month(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(MONTH, F.coalesce(F.date_format(self.date, "yyyy-MM"), F.lit(UNDATED)))
+
+    def _months(self, df: DataFrame) -> list[str]:
+        """Distinct months: bounded by the calendar."""
+        return [r[0] for r in self._by_month(df).select(MONTH).distinct().collect()]
+
+    def _incoming(self, df: DataFrame) -> DataFrame | None:
+        """The rows to write, in the table's columns; none if there is nothing to write."""
         rows = without_blank_rows(df)
-        if not self.exists():
-            return self.overwrite(rows)
-        fitted(rows, self.read().columns).write.mode("append").format("parquet").saveAsTable(self.name)
+        if self.exists():
+            rows = fitted(rows, self.read().columns)
+        return None if rows.isEmpty() else rows
 
-    def overwrite(self, df: DataFrame) -> None:
-        """Write a new folder, then point the table at it."""
-        folder = f"{self.root}/{uuid.uuid4().hex}"
-        without_blank_rows(df).write.parquet(folder)
+    def _location(self) -> str:
+        rows = self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").collect()
+        return rows[0]["data_type"]
+
+    def _switch(self, df: DataFrame) -> None:
+        """Write all of the table to a new folder and point the table at it."""
+        folder = self._folder("rows")
+        df.write.parquet(folder)
         if self.exists():
+            properties = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()}
+            current = self._location()
             self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{folder}'")
+            self.spark.sql(f"ALTER TABLE {self.name} SET TBLPROPERTIES ('{PREVIOUS}' = '{current}')")
+            # Readers of the last content may still be at work; what was before it can go.
+            if PREVIOUS in properties:
+                self._remove(properties[PREVIOUS])
         else:
             self.spark.catalog.createTable(self.name, path=folder, source="parquet")
         self.spark.catalog.refreshTable(self.name)
 
-    def upsert(self, df: DataFrame, keys: Sequence[str]) -> None:
-        """S12."""
-        rows = without_blank_rows(df)
-        self.overwrite(upserted(self.read(), rows, keys) if self.exists() else rows)
+    def _write_months(self, df: DataFrame, touched: Sequence[str]) -> None:
+        """``df`` holds the whole new content of the touched months; months left without rows go."""
+        if not self.exists():
+            self._by_month(df).write.partitionBy(MONTH).option("path", self._folder("rows")).format("parquet").saveAsTable(self.name)
+            return
+        staged, folder = self._staged(df)
+        kept = set(self._months(staged))
+        location = self._location()
+        stored = {r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
+        self._by_month(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(location)
+        for month in sorted(set(touched) & stored - kept):
+            self._remove(f"{location}/{MONTH}={month}")
+        self.spark.sql(f"MSCK REPAIR TABLE {self.name} SYNC PARTITIONS")
+        self._remove(folder)
+        self.spark.catalog.refreshTable(self.name)
+
+    def _in_months(self, months: Sequence[str]) -> DataFrame:
+        return self.spark.table(self.name).where(F.col(MONTH).isin(list(months))).drop(MONTH)
+
+    def append(self, df: DataFrame) -> None:
+        """S9."""
+        rows = self._incoming(df)
+        if rows is None:
+            return
+        if not self.exists():
+            return self.overwrite(rows)
+        if self.date:
+            rows = self._by_month(rows)
+        rows.write.mode("append").format("parquet").option("path", self._location()).partitionBy(*([MONTH] if self.date else [])).saveAsTable(self.name)
 
-    def replace_hot_zone(self, df: DataFrame, date: str, as_of: dt.date, days: int = 180) -> None:
+    def overwrite(self, df: DataFrame) -> None:
+        """S10."""
+        rows = self._incoming(df)
+        if rows is None:
+            return
+        if not self.date:
+            return self._switch(rows)
+        self._write_months(rows, [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()] if self.exists() else [])
+
+    def upsert(self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+        """S12."""
+        rows = self._incoming(df)
+        if rows is None:
+            return
+        if not self.exists():
+            return self.overwrite(last_per_key(rows, keys, order))
+        if not self.date:
+            return self._switch(upserted(self.read(), rows, keys, order))
+        # The months the keys live in, and those the rows go to.
+        touched = {*self._months(self.read().join(rows.select(*keys).distinct(), list(keys), "left_semi"))}
+        touched |= {*self._months(rows)} if self.date in rows.columns else {UNDATED}
+        self._write_months(upserted(self._in_months(sorted(touched)), rows, keys, order), sorted(touched))
+
+    def replace_hot_zone(
+        self, df: DataFrame, date: str, as_of: dt.date, days: int = 180, keys: Sequence[str] = ()
+    ) -> None:
         """S11."""
-        rows = without_blank_rows(df)
-        self.overwrite(hot_zone_replaced(self.read(), rows, date, as_of, days) if self.exists() else rows)
+        rows = self._incoming(df)
+        if rows is None:
+            return
+        if not self.exists():
+            return self.overwrite(last_per_key(rows, keys) if keys else rows)
+        if self.date != date:
+            return self._switch(hot_zone_replaced(self.read(), rows, date, as_of, days, keys))
+        start = as_of - dt.timedelta(days=days)
+        stored = self.read()
+        touched = {*self._months(stored.where(F.col(date) >= F.lit(start).cast("date"))), *self._months(rows)}
+        if keys:
+            touched |= {*self._months(stored.join(rows.select(*keys).distinct(), list(keys), "left_semi"))}
+        kept = self._in_months(sorted(touched))
+        self._write_months(hot_zone_replaced(kept, rows, date, as_of, days, keys), sorted(touched))
 
     def write_changes(
         self,
@@ -148,19 +288,23 @@ class StoredTable:
         exclude: Sequence[str] = (),
         dry_run: bool = False,
     ) -> tuple[DataFrame, DataFrame | None]:
-        """Upsert what changed and append the log; a dry run only returns both."""
+        """Upsert what changed, then append the log; a dry run only returns both.
+
+        Changes are compared once and staged; both results read the staged rows.
+        """
         if not self.exists():
             if not dry_run:
                 self.overwrite(df)
             return df, None
         stored = self.read()
-        delta = changed_rows(df, stored, keys, exclude)
-        entries = change_log(df, stored, keys, as_of, monitor, exclude)
+        staged, _ = self._staged(_changed(df, stored, keys, exclude))
+        delta = staged.select(*df.columns)
+        entries = _entries(staged, _monitored(df, stored, keys, monitor, exclude), keys, as_of, "Table update")
         if dry_run or delta.isEmpty():
             return delta, entries
+        self.upsert(delta, keys)
         if log is not None:
             log.append(entries)
-        self.upsert(delta, keys)
         return delta, entries
 
 

@@ -10,6 +10,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.session import checkpoint_folder
 from stowage.functions import modes, numeric, weeks
 from stowage.functions.distribution import describe, smoothed
 from stowage.functions.running import dated, first_rows, numbered, stacked
@@ -124,3 +125,11 @@ def test_grouping_over_a_union_counts_every_row(spark):
     both = stacked(counted, counted.withColumn("k", F.col("k") + 25))
     got = {r.k: r["count"] for r in both.groupBy("k").count().collect()}
     assert sum(got.values()) == 2000 and got[30] == 40 and got[0] == 20
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    assert checkpoint_folder("hdfs://store/x", "yarn") == "hdfs://store/x"
+    assert checkpoint_folder(None, "local[2]")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_folder(None, master)

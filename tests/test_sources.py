@@ -50,6 +50,60 @@ def test_table_life_cycle(spark, table):
     assert keys(table.read()) == ["v"]
 
 
+def test_partial_columns_and_repeated_keys(spark):
+    stored = frame(spark, ("x", 1.0, "keep", None), ("n", 1.0, "old", None))
+    new = spark.createDataFrame([("x", 2.0), ("x", 3.0), ("y", 4.0), ("y", 1.0)], "k string, a double")
+    got = tables.upserted(stored, new, ["k"])
+    assert sorted((r.k, r.a, r.b) for r in got.collect()) == [("n", 1.0, "old"), ("x", 3.0, "keep"), ("y", 4.0, None)]
+    none = tables.upserted(frame(spark, (None, 1.0, "t", None)), new.where("k = 'x'").selectExpr("CAST(NULL AS STRING) AS k", "a"), ["k"])
+    assert [(r.k, r.a) for r in none.collect()] == [(None, 3.0)]
+
+
+def test_rows_behind_the_hot_zone_replace_their_stored_rows(spark):
+    stored = frame(spark, ("x", 1.0, "t", D("2001-03-01")), ("y", 1.0, "t", D("2001-08-01")))
+    new = frame(spark, ("x", 2.0, "t", D("2001-03-01")), ("z", 2.0, "t", D("2001-08-02")))
+    got = tables.hot_zone_replaced(stored, new, "day", D("2001-08-31"), keys=["k"])
+    assert sorted((r.k, r.a) for r in got.collect()) == [("x", 2.0), ("z", 2.0)]
+
+
+def test_an_empty_input_changes_nothing(spark, table):
+    empty = frame(spark, ("x", 1.0, "t", None)).where("false")
+    table.overwrite(frame(spark, ("x", 1.0, "t", D("2024-01-01"))))
+    table.overwrite(empty)
+    table.replace_hot_zone(empty, "day", D("2024-01-02"), 30)
+    table.upsert(empty, ["k"])
+    table.append(empty)
+    assert keys(table.read()) == ["x"]
+
+
+def test_only_touched_months_are_rewritten(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS monthly")
+    table = tables.StoredTable(spark, "monthly", str(tmp_path / "monthly"), "day")
+    days = {"a": "2024-01-05", "b": "2024-02-05", "c": "2024-03-05", "d": "2024-04-05"}
+    table.overwrite(frame(spark, *[(k, 1.0, "t", D(d)) for k, d in days.items()]))
+
+    def files():
+        return {month: {f for f in table.read().inputFiles() if f"={month}/" in f} for month in ("2024-01", "2024-02", "2024-03", "2024-04")}
+
+    before = files()
+    # The row of February moves to March: both months change, the others do not.
+    table.upsert(frame(spark, ("b", 2.0, "t", D("2024-03-09"))), ["k"])
+    after = files()
+    assert after["2024-01"] == before["2024-01"] and after["2024-04"] == before["2024-04"]
+    assert not after["2024-02"] and after["2024-03"] != before["2024-03"] and keys(table.read()) == ["a", "b", "c", "d"]
+    table.replace_hot_zone(frame(spark, ("e", 3.0, "t", D("2024-04-06"))), "day", D("2024-04-10"), 7, ["k"])
+    last = files()
+    assert last["2024-01"] == before["2024-01"] and last["2024-03"] == after["2024-03"]
+    assert keys(table.read()) == ["a", "b", "c", "e"]
+    spark.sql("DROP TABLE monthly")
+
+
+def test_old_folders_go(spark, table, tmp_path):
+    for value in (1.0, 2.0, 3.0, 4.0):
+        table.overwrite(frame(spark, ("x", value, "t", None)))
+    assert len(list((tmp_path / "kept").glob("rows-*"))) == 2 and table.read().first().a == 4.0
+
+
 def test_dry_run_and_unchanged_input_write_nothing(spark, table):
     table.overwrite(frame(spark, ("x", 1.0, "t", None)))
     delta, log = table.write_changes(frame(spark, ("x", 2.0, "t", None)), ["k"], D("2024-01-01"), dry_run=True)
