@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if base is None:
         made = spark.sparkContext.getCheckpointDir()
         if made is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             # One machine: its warehouse is as shared as anything.
             made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
