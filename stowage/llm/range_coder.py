@@ -1,10 +1,11 @@
 """Adaptive context-mixing range coder for token ids, many blocks at once in numpy.
 
-A block starts from a fresh model, so each can be decoded alone. Before an id, two predictions stand: the id that last followed
-the last two ids (order 2) and the one that last followed the last id (order 1). How often each was right lately selects
-the adaptive odds of the three outcomes: order 2 is right, order 1 is right, neither. In the last case the id is coded by
-order 0: its four-bit digits under adaptive odds, each given the digits before it. All odds drive a 32-bit range
-coder with carries, which writes 16-bit words.
+A block starts from a fresh model, so each can be decoded alone. Before an id, three predictions stand: order 2, the id that
+last followed the last two ids; order 1, the id that last followed the last id; order 0, the last 256 different ids that were new
+when they came, under adaptive odds of their places. How often orders 2 and 1 were right lately selects the adaptive odds
+of the four outcomes: order 2 is right, order 1 is right, order 0 knows the id, the id is new. A place is coded as two four-bit digits, the second
+given the first; a new id as its plain bits. All odds drive a 32-bit range coder with carries, which writes 16-bit
+words. The state of a lane is small, so that those at work stay in the cache.
 
 Blocks are lanes: one numpy step codes the t-th id of every lane that has one.
 """
@@ -21,8 +22,10 @@ TOTAL = 1 << TOTAL_BITS
 RATE = 5
 # Boundaries move a 32nd of their way to their aim; aims this far apart keep every outcome possible.
 APART = (1 << RATE) + 8
-SLOTS_BITS = 11
-EMPTY = np.int64((1 << 40) - 1)
+SLOTS_BITS = 10
+# Bits of an id written at once without odds.
+PLAIN_BITS = 12
+EMPTY = -1
 LOW_MASK = 0xFFFFFFFF
 
 
@@ -32,42 +35,64 @@ def aims(n: int) -> np.ndarray:
     return np.where(i[None, :] <= np.arange(n)[:, None], i * APART, TOTAL - (n - i) * APART).astype(np.int16)
 
 
-DIGIT_AIMS, OUTCOME_AIMS = aims(16), aims(3)
+DIGIT_AIMS, OUTCOME_AIMS = aims(16), aims(4)
+# Places of order 0.
+KNOWN = 256
 
 
-def digits_of(most: int) -> int:
-    """Four-bit digits that ids up to ``most`` need."""
-    return max(1, -(-int(most).bit_length() // 4))
+def bits_of(most: int) -> int:
+    """Bits that ids up to ``most`` need."""
+    return max(1, int(most).bit_length())
+
+
+def plain_parts(bits: int) -> list[tuple[int, int]]:
+    """(shift, bits) of the parts of a plain id, from the top."""
+    out = []
+    while bits:
+        part = min(PLAIN_BITS, bits)
+        bits -= part
+        out.append((bits, part))
+    return out
 
 
 class Model:
     """Predictions and odds of some lanes, in flat tables."""
 
-    def __init__(self, lanes: int, digits: int):
-        self.digits = digits
-        self.one = np.full(lanes << SLOTS_BITS, EMPTY << 2, np.int64)
-        self.two = np.full(lanes << SLOTS_BITS, EMPTY << 2, np.int64)
-        self.outcomes = np.tile((np.arange(4) * TOTAL // 3).astype(np.int16), (lanes * 16, 1))
-        # Digit tables of a lane: the first alone, the second by the first, later ones by the two before.
-        self.bases = [0, 1, 17] + [17 + 256 * k for k in range(1, max(1, digits - 2))]
-        self.tables = 17 + 256 * max(0, digits - 2)
-        self.odds = np.tile((np.arange(17) * TOTAL // 16).astype(np.int16), (lanes * self.tables, 1))
+    def __init__(self, lanes: int, bits: int):
+        # An entry is an id and two bits of trust; -1 predicts nothing.
+        kind = np.int32 if bits < 30 else np.int64
+        self.one = np.full(lanes << SLOTS_BITS, EMPTY * 4, kind)
+        self.two = np.full(lanes << SLOTS_BITS, EMPTY * 4, kind)
+        self.outcomes = np.tile((np.arange(5) * TOTAL // 4).astype(np.int16), (lanes * 16, 1))
+        # Order 0: the id of each place, the place of an id by its hash (a hint that the first table proves), the next place.
+        self.ids = np.full(lanes * KNOWN, -1, np.int64)
+        self.hints = np.zeros(lanes << SLOTS_BITS, np.uint8)
+        self.next = np.zeros(lanes, np.int64)
+        self.known_base = np.arange(lanes) * KNOWN
+        # Digit tables of a lane: one for the first digit, sixteen for the second.
+        self.odds = np.tile((np.arange(17) * TOTAL // 16).astype(np.int16), (lanes * 17, 1))
         rows = np.arange(lanes)
-        self.slot_base, self.outcome_base, self.odds_base = rows << SLOTS_BITS, rows * 16, rows * self.tables
+        self.slot_base, self.outcome_base, self.odds_base = rows << SLOTS_BITS, rows * 16, rows * 17
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base, mask, mixed = self.slot_base[: len(last)], (1 << SLOTS_BITS) - 1, last * 40503
         return base + (((mixed + 7) >> 3) & mask), base + (((mixed + before * 60493 + 11) >> 4) & mask)
 
-    def follow(self, table: np.ndarray, slot: np.ndarray, entry: np.ndarray, right: np.ndarray, ids: np.ndarray) -> None:
-        """Note what came: right predictions gain trust, wrong ones lose it and then give way."""
+    def follow(self, table: np.ndarray, slot: np.ndarray, entry: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> None:
+        """Note what came: right predictions gain trust, wrong ones lose it and then give way to the fresh entry."""
         trust = entry & 3
-        table[slot] = np.where(right, entry + (trust < 3), np.where(trust > 1, entry - 1, (ids << 2) | 1))
+        table[slot] = np.where(right, entry + (trust < 3), np.where(trust > 1, entry - 1, fresh))
+
+    def learn(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        """Give new ids the next places of order 0."""
+        at = self.next[rows]
+        self.next[rows] = at + 1
+        at &= KNOWN - 1
+        self.ids[self.known_base[rows] + at] = ids
+        self.hints[self.hint_at(rows, ids)] = at
 
-    def context(self, k: int, before: np.ndarray | None, last: np.ndarray | None):
-        if k == 0:
-            return 0
-        return 1 + last if k == 1 else self.bases[k] + before * 16 + last
+    def hint_at(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.slot_base[rows] + ((ids * 40503 >> 5) & ((1 << SLOTS_BITS) - 1))
 
 
 class Writer:
@@ -151,41 +176,49 @@ def longest_first(lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, (len(lengths) - np.cumsum(np.bincount(lengths, minlength=most + 1)))[:most].tolist()
 
 
-def encode_lanes(blocks: list[np.ndarray], digits: int) -> list[bytes]:
+def encode_lanes(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, active = longest_first(lengths)
     ids = np.zeros((len(active) + 2, len(blocks)), np.int64)
     for lane, i in enumerate(order.tolist()):
         ids[2 : 2 + lengths[i], lane] = blocks[i]
-    model, out = Model(len(blocks), digits), Writer(len(blocks), len(active) * (digits + 1) + 4)
+    plain = plain_parts(bits)
+    model, out = Model(len(blocks), bits), Writer(len(blocks), len(active) * (1 + max(2, len(plain))) + 4)
     lanes = np.arange(len(blocks))
     for t, n in enumerate(active):
         rows, now = lanes[:n], ids[t + 2, :n]
         one, two = model.slots(ids[t + 1, :n], ids[t, :n])
         e1, e2 = model.one.take(one), model.two.take(two)
         right1, right2 = (e1 >> 2) == now, (e2 >> 2) == now
-        outcome = np.where(right2, 0, 2 - right1)
+        known = model.hints.take(model.hint_at(rows, now)).astype(np.int64)
+        outcome = np.where(right2, 0, np.where(right1, 1, 3 - (model.ids.take(model.known_base[:n] + known) == now)))
         place = model.outcome_base[:n] + (((e2 & 3) << 2) | (e1 & 3))
         table = model.outcomes.take(place, 0)
-        flat, at = table.ravel(), 4 * rows + outcome
+        flat, at = table.ravel(), 5 * rows + outcome
         low, width = out.code(rows, out.low[:n], out.width[:n], flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
         model.outcomes[place] = table + ((OUTCOME_AIMS.take(outcome, 0) - table) >> RATE)
-        model.follow(model.one, one, e1, right1, now)
-        model.follow(model.two, two, e2, right2, now)
+        fresh = ((now << 2) | 1).astype(e1.dtype)
+        model.follow(model.one, one, e1, right1, fresh)
+        model.follow(model.two, two, e2, right2, fresh)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
-            value, base, i = now[rest], model.odds_base[rest], 17 * lanes[: len(rest)]
+            value, place, i = known[rest], model.odds_base[rest], 17 * lanes[: len(rest)]
             rest_low, rest_width = low[rest], width[rest]
-            before = last = None
-            for k in range(digits):
-                digit = (value >> (4 * (digits - 1 - k))) & 15
-                place = base + model.context(k, before, last)
+            for digit in (value >> 4, value & 15):
                 table = model.odds.take(place, 0)
                 flat, at = table.ravel(), i + digit
                 rest_low, rest_width = out.code(rest, rest_low, rest_width, flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
                 model.odds[place] = table + ((DIGIT_AIMS.take(digit, 0) - table) >> RATE)
-                before, last = last, digit
+                place = place + 1 + digit
             low[rest], width[rest] = rest_low, rest_width
+        new = np.flatnonzero(outcome == 3)
+        if len(new):
+            value, new_low, new_width = now[new], low[new], width[new]
+            for shift, size in plain:
+                start = ((value >> shift) & ((1 << size) - 1)) << (TOTAL_BITS - size)
+                new_low, new_width = out.code(new, new_low, new_width, start, start + (1 << (TOTAL_BITS - size)))
+            low[new], width[new] = new_low, new_width
+            model.learn(new, value)
         out.low[:n], out.width[:n] = low, width
     coded = out.finish()
     result: list[bytes] = [b""] * len(blocks)
@@ -194,12 +227,12 @@ def encode_lanes(blocks: list[np.ndarray], digits: int) -> list[bytes]:
     return result
 
 
-def decode_lanes(coded: list[bytes], lengths: list[int], digits: int) -> list[np.ndarray]:
+def decode_lanes(coded: list[bytes], lengths: list[int], bits: int) -> list[np.ndarray]:
     sizes = np.array(lengths, np.int64)
     order, active = longest_first(sizes)
     ids = np.zeros((len(active) + 2, len(coded)), np.int64)
-    model, source = Model(len(coded), digits), Reader([coded[i] for i in order.tolist()])
-    lanes = np.arange(len(coded))
+    model, source = Model(len(coded), bits), Reader([coded[i] for i in order.tolist()])
+    lanes, plain = np.arange(len(coded)), plain_parts(bits)
     for t, n in enumerate(active):
         rows = lanes[:n]
         one, two = model.slots(ids[t + 1, :n], ids[t, :n])
@@ -208,18 +241,16 @@ def decode_lanes(coded: list[bytes], lengths: list[int], digits: int) -> list[np
         table = model.outcomes.take(place, 0)
         unit = source.width[:n] >> TOTAL_BITS
         target = np.minimum(source.code[:n] // unit, TOTAL - 1)
-        outcome = (table[:, 1] <= target).astype(np.int64) + (table[:, 2] <= target)
-        flat, at = table.ravel(), 4 * rows + outcome
+        outcome = (table[:, 1] <= target).astype(np.int64) + (table[:, 2] <= target) + (table[:, 3] <= target)
+        flat, at = table.ravel(), 5 * rows + outcome
         code, width = source.accept(rows, source.code[:n], unit, flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
         model.outcomes[place] = table + ((OUTCOME_AIMS.take(outcome, 0) - table) >> RATE)
-        now = np.where(outcome == 0, e2 >> 2, e1 >> 2)
+        now = np.where(outcome == 0, e2 >> 2, e1 >> 2).astype(np.int64)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
-            value, base, i = np.zeros(len(rest), np.int64), model.odds_base[rest], 17 * lanes[: len(rest)]
+            value, place, i = np.zeros(len(rest), np.int64), model.odds_base[rest], 17 * lanes[: len(rest)]
             rest_code, rest_width = code[rest], width[rest]
-            before = last = None
-            for k in range(digits):
-                place = base + model.context(k, before, last)
+            for _ in range(2):
                 table = model.odds.take(place, 0)
                 flat = table.ravel()
                 unit = rest_width >> TOTAL_BITS
@@ -228,11 +259,23 @@ def decode_lanes(coded: list[bytes], lengths: list[int], digits: int) -> list[np
                 rest_code, rest_width = source.accept(rest, rest_code, unit, flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
                 model.odds[place] = table + ((DIGIT_AIMS.take(digit, 0) - table) >> RATE)
                 value = (value << 4) | digit
-                before, last = last, digit
-            code[rest], width[rest], now[rest] = rest_code, rest_width, value
+                place = place + 1 + digit
+            code[rest], width[rest], now[rest] = rest_code, rest_width, model.ids.take(model.known_base[rest] + value)
+        new = np.flatnonzero(outcome == 3)
+        if len(new):
+            value, new_code, new_width = np.zeros(len(new), np.int64), code[new], width[new]
+            for _, size in plain:
+                unit = new_width >> TOTAL_BITS
+                part = np.minimum(new_code // unit, TOTAL - 1) >> (TOTAL_BITS - size)
+                start = part << (TOTAL_BITS - size)
+                new_code, new_width = source.accept(new, new_code, unit, start, start + (1 << (TOTAL_BITS - size)))
+                value = (value << size) | part
+            code[new], width[new], now[new] = new_code, new_width, value
+            model.learn(new, value)
         source.code[:n], source.width[:n] = code, width
-        model.follow(model.one, one, e1, (e1 >> 2) == now, now)
-        model.follow(model.two, two, e2, (e2 >> 2) == now, now)
+        fresh = ((now << 2) | 1).astype(e1.dtype)
+        model.follow(model.one, one, e1, (e1 >> 2) == now, fresh)
+        model.follow(model.two, two, e2, (e2 >> 2) == now, fresh)
         ids[t + 2, :n] = now
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
     for lane, i in enumerate(order.tolist()):
@@ -240,9 +283,9 @@ def decode_lanes(coded: list[bytes], lengths: list[int], digits: int) -> list[np
     return result
 
 
-def encode(blocks: list[np.ndarray], digits: int, lanes: int = LANES) -> list[bytes]:
-    return [c for i in range(0, len(blocks), lanes) for c in encode_lanes(blocks[i : i + lanes], digits)]
+def encode(blocks: list[np.ndarray], bits: int, lanes: int = LANES) -> list[bytes]:
+    return [c for i in range(0, len(blocks), lanes) for c in encode_lanes(blocks[i : i + lanes], bits)]
 
 
-def decode(coded: list[bytes], lengths: list[int], digits: int, lanes: int = LANES) -> list[np.ndarray]:
-    return [b for i in range(0, len(coded), lanes) for b in decode_lanes(coded[i : i + lanes], lengths[i : i + lanes], digits)]
+def decode(coded: list[bytes], lengths: list[int], bits: int, lanes: int = LANES) -> list[np.ndarray]:
+    return [b for i in range(0, len(coded), lanes) for b in decode_lanes(coded[i : i + lanes], lengths[i : i + lanes], bits)]

@@ -3,7 +3,7 @@
 A file holds frames, a row each: the documents of a frame (ids and token counts), its place in its shard, and its payload.
 Shards follow each other in doc_id order, frames in their shard. A payload is little-endian:
 
-    "TID1", ids (u32), blocks (u32), digits (u32); then per block: ids (u32), bytes (u32), CRC-32 of the ids as u32 (u32); then the coded blocks
+    "TID1", ids (u32), blocks (u32), bits (u32); then per block: ids (u32), bytes (u32), CRC-32 of the ids as u32 (u32); then the coded blocks
 
 Each block is coded from a fresh model (see ``range_coder``) and can be read alone. Files are Parquet without compression, so that
 Spark writes them, commits them and writes them again when an executor is lost.
@@ -17,6 +17,7 @@ frame of its own; an empty table gives no frames; other input columns are not re
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -57,20 +58,22 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Spark runs a task on each core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the vocabulary has no token for the mark")
 
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def runs(self, texts: list[str]) -> dict[str, bytes]:
-        out = {t: self.encoded(t).tobytes() for t in texts if self.MARK in t}
+        marked = [t for t in texts if self.MARK in t]
+        out = {t: ids.tobytes() for t, ids in zip(marked, self.encoded(marked))}
         plain = [t for t in texts if t not in out]
-        for first in range(0, len(plain), 4096):
-            part = plain[first : first + 4096]
-            ids = self.encoded(f" {self.MARK} ".join(part))
+        parts = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for part, ids in zip(parts, self.encoded([f" {self.MARK} ".join(part) for part in parts])):
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
             start = 0
             for run, end in zip(part, ends, strict=True):
@@ -94,39 +97,39 @@ class Encoder:
 
 def packed(frames: list[np.ndarray]) -> list[bytes]:
     """Payloads of id arrays; their blocks are coded together."""
-    digits = range_coder.digits_of(max((int(f.max()) for f in frames if len(f)), default=0))
+    bits = range_coder.bits_of(max((int(f.max()) for f in frames if len(f)), default=0))
     blocks = [[f[i : i + range_coder.BLOCK] for i in range(0, len(f), range_coder.BLOCK)] for f in frames]
-    coded = iter(range_coder.encode([b for bs in blocks for b in bs], digits))
+    coded = iter(range_coder.encode([b for bs in blocks for b in bs], bits))
     out = []
     for ids, bs in zip(frames, blocks):
         cs = [next(coded) for _ in bs]
         heads = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(bs, cs))
-        out.append(MAGIC + struct.pack("<III", len(ids), len(bs), digits) + heads + b"".join(cs))
+        out.append(MAGIC + struct.pack("<III", len(ids), len(bs), bits) + heads + b"".join(cs))
     return out
 
 
 def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of payloads; a block whose checksum differs is an error."""
-    plans, by_digits = [], {}
+    plans, by_bits = [], {}
     for p in payloads:
         if p[:4] != MAGIC:
             raise ValueError("not a token frame")
-        n, count, digits = struct.unpack_from("<III", p, 4)
+        n, count, bits = struct.unpack_from("<III", p, 4)
         at, plan = 16 + 12 * count, []
         for k in range(count):
             size, length, check = struct.unpack_from("<III", p, 16 + 12 * k)
-            held = by_digits.setdefault(digits, ([], []))
-            plan.append((digits, len(held[0]), check))
+            held = by_bits.setdefault(bits, ([], []))
+            plan.append((bits, len(held[0]), check))
             held[0].append(p[at : at + length])
             held[1].append(size)
             at += length
         plans.append((n, plan))
-    decoded = {d: range_coder.decode(coded, sizes, d) for d, (coded, sizes) in by_digits.items()}
+    decoded = {d: range_coder.decode(coded, sizes, d) for d, (coded, sizes) in by_bits.items()}
     out = []
     for n, plan in plans:
         parts = []
-        for digits, place, check in plan:
-            ids = decoded[digits][place].astype("<u4")
+        for bits, place, check in plan:
+            ids = decoded[bits][place].astype("<u4")
             if zlib.crc32(ids.tobytes()) != check:
                 raise ValueError("a token block does not match its checksum")
             parts.append(ids)
