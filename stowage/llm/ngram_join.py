@@ -7,8 +7,8 @@ group; groups that share a prefix shingle are paired, pairs are filtered by size
 of both groups are verified by their full intersection.
 
 A shingle that many groups hold is not paired out. First each group is compared with one hub per shingle, and what links is
-merged; this repeats with other hubs while classes merge and many pairs of different classes are left. Then every
-remaining pair of different classes is verified. Pairs inside a class need no proof, so no link between classes is lost.
+merged; this repeats with other hubs while a good part of the sets merges and many pairs of different classes are left. Then
+every remaining pair of different classes is verified. Pairs inside a class need no proof, so no link between classes is lost.
 
 Defined cases: null, empty or blank text has an empty set, links with nothing and is its own class; fewer than five words
 are one shingle; repeated rows are one class; a class's id is its smallest doc_id (nulls only if all are null); an empty table gives an
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.components import components
-from stowage.llm.storage import drop_stored, stored, tally
+from stowage.llm.storage import drop_stored, release, stored, tally
 from stowage.llm.words import mixed, shingle_sets
 
 WIDTH = 5
@@ -32,8 +32,9 @@ LEAST = (4, 5)
 # Counters of the shingle tally and marks of the row filter: fixed sizes, exactness does not depend on them.
 TALLY_BITS = 20
 FILTER_BITS = 22
-# Pairs of different classes per set, up to which all are verified at once.
+# Pairs of different classes per set, up to which all are verified at once; merged sets, one in so many, for another round of hubs.
 PAIRS_PER_SET = 4
+MERGED_PART = 64
 
 
 def prefix_size(n: int) -> int:
@@ -93,28 +94,60 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, f"doc_id {kind}, row_key bigint, n_shingles bigint, high bigint, low bigint, grp bigint, prefix array<bigint>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of wanted sets (node, high, low, row_key), cut anew from the texts that hold them.
-
-    A filter of fixed size keeps most other texts from being cut; the join keeps the rest out.
-    """
+def marks_of(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size: packed bits of the low bits of a column's values."""
     mask = (1 << FILTER_BITS) - 1
-    marks = tally(wanted.select("row_key"), FILTER_BITS, lambda batch: iter([batch.column("row_key").to_numpy() & mask])) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    return np.packbits(tally(df.select(column), FILTER_BITS, lambda batch: iter([batch.column(0).to_numpy() & mask])) > 0)
+
+
+def postings_of(signed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, grp, n, pos) of the prefixes at the wanted keys. A fixed-size filter keeps most others from being moved."""
+    shared, mask = signed.sparkSession.sparkContext.broadcast(marks_of(keys, "key")), (1 << FILTER_BITS) - 1
 
-    def cut(batches):
+    def spread(batches):
         marks = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            at = np.flatnonzero(marks[batch.column("row_key").to_numpy() & mask])
-            found = list(shingle_sets(batch.column("text").take(pa.array(at)), WIDTH))
-            digests = [digest(f) for f in found]
+            prefix = batch.column("prefix")
+            sizes = np.diff(prefix.offsets.to_numpy())
+            values = prefix.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(marks[values & mask])
+            row = row[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[at]), pa.array(batch.column("grp").to_numpy()[row]), pa.array(batch.column("n_shingles").to_numpy()[row].astype(np.int32)), pa.array(pos[at].astype(np.int32))],
+                ["key", "grp", "n", "pos"],
+            )
+
+    made = signed.select("grp", "n_shingles", "prefix").mapInArrow(spread, "key bigint, grp bigint, n int, pos int")
+    return made.join(keys, "key").distinct()
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of wanted sets (node, high, low, row_key).
+
+    A filter of fixed size keeps most other texts from being moved; digests and the join settle it.
+    """
+    shared, mask = docs.sparkSession.sparkContext.broadcast(marks_of(wanted, "row_key")), (1 << FILTER_BITS) - 1
+
+    def chosen(batches):
+        marks, sent = np.unpackbits(shared.value).astype(bool), set()
+        for batch in batches:
+            at = []
+            for i in np.flatnonzero(marks[batch.column("row_key").to_numpy() & mask]).tolist():
+                key = batch.column("row_key")[i].as_py()
+                if key not in sent:
+                    sent.add(key)
+                    at.append(i)
+            part = batch.take(pa.array(at, pa.int64()))
+            digests = [digest(f) for f in shingle_sets(part.column("text"), WIDTH)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key").take(pa.array(at)), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), lists(found)],
-                ["row_key", "high", "low", "shingles"],
+                [part.column("row_key"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), part.column("text")],
+                ["row_key", "high", "low", "text"],
             )
 
-    made = docs.select("row_key", "text").mapInArrow(cut, "row_key bigint, high bigint, low bigint, shingles array<bigint>")
-    return made.join(wanted, ["high", "low", "row_key"]).dropDuplicates(["node"]).select("node", "shingles")
+    made = docs.select("row_key", "text").mapInArrow(chosen, "row_key bigint, high bigint, low bigint, text string")
+    return made.join(wanted, ["high", "low", "row_key"]).dropDuplicates(["high", "low", "row_key"]).select("node", "text")
 
 
 def near_enough(a: str, b: str):
@@ -127,13 +160,24 @@ def near_enough(a: str, b: str):
     return (LEAST[1] * F.least(n, m) >= LEAST[0] * F.greatest(n, m)) & (rest * (LEAST[0] + LEAST[1]) >= LEAST[0] * (n + m))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    # In its own column, so that the intersection is computed once.
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("both"))
-    return met.where(F.col("common") * (LEAST[0] + LEAST[1]) >= LEAST[0] * F.col("both")).select("a", "b")
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that link, by the full intersection of the sets."""
+    needed = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
+    texts = stored(texts_of(docs, needed.select("node", "high", "low", "row_key")), "texts")
+    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for i, (p, q) in enumerate(zip(shingle_sets(batch.column("x"), WIDTH), shingle_sets(batch.column("y"), WIDTH))):
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if LEAST[1] * common >= LEAST[0] * (len(p) + len(q) - common):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "verified")
+    drop_stored(docs.sparkSession, texts)
+    return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -141,26 +185,29 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     signed = stored(signatures(docs), "signatures")
+    rows = stored(signed.drop("prefix", "grp"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")).alias("first")
     nodes = signed.where("n_shingles > 0").groupBy("high", "low").agg(first, F.min("grp").alias("grp"), F.count("*").alias("n_docs"))
     nodes = stored(nodes.select("high", "low", F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), "grp", "n_docs", F.monotonically_increasing_id().alias("node")), "sets")
 
     # Prefix shingles that two groups hold.
-    postings = signed.select("grp", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "key"))
-    shared_keys = postings.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("key")
-    postings = stored(postings.join(shared_keys, "key").distinct(), "postings")
+    keys = signed.select("grp", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
+    keys = stored(keys.where("x <> y").select("key"), "keys")
+    release(spark)
+    postings = stored(postings_of(signed, keys), "postings")
+    drop_stored(spark, signed, keys)
+    release(spark)
     crowded = nodes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
     wanted = stored(nodes.join(postings.select("grp").union(crowded).distinct(), "grp", "left_semi"), "wanted")
-    sets = stored(sets_of(docs, wanted.select("node", "high", "low", "row_key")), "shingles")
 
     members = wanted.select("grp", "node", "n_docs")
     # The members of a group share prefix and size: compare each with the group's first.
     heads = members.join(crowded, "grp").groupBy("grp").agg(F.min("node").alias("a"))
     pairs = members.join(heads, "grp").where("node <> a").select("a", F.col("node").alias("b"))
-    links = stored(verified(pairs, sets), "verified")
+    links = verified(pairs, docs, wanted)
     labels = relabelled(spark, members.select("node", F.col("node").alias("class")), links)
     n_sets = members.count()
-    round_number = 0
+    round_number, n_links = 0, n_sets
     while True:
         marked = stored(members.join(labels, "node").groupBy("grp", "class").agg(F.max("n_docs").alias("n_docs")), "marked")
         held = postings.join(marked, "grp")
@@ -168,7 +215,7 @@ def classes(docs: DataFrame) -> DataFrame:
         per_key = stored(per_key, "open")
         n_open = per_key.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
         within = members.join(crowded, "grp").join(labels, "node")
-        last = not n_open or n_open <= PAIRS_PER_SET * n_sets or not (round_number < 2 or found)
+        last = n_open <= PAIRS_PER_SET * n_sets or MERGED_PART * n_links < n_sets
         held = held.join(per_key.select("key"), "key", "left_semi")
         one = held.select("key", "grp", "n", "pos", "class")
         if last:
@@ -187,11 +234,12 @@ def classes(docs: DataFrame) -> DataFrame:
         if inside is not None:
             pairs = pairs.union(inside)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        links = stored(verified(pairs, sets), "verified")
-        found = not links.isEmpty()
-        if found:
+        links = verified(pairs, docs, wanted)
+        n_links = links.count()
+        if n_links:
             labels = relabelled(spark, labels, links)
         drop_stored(spark, marked, per_key, pairs, links)
+        release(spark)
         if last:
             break
         round_number += 1
@@ -199,10 +247,9 @@ def classes(docs: DataFrame) -> DataFrame:
     named = nodes.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     named = stored(named.join(least, "class").select("high", "low", "class", "component_id"), "classes")
-    rows = signed.select("doc_id", "row_key", "n_shingles", "high", "low")
     out = rows.join(named, ["high", "low"], "left")
     alone = F.col("n_shingles") == 0
-    drop_stored(spark, postings, sets)
+    drop_stored(spark, postings)
     return out.select("doc_id", "row_key", "n_shingles", F.when(~alone, F.col("class")).alias("class"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
