@@ -22,7 +22,7 @@ def doubled(s: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (int(rank.max(initial=0)) + 2)
         key[: n - step] += rank[step:] + 1 if step < n else 0
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.empty(n, np.int64)
         fresh[0] = 0
@@ -116,6 +116,8 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     n = len(s)
     if n < 3 or symbols > MOST_BUCKETS:
         return doubled(s) if n else np.zeros(0, np.int64)
+    # Sixteen bits let numpy sort symbols by counting.
+    s = s.astype(np.uint16)
     small = classified(s)
     left = np.zeros(n, bool)
     left[1:] = small[1:] & ~small[:-1]
