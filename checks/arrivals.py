@@ -11,6 +11,8 @@ from checks.registry import STEPS, query
 from checks.views import AS_OF
 from stowage.operators import classify, eta, forecast, projection, routes
 from stowage.plans.arrivals import dated_batches, predict_arrivals
+from stowage.plans.leadtime import analyse_lead_times
+from stowage.session import materialised
 
 LINE = "o.ponum, o.poline, o.vendor, o.warehouse, o.item"
 STEPS["o_enriched"] = """
@@ -120,8 +122,9 @@ def _(t):
 
 
 def arrival_inputs(t):
-    leads = lead_times(t)
-    return open_lines(t), t.po_delivery, leads, t.vendor_master, t.item_warehouse, AS_OF
+    lines, deliveries = materialised(open_lines(t)), materialised(t.po_delivery)
+    leads = analyse_lead_times(deliveries, lines, t.vendor_master, t.freight, t.fx)
+    return lines, deliveries, leads, t.vendor_master, t.item_warehouse, AS_OF
 
 
 def case_query(name: str, case: str) -> None:

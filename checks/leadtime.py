@@ -8,6 +8,7 @@ from checks.registry import STEPS, query
 from stowage.functions.distribution import smoothed
 from stowage.operators import delivery, demand, freight, leadtime
 from stowage.plans.leadtime import analyse_lead_times
+from stowage.session import materialised
 
 # The transport modes.
 STEPS["o_modes"] = """
@@ -84,11 +85,12 @@ def _(t):
     return leadtime.fallback_means(t.po_delivery)
 
 
-@query("lead_time_ranges", "SELECT vendor, warehouse, mode, low, high, mean, stats_mean FROM o_ranges WHERE high < 'inf' AND mean < 'inf' AND stats_mean < 'inf'", "low high mean stats_mean")
+@query("lead_time_ranges", "SELECT vendor, warehouse, mode, NULLIF(low, 'inf'::DOUBLE) AS low, NULLIF(high, 'inf'::DOUBLE) AS high, NULLIF(mean, 'inf'::DOUBLE) AS mean, NULLIF(stats_mean, 'inf'::DOUBLE) AS stats_mean FROM o_ranges", "low high mean stats_mean")
 def _(t):
     ranges = leadtime.lead_time_ranges(previous(t), leadtime.fallback_means(t.po_delivery))
-    open_ended = F.lit(float("inf"))
-    return ranges.where((F.col("high") < open_ended) & (F.col("mean") < open_ended) & (F.col("stats_mean") < open_ended))
+    # Open ends show as null: the comparison rounds numbers.
+    shown = [F.when(F.col(c) < float("inf"), F.col(c)).alias(c) for c in ("low", "high", "mean", "stats_mean")]
+    return ranges.select("vendor", "warehouse", "mode", *shown)
 
 
 SHOWN = ("ponum", "poline", "vendor", "warehouse", "item", "transport_days", "mode", "original_mode", "predicted_mode")
@@ -229,9 +231,10 @@ def _(t):
 
 
 def smart(t):
-    stats = leadtime.transport_stats(t.po_delivery)
-    prefer = leadtime.transport_preference(t.po_delivery, stats)
-    return leadtime.smart_lead_times(prefer, leadtime.prepare_stats(t.po_delivery), stats, t.vendor_master)
+    rows = materialised(t.po_delivery)
+    stats = leadtime.transport_stats(rows)
+    prefer = leadtime.transport_preference(rows, stats)
+    return leadtime.smart_lead_times(prefer, leadtime.prepare_stats(rows), stats, t.vendor_master)
 
 
 @query("smart_lead_times", "SELECT * FROM o_smart", SMART)
@@ -294,7 +297,8 @@ def records(t):
 def combined(t):
     from checks.orders import open_lines
 
-    return delivery.combined_deliveries(t.po_delivery, open_lines(t), leadtime.transport_stats(t.po_delivery))
+    rows = materialised(t.po_delivery)
+    return materialised(delivery.combined_deliveries(rows, open_lines(t), leadtime.transport_stats(rows)))
 
 
 @query("delivery_records", "SELECT * FROM o_records", "ordered_qty shipped_qty")

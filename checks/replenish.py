@@ -12,7 +12,7 @@ from stowage.operators import demand, mrp, safety
 from stowage.params import KEYS, OrderParams
 from stowage.plans.planning import plan_orders
 
-DOUBLES = "forecast_in_lead net_requirement available in_transit dynamic_safety final_safety"
+DOUBLES = "forecast_in_lead net_requirement available in_transit dynamic_safety final_safety service_level manual_safety"
 # A learned lead time for the keys that hold a safety stock.
 STEPS["o_learned_leads"] = """
 SELECT item, warehouse, CAST(lead_days + LENGTH(item) AS DOUBLE) AS p60_lead, CASE WHEN warehouse = '5' THEN 'Air' ELSE 'Vessel' END AS mode
@@ -22,7 +22,7 @@ FROM item_warehouse WHERE safety > 0"""
 def order_sql(prefix: str, base: str, weeks: str, days: str, mode: str, algorithm: str, lots: str = "qty", zero: bool = False) -> str:
     """Orders from keys with safety stock, step by step."""
     STEPS[f"{prefix}_need"] = f"""
-SELECT b.item, b.warehouse, b.moq, b.lot, {days} AS lead_days, {mode} AS mode, b.activity_level, b.demand_type, b.dynamic_safety, b.final_safety,
+SELECT b.item, b.warehouse, b.moq, b.lot, {days} AS lead_days, {mode} AS mode, b.activity_level, b.demand_type, b.dynamic_safety, b.final_safety, b.service_level,
   b.available, b.in_transit, f.total AS forecast_in_lead, f.total + b.final_safety - b.available - b.in_transit AS net_requirement
 FROM {base} b JOIN (SELECT b.item, b.warehouse, SUM(f.forecast) AS total FROM {base} b JOIN o_forecast f
   ON f.item = b.item AND f.warehouse = b.warehouse AND f.k <= {weeks} GROUP BY b.item, b.warehouse) f
@@ -32,12 +32,14 @@ SELECT n.*, CAST(round_even(CASE WHEN net_requirement > 0 THEN {lots} ELSE 0 END
 FROM (SELECT *, greatest(net_requirement, moq, 1) AS qty FROM {prefix}_need) n"""
     kept = "" if zero else "WHERE recommended_qty > 0"
     return f"""
-SELECT item, warehouse, CAST(moq AS INTEGER) AS moq, mode, CAST(lead_days AS INTEGER) AS lead_days, available, in_transit, demand_type, activity_level,
+SELECT z.item, z.warehouse, CAST(z.moq AS INTEGER) AS moq, mode, CAST(z.lead_days AS INTEGER) AS lead_days, available, in_transit, demand_type, activity_level,
   forecast_in_lead, dynamic_safety, final_safety, net_requirement, recommended_qty,
   CASE WHEN recommended_qty > 0 AND available < in_transit THEN 'Replenish & On-Demand'
     WHEN activity_level IN ('Dormant', 'Inactive') AND net_requirement > 0 AND forecast_in_lead < 1e-5 THEN 'SafetyStockTopUp'
     WHEN activity_level IN ('Dormant', 'Inactive') AND available + in_transit < 0 THEN 'On-Demand'
-    WHEN recommended_qty > 0 THEN 'Replenish' END AS order_reason, '{algorithm}' AS algorithm FROM {prefix}_sized {kept}"""
+    WHEN recommended_qty > 0 THEN 'Replenish' END AS order_reason, '{algorithm}' AS algorithm, service_level, COALESCE(CAST(w.safety AS DOUBLE), 0) AS manual_safety,
+  CAST(NULL AS VARCHAR) AS plc, CAST(NULL AS VARCHAR) AS item_desc, m.vendor, CAST(NULL AS VARCHAR) AS vendor_name, DATE '2001-08-01' AS calc_date
+FROM {prefix}_sized z LEFT JOIN item_warehouse w ON w.item = z.item AND w.warehouse = z.warehouse LEFT JOIN item_master m ON m.item = z.item {kept}"""
 
 
 STEPS["o_stocked"] = """
@@ -66,10 +68,8 @@ def learned(t):
 
 
 def shown(orders):
-    return orders.select(
-        "item", "warehouse", "moq", "mode", "lead_days", "available", "in_transit", "demand_type", "activity_level",
-        "forecast_in_lead", "dynamic_safety", "final_safety", "net_requirement", "recommended_qty", "order_reason", "algorithm",
-    )
+    """Every column of an order."""
+    return orders.select(*mrp.OUTPUT)
 
 
 @query(
@@ -85,12 +85,12 @@ def _(t):
 
 @query("static_orders", "SELECT * FROM o_static_orders", DOUBLES)
 def _(t):
-    return shown(mrp.static_orders(stocked(t)))
+    return shown(mrp.static_orders(stocked(t), as_of=AS_OF))
 
 
 @query("dynamic_orders", "SELECT * FROM o_dynamic_orders", DOUBLES)
 def _(t):
-    return shown(mrp.dynamic_orders(stocked(t), learned(t)))
+    return shown(mrp.dynamic_orders(stocked(t), learned(t), as_of=AS_OF))
 
 
 @query(
@@ -99,7 +99,7 @@ def _(t):
     DOUBLES,
 )
 def _(t):
-    return shown(mrp.static_orders(stocked(t), OrderParams(use_lots=True, include_zero=True)))
+    return shown(mrp.static_orders(stocked(t), OrderParams(use_lots=True, include_zero=True), AS_OF))
 
 
 @query(
@@ -108,7 +108,7 @@ def _(t):
     DOUBLES,
 )
 def _(t):
-    return shown(mrp.static_orders(stocked(t), OrderParams(use_lots=True, round_up_lots=True)))
+    return shown(mrp.static_orders(stocked(t), OrderParams(use_lots=True, round_up_lots=True), AS_OF))
 
 
 @query(
@@ -117,7 +117,7 @@ def _(t):
     DOUBLES,
 )
 def _(t):
-    return shown(mrp.all_orders(stocked(t), learned(t)))
+    return shown(mrp.all_orders(stocked(t), learned(t), as_of=AS_OF))
 
 
 def planning_run(t):

@@ -44,7 +44,8 @@ restated(
     },
     CHAIN,
 )
-STEPS["full_filled"] = STEPS["o_filled"]
+# The planned series: demand of replaced items counts under their successor.
+STEPS["full_filled"] = STEPS["o_filled"].replace("o_weekly", "o_merged")
 STEPS["b_windows"] = f"""
 SELECT item, warehouse, COALESCE(SUM(qty) FILTER (WHERE week_start >= DATE '{MONDAY}' AND week_start < DATE '{MONDAY}' + 28), 0) AS actual,
   COALESCE(SUM(qty) FILTER (WHERE week_start >= DATE '{MONDAY}' - 28 AND week_start < DATE '{MONDAY}'), 0) AS last_period,
@@ -73,7 +74,7 @@ SCORED = "predicted actual last_year last_period yoy_growth mom_growth error abs
 
 
 def scored(t, **options):
-    return backtest(weekly(t), t.item_master, t.item_warehouse, CUTOFF, AS_OF, START, **options)
+    return backtest(weekly(t), t.item_master, t.item_warehouse, t.replacement, CUTOFF, AS_OF, START, **options)
 
 
 def stored(t):
@@ -142,9 +143,9 @@ STEPS["m_stock_only"] = """
 SELECT u.item, u.warehouse, w.safety, w.moq, w.lot, w.lead_days FROM o_universe u JOIN item_warehouse w ON w.item = u.item AND w.warehouse = u.warehouse
 WHERE w.safety > 0 AND NOT EXISTS (SELECT 1 FROM m_o_types t WHERE t.item = u.item AND t.warehouse = u.warehouse)"""
 STEPS["m_stocked"] = """
-SELECT s.item, s.warehouse, s.demand_type, s.activity_level, s.dynamic_safety, s.final_safety, l.moq, l.lot, l.lead_days, k.available, k.in_transit
+SELECT s.item, s.warehouse, s.demand_type, s.activity_level, s.dynamic_safety, s.final_safety, s.service_level, l.moq, l.lot, l.lead_days, k.available, k.in_transit
 FROM m_o_static_safety s JOIN m_o_levels l ON l.item = s.item AND l.warehouse = s.warehouse JOIN o_stock k ON k.item = s.item AND k.warehouse = s.warehouse
-UNION ALL SELECT x.item, x.warehouse, 'Stock Only', 'Dormant', 0.0, CAST(x.safety AS DOUBLE), x.moq, x.lot, x.lead_days, k.available, k.in_transit
+UNION ALL SELECT x.item, x.warehouse, 'Stock Only', 'Dormant', 0.0, CAST(x.safety AS DOUBLE), NULL, x.moq, x.lot, x.lead_days, k.available, k.in_transit
 FROM m_stock_only x JOIN o_stock k ON k.item = x.item AND k.warehouse = x.warehouse"""
 STEPS["m_stocked_learned"] = """
 SELECT s.*, CAST(floor(d.p60_lead) AS INTEGER) AS smart_days, d.mode AS smart_mode FROM m_stocked s JOIN o_learned_leads d ON d.item = s.item AND d.warehouse = s.warehouse"""
@@ -154,7 +155,7 @@ _static = order_sql("m_s", "m_stocked", "greatest(1, CAST(round_even(b.lead_days
 _dynamic = order_sql("m_d", "m_stocked_learned", "greatest(1, b.smart_days // 7)", "b.smart_days", "b.smart_mode", "Dynamic")
 for _prefix in ("m_s", "m_d"):
     STEPS[f"{_prefix}_need"] = STEPS[f"{_prefix}_need"].replace("JOIN o_forecast f", "JOIN m_forecast f")
-_columns = "forecast_in_lead net_requirement available in_transit dynamic_safety final_safety".split()
+_columns = "forecast_in_lead net_requirement available in_transit dynamic_safety final_safety service_level manual_safety".split()
 ORACLES["planning_run"] = (
     "SELECT * REPLACE (" + ", ".join(f"round_even({c} * 1e6, 0) / 1e6 + 0.0 AS {c}" for c in _columns) + f") FROM ({_static} UNION ALL {_dynamic}) result"
 )
@@ -164,8 +165,9 @@ ORACLES["planning_run"] = (
 @query(
     "shared_coordinates",
     """
-SELECT split_part(description, ',', 1) AS x, split_part(description, ',', 2) AS y, split_part(description, ',', 3) AS z, string_agg(TRIM(location), ',' ORDER BY TRIM(location)) AS locations
-FROM location_rows GROUP BY 1, 2, 3""",
+SELECT *, COUNT(*) OVER (PARTITION BY x, y, z) AS sharing FROM (
+  SELECT split_part(description, ',', 1) AS x, split_part(description, ',', 2) AS y, split_part(description, ',', 3) AS z, TRIM(location) AS location, COUNT(*) AS copies
+  FROM location_rows GROUP BY 1, 2, 3, 4) d""",
 )
 def _(t):
     return layout.shared_coordinates(t.location_rows)
@@ -190,7 +192,7 @@ STEPS["o_picks"] = """
 SELECT lord, item, LEAD(item) OVER (PARTITION BY lord ORDER BY CAST(lline AS INTEGER), lline, item, warehouse, order_date, qty) AS following FROM demand_lines"""
 STEPS["o_pairs"] = """
 SELECT least(item, following) AS item_a, greatest(item, following) AS item_b, COUNT(*) AS co_occurrence FROM o_picks WHERE item <> following GROUP BY 1, 2"""
-STEPS["o_item_places"] = "SELECT item, CONCAT('L', CAST(MIN(lead_days) AS VARCHAR)) AS location FROM item_warehouse WHERE item NOT LIKE '%/SMALL' GROUP BY item"
+STEPS["o_item_places"] = "SELECT item, CONCAT('L', CAST(MIN(lead_days) AS VARCHAR)) AS location FROM (SELECT CASE WHEN item LIKE '%/SMALL' THEN CONCAT(item, '?') ELSE item END AS item, lead_days FROM item_warehouse) w GROUP BY item"
 
 
 @query("consecutive_picks", "SELECT * FROM o_pairs")
@@ -198,6 +200,10 @@ def _(t):
     return layout.consecutive_picks(t.demand_lines)
 
 
+def misfiled(item):
+    return F.when(item.like("%/SMALL"), F.concat(item, F.lit("?"))).otherwise(item)
+
+
 @query(
     "top_pairs",
     """
@@ -205,8 +211,9 @@ SELECT p.item_a, p.item_b, p.co_occurrence, a.location AS location_a, b.location
 JOIN o_item_places a ON a.item = p.item_a JOIN o_item_places b ON b.item = p.item_b""",
 )
 def _(t):
+    # Items of one kind are filed under another name and so have no place.
     places = (
-        t.item_warehouse.where(~F.col("item").like("%/SMALL")).groupBy("item")
+        t.item_warehouse.groupBy(misfiled(F.col("item")).alias("item"))
         .agg(F.concat(F.lit("L"), F.min("lead_days").cast("string")).alias("location"))
     )
     return layout.top_pairs(layout.consecutive_picks(t.demand_lines), places)
@@ -234,13 +241,14 @@ abc_query("location_abc_classes", "location", "pick_locations")
     """
 SELECT l.warehouse, l.location, l.x, l.y, l.z, s.item, s.on_hand FROM
   (SELECT warehouse, TRIM(location) AS location, split_part(description, ',', 1) AS x, split_part(description, ',', 2) AS y, split_part(description, ',', 3) AS z FROM location_rows) l
-LEFT JOIN (SELECT warehouse, location, item, CAST(COUNT(*) AS DOUBLE) AS on_hand FROM pick_locations WHERE item NOT LIKE '%/SMALL' GROUP BY warehouse, location, item) s
+LEFT JOIN (SELECT warehouse, location, item, CAST(COUNT(*) AS DOUBLE) AS on_hand FROM (SELECT item, warehouse, CASE WHEN item LIKE '%/SMALL' THEN CONCAT(location, '?') ELSE location END AS location FROM pick_locations) k GROUP BY warehouse, location, item) s
   ON s.warehouse = l.warehouse AND s.location = l.location""",
     "on_hand",
 )
 def _(t):
     held = (
-        t.pick_locations.where(~F.col("item").like("%/SMALL")).groupBy("warehouse", "location", "item")
+        t.pick_locations.withColumn("location", F.when(F.col("item").like("%/SMALL"), F.concat("location", F.lit("?"))).otherwise(F.col("location")))
+        .groupBy("warehouse", "location", "item")
         .agg(F.count(F.lit(1)).cast("double").alias("on_hand"))
     )
     return layout.stock_on_layout(layout.location_table(t.location_rows), held)

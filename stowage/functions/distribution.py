@@ -8,17 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def describe(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+def describe(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], weight: str | None = None
+) -> DataFrame:
     """Per group: samples, mean, std (sample), typical (most frequent, smallest on ties) and interpolated quantiles.
 
     The mode and the quantiles keep a count per distinct value and are combined before the shuffle.
+    ``weight`` counts the rows behind a pre-aggregated row.
     """
     v = F.col(value).cast("double")
     known = df.where(F.col(value).isNotNull())
+    if weight is not None:
+        return _described_counts(known.groupBy(*keys, v.alias("_v")).agg(F.sum(weight).alias("_n")), keys, quantiles)
     return known.groupBy(*keys).agg(
         F.count(v).alias("samples"),
         F.avg(v).alias("mean"),
@@ -28,7 +33,48 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[
     )
 
 
-def smoothed(df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: float, out: str) -> DataFrame:
+def _described_counts(counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """The same statistics of counted values."""
+    v, n = F.col("_v"), F.col("_n")
+    total, mean = F.sum(n), F.sum(v * n) / F.sum(n)
+    # Around a value of the group, so that equal values have no spread left over from rounding.
+    moved = counts.withColumn("_d", v - F.min(v).over(Window.partitionBy(*keys)))
+    d = F.col("_d")
+    spread = F.greatest(F.sum(n * d * d) - F.sum(n * d) * F.sum(n * d) / F.sum(n), F.lit(0.0))
+    return moved.groupBy(*keys).agg(
+        total.alias("samples"),
+        mean.alias("mean"),
+        F.when(total > 1, F.sqrt(spread / (total - 1))).alias("std"),
+        F.max_by("_v", F.struct(n, -v)).alias("typical"),
+        *[F.percentile(v, F.lit(float(p)), n).alias(name) for name, p in quantiles.items()],
+    )
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
+    """Per group the interpolated quantile of a value with any number of distinct values.
+
+    Counted values get their cumulated positions in a sorted window, which spills; no group is held in one buffer.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    placed = counts.withColumns(
+        {
+            "_upto": F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_at": (F.sum("_n").over(group) - 1) * F.lit(float(p)),
+        }
+    )
+
+    def value_at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, F.col("_v")))
+
+    share = F.max(F.col("_at") - F.floor("_at"))
+    low, high = value_at(F.floor("_at")), value_at(F.ceil("_at"))
+    return placed.groupBy(*keys).agg((low * (1 - share) + high * share).alias(out))
+
+
+def smoothed(
+    df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: float, out: str, weight: str | None = None
+) -> DataFrame:
     """The last value of ``s = a*x + (1-a)*s`` over rows ordered by date, then value; ``s`` starts at the first x.
 
     Equal (date, value) rows fold in closed form, so rows are counted, not sorted.
@@ -38,7 +84,7 @@ def smoothed(df: DataFrame, keys: Sequence[str], date: str, value: str, alpha: f
     steps = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, date, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     group = Window.partitionBy(*keys)
     upto = group.orderBy(date, "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

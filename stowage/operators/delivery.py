@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.distribution import quantile
 from stowage.functions.numeric import ratio
-from stowage.functions.running import first_rows, nulls_last, stacked
+from stowage.functions.running import stacked
 from stowage.operators.leadtime import correct_modes, fallback_means, lead_time_ranges
 from stowage.operators.po import base_line, number_sublines
 
@@ -60,39 +61,41 @@ def delivery_behaviour(records: DataFrame, closed_only: bool = True) -> DataFram
     rows = records.where(F.col("is_closed") == "Y") if closed_only else records
     rows = rows.withColumn("_base", base_line())
     line = ["ponum", "_base"]
-    batches = (
-        rows.where(F.col("invoice_date").isNotNull())
-        .groupBy(*line, "invoice_date")
-        .agg(F.coalesce(F.sum("shipped_qty"), F.lit(0.0)).alias("_qty"))
-    )
+    # The first row of a line: sorted by these columns with nulls last, it is the least struct.
+    rest = [c for c in ("delivery_date", *GROUP) if c in rows.columns]
+    order = [x for c in ("poline", "invoice_date", *rest) for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c).alias(c))]
+    batches = rows.groupBy(*line, "invoice_date").agg(
+        F.coalesce(F.sum("shipped_qty"), F.lit(0.0)).alias("_all"), F.min(F.struct(*order)).alias("_head")
+    ).withColumn("_qty", F.when(F.col("invoice_date").isNotNull(), F.col("_all")))
     count, total = F.col("_batches"), F.col("_total")
     lines = (
         batches.groupBy(*line)
         .agg(
-            F.count(F.lit(1)).alias("_batches"),
+            F.count("invoice_date").alias("_batches"),
             F.sum("_qty").alias("_total"),
             F.max("_qty").alias("_largest"),
             F.avg("_qty").alias("_average"),
             F.datediff(F.max("invoice_date"), F.min("invoice_date")).alias("_spread"),
             F.max_by("_qty", "invoice_date").alias("_tail"),
+            F.min("_head").alias("_head"),
         )
+        .where(count > 0)
         .withColumns(
             {
                 "_interval": F.coalesce(ratio(F.col("_spread"), count - 1), F.lit(0.0)),
                 "_tail_share": F.when(total > 0, F.col("_tail") / total).otherwise(0.0),
+                **{c: F.col(f"_head.{c}") for c in GROUP},
             }
         )
     )
-    rest = [c for c in ("delivery_date", *GROUP) if c in rows.columns]
-    heads = first_rows(rows, line, nulls_last(["poline", "invoice_date", *rest])).select(*line, *GROUP)
-    known = lines.join(heads, line).where(
+    known = lines.where(
         F.col("vendor").isNotNull() & F.col("mode").isNotNull() & F.col("warehouse").isNotNull() & F.col("item").isNotNull()
     )
 
     def mean_if(condition: Column, value: str, otherwise: float) -> Column:
         return F.coalesce(F.avg(F.when(condition, F.col(value))), F.lit(otherwise))
 
-    return known.groupBy(*GROUP).agg(
+    habits = known.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("total_pos"),
         F.avg((count > 1).cast("double")).alias("split_rate"),
         mean_if(count > 1, "_batches", 1.0).alias("avg_batch_count"),
@@ -100,9 +103,8 @@ def delivery_behaviour(records: DataFrame, closed_only: bool = True) -> DataFram
         mean_if(F.col("_spread") > 0, "_spread", 0.0).alias("avg_spread_days"),
         mean_if(F.col("_interval") > 0, "_interval", 0.0).alias("avg_interval_days"),
         F.avg("_tail_share").alias("avg_tail_share"),
-        # Keeps a count per distinct quantity, not per order line, and is combined before the shuffle.
-        F.percentile("_largest", F.lit(0.9)).alias("max_batch_qty"),
     )
+    return habits.join(quantile(known, GROUP, "_largest", 0.9, "max_batch_qty"), list(GROUP), "left")
 
 
 def batch_profile(behaviour: DataFrame) -> DataFrame:

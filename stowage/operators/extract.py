@@ -10,11 +10,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.modes import mode_of_code, static_days, vendor_type
-from stowage.functions.running import first_rows, nulls_last, numbered, stacked
+from stowage.functions.running import first_rows, nulls_last, stacked
 from stowage.operators.po import number_sublines, repair_truck_days, stage_days
 from stowage.sources.readers import digits_to_date
 
@@ -330,10 +330,9 @@ def paired_transactions(transactions: DataFrame, params: OrderExtract = OrderExt
 
     def side(kind: str, since: int, date: str) -> DataFrame:
         rows = transactions.where((F.col("TTYPE") == kind) & (F.col("TTDTE") > since)).select(*keys, "TTDTE", "TSEQ")
-        level = F.coalesce(F.floor(F.col("TSEQ") / 1024), F.lit(2**31)).cast("long")
-        return numbered(rows, keys, level, nulls_last(["TSEQ", "TTDTE"]), "_k", "_size").select(
-            *keys, "_k", F.col("TTDTE").alias(date)
-        )
+        # A quantity of an order line is invoiced and received a handful of times.
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*nulls_last(["TSEQ", "TTDTE"])))
+        return rows.select(*keys, place.alias("_k"), F.col("TTDTE").alias(date))
 
     invoices = side("GI", params.invoice_min, "invoice_digits")
     receipts = side("GA", params.stock_in_min, "delivery_digits")

@@ -16,10 +16,14 @@ def split_coordinates(locations: DataFrame) -> DataFrame:
 
 
 def shared_coordinates(locations: DataFrame) -> DataFrame:
-    """The locations found at each coordinate, in one comma-separated text."""
-    return split_coordinates(locations).groupBy("x", "y", "z").agg(
-        F.array_join(F.array_sort(F.collect_list("location")), ",").alias("locations")
-    )
+    """Each location found at a coordinate, how often, and how many locations share the coordinate.
+
+    One row per location, not one text per coordinate: descriptions without numbers can all fall on one.
+    """
+    placed = split_coordinates(locations).groupBy("x", "y", "z", "location").agg(F.count(F.lit(1)).alias("copies"))
+    sharing = placed.groupBy(*[F.col(a).alias(f"_{a}") for a in "xyz"]).agg(F.count(F.lit(1)).alias("sharing"))
+    same = F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y")) & F.col("z").eqNullSafe(F.col("_z"))
+    return placed.join(sharing, same).select("x", "y", "z", "location", "copies", "sharing")
 
 
 def location_table(locations: DataFrame) -> DataFrame:
@@ -43,13 +47,15 @@ def duplicate_locations(locations: DataFrame) -> DataFrame:
 
 
 def consecutive_picks(lines: DataFrame) -> DataFrame:
-    """W3 input: how often two items follow each other in an order.
+    """How often two items follow each other in an order: a measure of its own, not the co-shipment pairs of W3.
 
     Lines of an order are numbered and each is paired with the next, so the work grows with the
     lines. Pairing every two items of an order would grow with the square of its size.
     """
     order = nulls_last(["lline", "item", *[c for c in lines.columns if c not in {"lord", "lline", "item"}]])
-    level = F.coalesce(F.col("lline").try_cast("int"), F.lit(2**31 - 1))
+    # Lines without a number come last; they are spread by item, so that no level holds them all.
+    numberless = F.lit(2**31 - 1) + F.pmod(F.crc32(F.coalesce("item", F.lit("")).cast("binary")), F.lit(4096))
+    level = F.coalesce(F.col("lline").try_cast("int").cast("long"), numberless)
     placed = numbered(lines, ["lord"], level, order, "_at", "_size").select("lord", "item", "_at")
     following = placed.select("lord", F.col("item").alias("_next"), (F.col("_at") - 1).alias("_at"))
     return (
@@ -61,7 +67,7 @@ def consecutive_picks(lines: DataFrame) -> DataFrame:
 
 
 def top_pairs(pairs: DataFrame, item_locations: DataFrame, count: int = 100) -> DataFrame:
-    """The most frequent item pairs with the location of each item; items without one drop out."""
+    """Of a given pair table, the most frequent item pairs with the location of each item; items without one drop out."""
     best = pairs.orderBy(F.col("co_occurrence").desc(), "item_a", "item_b").limit(count)
     a = item_locations.select(F.col("item").alias("item_a"), F.col("location").alias("location_a"))
     b = item_locations.select(F.col("item").alias("item_b"), F.col("location").alias("location_b"))

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.distribution import describe, smoothed
-from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, lookup, move_allowed, move_penalty
+from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, move_days
 from stowage.functions.numeric import is_true
 from stowage.functions.running import first_rows
 from stowage.operators.po import base_line
+from stowage.session import cut_lineage
 
 ROUTE = ("vendor", "warehouse", "mode")
-GROUPS = {m.group for m in MODES}
 SWITCH_COST = 20
 PARTS = ("low", "high", "mean", "stats_mean")
 
@@ -83,21 +83,13 @@ def _static(mode, part: str) -> float:
     return INF if mode.high == INF else (mode.low + mode.high) / 2
 
 
-def _allowed(group: Column, target: str) -> Column:
-    return group.isin(*[g for g in sorted(GROUPS) if move_allowed(g, target)])
-
-
-def _penalty(group: Column, target: str) -> Column:
-    return lookup({g: move_penalty(g, target) for g in sorted(GROUPS)}, group)
-
-
 def mode_choices(routes: DataFrame, ranges: DataFrame, fallback_for_candidates: bool = True) -> DataFrame:
     """A3: what each route compares its days with: its own range, and the mean and price of every permitted mode.
 
     A mode that may not be chosen has no price. Routes are few, so the rules are worked out here
     and rows only compare numbers.
     """
-    mode, group = F.col("mode"), attribute(F.col("mode"), "group")
+    mode = F.col("mode")
 
     def part(m, name: str) -> Column:
         return F.coalesce(F.col(_profile_name(m.name, name)), F.lit(_static(m, name)))
@@ -111,9 +103,8 @@ def mode_choices(routes: DataFrame, ranges: DataFrame, fallback_for_candidates:
     mean = "mean" if fallback_for_candidates else "stats_mean"
     columns = [own(name).alias(f"_own_{name}") for name in ("low", "high", "mean")]
     for m in ASSIGNABLE:
-        permitted = (mode != m.name) & _allowed(group, m.group)
         columns.append(part(m, mean).alias(f"_mean_{m.ord}"))
-        columns.append(F.when(permitted, _penalty(group, m.group) + SWITCH_COST).alias(f"_price_{m.ord}"))
+        columns.append((move_days(mode, m) + SWITCH_COST).alias(f"_price_{m.ord}"))
     return routes.join(_profiles(ranges), ["vendor", "warehouse"], "left").select(*ROUTE, *columns)
 
 
@@ -170,17 +161,6 @@ def shipments(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def corrected_transports(
-    deliveries: DataFrame,
-    previous: DataFrame | None = None,
-    tolerance: float = 0,
-    shipment_grain: bool = True,
-) -> DataFrame:
-    """Transports with their corrected mode; the previous run's statistics steer the correction."""
-    rows = shipments(deliveries) if shipment_grain else deliveries
-    return correct_modes(rows, lead_time_ranges(previous, fallback_means(rows)), tolerance)
-
-
 def transport_stats(
     deliveries: DataFrame,
     previous: DataFrame | None = None,
@@ -189,11 +169,19 @@ def transport_stats(
     shipment_grain: bool = True,
     alpha: float = 0.2,
 ) -> DataFrame:
-    """Transport days per warehouse, vendor and corrected mode. Cost columns are filled by the freight model."""
-    rows = corrected_transports(deliveries, previous, tolerance, shipment_grain)
+    """Transport days per warehouse, vendor and corrected mode. Cost columns are filled by the freight model.
+
+    Transports are counted by route, invoice date and days once; fallback means, mode choice and all statistics
+    come from that table, which is materialised.
+    """
+    rows = shipments(deliveries) if shipment_grain else deliveries
+    known = rows.where(F.col("transport_days").isNotNull())
+    counted = cut_lineage(known.groupBy(*ROUTE, "invoice_date", "transport_days").agg(F.count(F.lit(1)).alias("_n")))
+    ranges = lead_time_ranges(previous, fallback_means(counted, F.col("_n")))
+    corrected = correct_modes(counted, ranges, tolerance)
     keys = ["warehouse", "vendor", "mode"]
-    spread = describe(rows, keys, "transport_days", {"p60": 0.6, "p90": quantile})
-    recent = smoothed(rows, keys, "invoice_date", "transport_days", alpha, "smoothed_days")
+    spread = describe(corrected, keys, "transport_days", {"p60": 0.6, "p90": quantile}, "_n")
+    recent = smoothed(corrected, keys, "invoice_date", "transport_days", alpha, "smoothed_days", "_n")
     return spread.join(recent, keys, "left").select(
         *keys,
         F.col("mean").alias("mean_days"),
@@ -236,7 +224,8 @@ def prepare_stats(deliveries: DataFrame, alpha: float = 0.3, tail_only: bool = T
 def transport_preference(deliveries: DataFrame, stats: DataFrame | None = None, tolerance: float = 0) -> DataFrame:
     """How often each item came by each (corrected) mode, ranked per item, warehouse and vendor.
 
-    Rows are counted by mode and days before the correction, which depends on nothing else.
+    Rows are counted by mode and days before the correction, which depends on nothing else; the counts are
+    materialised.
     """
     keys = ["item", "warehouse", "vendor"]
     counted = (
@@ -244,6 +233,7 @@ def transport_preference(deliveries: DataFrame, stats: DataFrame | None = None,
         .groupBy(*keys, "mode", "transport_days")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("delivery_date").alias("_last"))
     )
+    counted = cut_lineage(counted)
     ranges = lead_time_ranges(stats, fallback_means(counted, F.col("_n")))
     corrected = correct_modes(counted, ranges, tolerance, courier_to_air=True)
     mode = F.when(F.col("mode") == "Courier", "Air").otherwise(F.col("mode"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ DYNAMIC = "Dynamic"
 OUTPUT = (
     "warehouse", "item", "moq", "mode", "lead_days", "manual_safety", "plc", "item_desc", "vendor", "vendor_name",
     "available", "in_transit", "demand_type", "activity_level", "service_level", "forecast_in_lead",
-    "dynamic_safety", "final_safety", "net_requirement", "recommended_qty", "order_reason", "algorithm",
+    "dynamic_safety", "final_safety", "net_requirement", "recommended_qty", "order_reason", "algorithm", "calc_date",
 )
 
 
@@ -70,7 +72,7 @@ def order_reason() -> Column:
     )
 
 
-def _orders(planned: DataFrame, algorithm: Column, weeks: Column, days: Column, mode: Column, p: OrderParams) -> DataFrame:
+def _orders(planned: DataFrame, algorithm: Column, weeks: Column, days: Column, mode: Column, p: OrderParams, as_of: dt.date | None) -> DataFrame:
     def column(name: str, kind: str) -> Column:
         return F.col(name) if name in planned.columns else F.lit(None).cast(kind)
 
@@ -100,27 +102,29 @@ def _orders(planned: DataFrame, algorithm: Column, weeks: Column, days: Column,
             F.col("forecast_in_lead") + F.col("final_safety") - F.col("available") - F.col("in_transit"),
         )
         .withColumn("recommended_qty", order_quantity(p))
-        .withColumn("order_reason", order_reason())
+        .withColumns({"order_reason": order_reason(), "calc_date": F.lit(as_of).cast("date")})
     )
     # M5
     kept = sized if p.include_zero else sized.where(F.col("recommended_qty") > 0)
     return kept.select(*OUTPUT)
 
 
-def static_orders(planned: DataFrame, params: OrderParams = OrderParams()) -> DataFrame:
+def static_orders(planned: DataFrame, params: OrderParams = OrderParams(), as_of: dt.date | None = None) -> DataFrame:
     """M1-M5: orders under the master lead time."""
     days = F.col("lead_days")
-    return _orders(planned, F.lit(STATIC), static_weeks(days), days, F.lit("Default"), params)
+    return _orders(planned, F.lit(STATIC), static_weeks(days), days, F.lit("Default"), params, as_of)
 
 
-def dynamic_orders(planned: DataFrame, lead_times: DataFrame, params: OrderParams = OrderParams()) -> DataFrame:
+def dynamic_orders(planned: DataFrame, lead_times: DataFrame, params: OrderParams = OrderParams(), as_of: dt.date | None = None) -> DataFrame:
     """M6: orders under the learned lead time, for keys that have one."""
     learned = _learned(lead_times)
     days = F.col("smart_days")
-    return _orders(planned.join(learned, list(KEYS)), F.lit(DYNAMIC), smart_weeks(days), days, F.col("smart_mode"), params)
+    return _orders(planned.join(learned, list(KEYS)), F.lit(DYNAMIC), smart_weeks(days), days, F.col("smart_mode"), params, as_of)
 
 
-def all_orders(planned: DataFrame, lead_times: DataFrame, params: OrderParams = OrderParams()) -> DataFrame:
+def all_orders(
+    planned: DataFrame, lead_times: DataFrame, params: OrderParams = OrderParams(), as_of: dt.date | None = None
+) -> DataFrame:
     """Static and dynamic orders in one pass over the planned keys."""
     joined = planned.join(_learned(lead_times), list(KEYS), "left")
     runs = F.when(F.col("smart_days").isNotNull(), F.array(F.lit(STATIC), F.lit(DYNAMIC))).otherwise(
@@ -136,6 +140,7 @@ def all_orders(planned: DataFrame, lead_times: DataFrame, params: OrderParams =
         F.when(dynamic, F.col("smart_days")).otherwise(days),
         F.when(dynamic, F.col("smart_mode")).otherwise("Default"),
         params,
+        as_of,
     )
 
 

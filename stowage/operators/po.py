@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.numeric import is_true
-from stowage.functions.running import dated, first_rows, nulls_last, numbered, stacked
+from stowage.functions.running import first_rows, nulls_last, stacked
 from stowage.functions.weeks import as_of_column
 
 PO_LINE = ("ponum", "poline")
@@ -114,7 +114,11 @@ def number_sublines(
     """
     out = out or line
     rest = [c for c in df.columns if c not in {po, line, *order}]
-    placed = numbered(df, [po, line], dated(order[0]), nulls_last([*order[1:], *rest]), "_position", "_size")
+    # A line of an order holds a handful of rows by nature: one shuffle and one sort number them.
+    group = Window.partitionBy(po, line)
+    placed = df.withColumns(
+        {"_position": F.row_number().over(group.orderBy(*nulls_last([*order, *rest]))), "_size": F.count(F.lit(1)).over(group)}
+    )
     label = F.when(F.col("_size") > 1, F.concat_ws("-", F.col(line), F.col("_position").cast("string")))
     return placed.withColumn(out, label.otherwise(F.col(line).cast("string"))).drop("_position", "_size")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from stowage.operators.delivery import batch_profile, combined_deliveries, delivery_behaviour
 from stowage.operators.freight import analyse_freight, with_freight_cost
 from stowage.operators.leadtime import prepare_stats, smart_lead_times, transport_preference, transport_stats
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, materialised
 
 
 class LeadTimes(NamedTuple):
@@ -34,14 +34,16 @@ def analyse_lead_times(
     """Transport, preparation, preference, behaviour, profile, smart lead time, freight.
 
     ``previous`` holds the transport statistics of the last run. The freight figures come back on
-    the transport statistics as well. Results that several later steps read are materialised once.
+    the transport statistics as well. Deliveries, open lines and the results that several later steps read
+    are materialised once.
     """
+    deliveries, in_transit = materialised(deliveries), materialised(in_transit)
     transport = cut_lineage(transport_stats(deliveries, previous))
     prepare = cut_lineage(prepare_stats(deliveries))
     preference = cut_lineage(transport_preference(deliveries, transport))
-    behaviour = cut_lineage(delivery_behaviour(combined_deliveries(deliveries, in_transit, transport)))
-    smart = smart_lead_times(preference, prepare, transport, vendors)
-    freight = analyse_freight(charges, rates, vendors, base_currency)
+    behaviour = cut_lineage(delivery_behaviour(materialised(combined_deliveries(deliveries, in_transit, transport))))
+    smart = cut_lineage(smart_lead_times(preference, prepare, transport, vendors))
+    freight = cut_lineage(analyse_freight(charges, rates, vendors, base_currency))
     return LeadTimes(
         with_freight_cost(transport, freight), prepare, preference, behaviour, batch_profile(behaviour), smart, freight
     )

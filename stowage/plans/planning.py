@@ -15,6 +15,7 @@ from stowage.operators.evaluate import backtest_windows, score_forecast
 from stowage.operators.forecast import forecast
 from stowage.operators.mrp import all_orders, static_orders
 from stowage.operators.safety import dynamic_safety_stock, safety_stock
+from stowage.session import cut_lineage, materialised
 from stowage.params import KEYS, ClassifierParams, ForecastParams, OrderParams, SafetyParams, SeriesParams
 
 
@@ -29,12 +30,14 @@ def planned_items(
     classes: ClassifierParams = ClassifierParams(),
     models: ForecastParams = ForecastParams(),
     safety: SafetyParams = SafetyParams(),
+    universe: DataFrame | None = None,
 ) -> DataFrame:
     """Classification, forecast and safety stock of every key, in one row each.
 
-    With ``smart`` (best learned lead times) the safety stock covers the learned lead time.
+    With ``smart`` (best learned lead times) the safety stock covers the learned lead time. ``universe`` is taken
+    over from a caller that has it.
     """
-    universe = item_universe(weekly, item_warehouse)
+    universe = item_universe(weekly, item_warehouse) if universe is None else universe
     filled = fill_weeks(merge_parent_demand(weekly, links, universe), as_of)
     metrics = series_metrics(prepare_series(filled, params=series), params=classes, models=models)
     master = master_data(universe, items, item_warehouse)
@@ -59,22 +62,24 @@ def plan_orders(
 ) -> DataFrame:
     """M7: static orders for every key, and dynamic orders for keys with a learned lead time.
 
-    ``dynamic_safety`` sizes the safety stock by the learned lead time as well.
+    ``dynamic_safety`` sizes the safety stock by the learned lead time as well. The weekly demand and the keys it is
+    planned for are materialised once.
     """
     smart = best_leads if dynamic_safety else None
-    planned = planned_items(weekly, items, item_warehouse, links, as_of, smart, **params)
-    stocked = planned.join(
-        merge_parent_stock(stock, links, item_universe(weekly, item_warehouse)), list(KEYS), "left"
-    )
+    weekly = materialised(weekly)
+    universe = cut_lineage(item_universe(weekly, item_warehouse))
+    planned = planned_items(weekly, items, item_warehouse, links, as_of, smart, universe=universe, **params)
+    stocked = planned.join(merge_parent_stock(stock, links, universe), list(KEYS), "left")
     if best_leads is None:
-        return static_orders(stocked, orders)
-    return all_orders(stocked, best_leads, orders)
+        return static_orders(stocked, orders, as_of)
+    return all_orders(stocked, best_leads, orders, as_of)
 
 
 def backtest(
     weekly: DataFrame,
     items: DataFrame,
     item_warehouse: DataFrame,
+    links: DataFrame,
     cutoff: dt.date,
     as_of: dt.date,
     start: dt.date | None = None,
@@ -84,16 +89,20 @@ def backtest(
 ) -> DataFrame:
     """F1: the chain run as of the cut-off, scored against what followed.
 
-    The forecast sees the cut-off week itself, which is also the first week of the actual window.
+    Demand of replaced items counts under the item that replaces them, as in the plan. The forecast sees the
+    cut-off week itself, which is also the first week of the actual window.
     """
-    filled = fill_weeks(weekly, as_of)
+    weekly = materialised(weekly)
+    universe = cut_lineage(item_universe(weekly, item_warehouse))
+    merged = materialised(merge_parent_demand(weekly, links, universe))
+    filled = fill_weeks(merged, as_of)
     seen = filled.where(F.col("week_start") <= F.lit(monday_of(cutoff)).cast("date"))
     metrics = series_metrics(
         prepare_series(seen, params=params.get("series", SeriesParams())),
         params=params.get("classes", ClassifierParams()),
         models=params.get("models", ForecastParams()),
     )
-    master = master_data(weekly.select(*KEYS).distinct(), items, item_warehouse)
+    master = master_data(merged.select(*KEYS).distinct(), items, item_warehouse)
     classes = classify_items(master, metrics, params.get("classes", ClassifierParams()))
     forecasts = forecast(classes, params.get("models", ForecastParams()))
     planned = safety_stock(forecasts, params.get("safety", SafetyParams()))

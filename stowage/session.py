@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet beside the checkpoints, so that each later step reads only its columns.
+
+    A table that came from here is returned as it is. The folder goes with the checkpoint folder.
+    """
+    if getattr(df, "_materialised", False):
+        return df
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), context.master))
+    folder = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    stored = spark.read.schema(df.schema).parquet(folder)
+    stored._materialised = True
+    return stored
+
+
 def checkpoint_folder(named: str | None, master: str) -> str:
     if named:
         return named

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from checks import registry
 from checks.compare import compare
 from checks.views import BASE_TABLES
 
@@ -28,8 +29,10 @@ def database():
     return con
 
 
-def test_every_query_has_its_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+def test_every_query_of_the_register_has_its_sql():
+    contract.queries()
+    assert set(registry.oracles()) == set(registry.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", SELECTION)

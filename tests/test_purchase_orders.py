@@ -73,7 +73,11 @@ def test_mode_moves_without_statistics(spark):
     wrong = {(r.original_mode, r.transport_days): r.mode for r in got if r.mode != cases[(r.original_mode, r.transport_days)]}
     # Unknown, 6 days: Air 1, Courier 2.5, Truck 2.5, Train 1.5 days off; crossing costs 50 or 100.
     assert not wrong
-    assert modes.move_penalty("SLOW", "DOMESTIC") == 100 and modes.move_penalty("SLOW", "INTERNATIONAL_FAST") == 50
+    by_name = {m.name: m for m in modes.MODES}
+    prices = df.sparkSession.createDataFrame([("Vessel",), ("Unknown",), ("Balloon",)], "mode string").select(
+        *[modes.move_days(F.col("mode"), by_name[t]).alias(t) for t in ("Truck", "Air", "Vessel")]
+    )
+    assert [tuple(r) for r in prices.collect()] == [(None, 50, None), (100, 50, 100), (None, None, None)]
 
 
 def test_invoices_pair_with_receipts_of_equal_quantity(spark):
