@@ -45,6 +45,8 @@ FEATURES = {
     "n_dup_lines": f"transform(array({LINES}), ls -> CAST(size(ls) - size(array_distinct(ls)) AS bigint))[0]",
     "n_repeat_words": REPEATS,
 }
+# Measures that take one pass over the text; the others are taken only where a rule gets to them.
+CHEAP = ("n_words", "word_chars", "n_symbols", "n_capitals")
 # The document is rejected where the condition holds; the first two are the base rules.
 RULES = {
     "few_words": "{n_words} < 50",
@@ -62,9 +64,14 @@ def features(docs: DataFrame, names=tuple(FEATURES)) -> DataFrame:
     return docs.withColumns({n: F.expr(FEATURES[n]) for n in names})
 
 
-def condition(rule: str, measured: bool) -> str:
-    """A rule over measured columns, or over the text itself."""
-    return RULES[rule].format(**{n: n if measured else f"({e})" for n, e in FEATURES.items()})
+def condition(rule: str) -> str:
+    """A rule over measured columns."""
+    return RULES[rule].format(**{n: n for n in FEATURES})
+
+
+def over_text(rule: str) -> str:
+    """A rule over the text itself."""
+    return RULES[rule].format(**{n: f"({e})" for n, e in FEATURES.items()})
 
 
 def cascade_order(docs: DataFrame, rules=tuple(RULES)) -> list[str]:
@@ -79,25 +86,29 @@ def cascade_order(docs: DataFrame, rules=tuple(RULES)) -> list[str]:
     idle = min(measured("length(text) < 0")[0] for _ in range(2))
     worth = {}
     for rule in rules:
-        seconds, rejected = measured(condition(rule, False))
+        seconds, rejected = measured(over_text(rule))
         worth[rule] = rejected / max(seconds - idle, 1e-3)
     drop_stored(docs.sparkSession, sample)
     return sorted(rules, key=lambda r: -worth[r])
 
 
 def rejection(order: list[str], measured: bool):
-    """The first rule, in this order, that rejects a document; null if none does."""
-    chosen = None
-    for rule in order:
-        test, name = F.expr(condition(rule, measured)), F.lit(rule)
-        chosen = F.when(test, name) if chosen is None else chosen.when(test, name)
-    return chosen
+    """The first rule, in this order, that rejects a document; null if none does.
+
+    Over the text, cheap measures are bound once; a dear one is computed when its rule is reached.
+    """
+    if measured:
+        return F.expr(f"CASE {' '.join(f'WHEN {condition(r)} THEN {r!r}' for r in order)} END")
+    dear = {n: f"({e})" for n, e in FEATURES.items() if n not in CHEAP}
+    rules = " ".join(f"WHEN {RULES[r].format(**{n: dear.get(n, f'f.{n}') for n in FEATURES})} THEN {r!r}" for r in order)
+    bound = ", ".join(f"'{n}', {FEATURES[n]}" for n in CHEAP)
+    return F.expr(f"transform(array(named_struct({bound})), f -> CASE {rules} END)[0]")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, ``base_failed``, ``kept`` and the rule that rejected."""
     order = cascade_order(docs)
-    base = F.expr(f"{condition('few_words', True)} OR {condition('repeats', True)}")
+    base = F.expr(f"{condition('few_words')} OR {condition('repeats')}")
     return features(docs.select("doc_id", "text")).withColumn("rejected_by", rejection(order, True)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.isnull("rejected_by").alias("kept"), "rejected_by"
     )
