@@ -156,12 +156,17 @@ def repeated_windows(found: list[bytes]) -> list[np.ndarray]:
     s[starts + lengths] = 0
     order = suffix_array(s, 257)
     common = common_prefixes(raw, order, LENGTH)
-    alike = common >= LENGTH
-    # Both suffixes of a pair repeat.
+    # Windows inside a string. Those with equal symbols stand together in the order; an ending is no symbol of a text.
+    edge = np.zeros(len(s) + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + np.maximum(lengths - LENGTH + 1, 0), -1)
+    whole = np.cumsum(edge[:-1]) > 0
     previous = np.full(len(s), -1, np.int64)
     previous[order[1:]] = order[:-1]
-    alike[previous[np.flatnonzero(alike)]] = True
-    # A zero byte in a text and an ending are alike in the raw bytes: only windows inside a string count, and the order keeps their equals adjacent.
+    at = np.flatnonzero((common >= LENGTH) & whole)
+    at = at[whole[previous[at]]]
+    alike = np.zeros(len(s), bool)
+    alike[at] = alike[previous[at]] = True
     out = []
     for start, length in zip(starts.tolist(), lengths.tolist()):
         out.append(np.flatnonzero(alike[start : start + max(0, length - LENGTH + 1)]))
