@@ -28,6 +28,8 @@ FILTERS = 16
 ROWS_PER_LANG = 400
 WINDOWS_PER_ROW = 3
 EPOCHS = 6
+# Updates that a small sample gets at least.
+STEPS = 400
 BATCH = 64
 SEED = 11
 # Windows scored at once.
@@ -82,7 +84,7 @@ class Network:
         values = [*self.tables, self.out, self.bias]
         first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * BATCH // len(windows)))):
             order = rng.permutation(len(windows))
             for start in range(0, len(order), BATCH):
                 chosen = order[start : start + BATCH]
