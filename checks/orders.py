@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import STEPS, query
+from checks.sources import new_table
 from checks.views import AS_OF
 from stowage.functions.modes import mode_of_code, static_days, vendor_type
 from stowage.operators import orders, po
+from stowage.plans import intake
 
 MODE_OF_CODE = (
     "CASE WHEN TRIM({c}) IN ('50', '53', '60') THEN 'Air' WHEN TRIM({c}) = '55' THEN 'Courier' WHEN TRIM({c}) = '20' THEN 'Vessel' ELSE 'Truck' END"
@@ -94,7 +96,12 @@ FROM (SELECT *, COUNT(*) OVER (PARTITION BY ponum, poline) AS n, ROW_NUMBER() OV
 
 def open_lines(t):
     """Open lines after all repairs, with unique sub-lines."""
-    return po.number_sublines(po.add_tail_lines(po.repair_remaining(t.po_in_transit)), ("invoice_date",))
+    return intake.open_order_lines(t.po_in_transit)
+
+
+@query("open_order_run", f"SELECT {OPEN} FROM o_open_lines", "ordered_qty in_transit_qty remaining_qty")
+def _(t):
+    return open_lines(t)
 
 
 @query("remaining_repair", f"SELECT {OPEN} FROM o_repaired", "ordered_qty in_transit_qty remaining_qty")
@@ -137,6 +144,47 @@ def _(t):
     return po.snapshot_events(t.snapshot_before, t.snapshot_now, t.snapshot_delivered, AS_OF)
 
 
+STEPS["o_snapshot_log"] = """
+SELECT DATE '2001-08-01' AS snapshot_date, ponum, poline, item, warehouse, 'INVOICE' AS event_type, pc - pc0 AS qty_delta, pc AS qty_total, 'PCQTY' AS field_name FROM o_snapshots WHERE pc > pc0
+UNION ALL SELECT DATE '2001-08-01', ponum, poline, item, warehouse, 'RECEIPT', pr - pr0, pr, 'PQREC' FROM o_snapshots WHERE pr > pr0
+UNION ALL SELECT DATE '2001-08-01', b.ponum, b.poline, b.item, b.warehouse,
+  CASE WHEN b."PQTRANSIT" > 0 OR b.ponum || '/' || b.poline IN (SELECT ponum || '/' || split_part(poline, '-', 1) FROM snapshot_delivered) THEN 'RECEIPT' ELSE 'CANCEL' END,
+  CASE WHEN b."PQTRANSIT" > 0 THEN b."PQTRANSIT" ELSE b."PQORD" END, b."PQREC" + CASE WHEN b."PQTRANSIT" > 0 THEN b."PQTRANSIT" ELSE 0 END, 'PQREC'
+FROM snapshot_before b WHERE NOT EXISTS (SELECT 1 FROM snapshot_now n WHERE n.ponum = b.ponum AND n.poline = b.poline)"""
+
+
+@query("snapshot_run", "SELECT * FROM o_snapshot_log", "qty_delta qty_total")
+def _(t):
+    """A first run, the run with events, and a run without any; what the log holds then."""
+    snapshot, log = new_table(t, "snapshot"), new_table(t, "snapshot_log")
+    for current in (t.snapshot_before, t.snapshot_now, t.snapshot_now):
+        intake.snapshot_run(snapshot, log, current, t.snapshot_delivered, AS_OF)
+    return log.read()
+
+
+@query(
+    "post_extract_run",
+    """
+SELECT w.item, w.warehouse, CAST(CASE WHEN c.child IS NOT NULL THEN c.child_safety_after WHEN EXISTS (SELECT 1 FROM o_transfers p WHERE p.parent = w.item AND p.warehouse = w.warehouse) THEN 0 ELSE w.safety END AS DOUBLE) AS safety,
+  CASE WHEN w.item IN (SELECT parent FROM o_links WHERE type = '1') THEN 'Y' END AS rpflag, COALESCE(m.marked, 0) AS marked
+FROM item_warehouse w LEFT JOIN o_transfers c ON c.child = w.item AND c.warehouse = w.warehouse
+LEFT JOIN (SELECT x.warehouse, COUNT(*) AS marked FROM o_compared x WHERE gone OR qty <> clean_qty GROUP BY x.warehouse) m ON m.warehouse = w.warehouse""",
+    "safety",
+)
+def _(t):
+    """The stored tables after the run; orders marked in it are counted per warehouse."""
+    items, places, raw, log = (new_table(t, n) for n in ("items", "places", "raw_orders", "order_changes"))
+    items.overwrite(t.item_master)
+    places.overwrite(t.item_warehouse.withColumn("safety", F.col("safety").cast("double")))
+    raw.overwrite(t.raw_orders)
+    intake.post_extract_run(items, places, raw, links(t), t.clean_orders, AS_OF, change_log=log)
+    marked = log.read().groupBy("warehouse").agg(F.count(F.lit(1)).alias("marked"))
+    return (
+        places.read().select("item", "warehouse", "safety").join(items.read().select("item", "rpflag"), "item", "left")
+        .join(marked, "warehouse", "left").na.fill(0, ["marked"])
+    )
+
+
 STEPS["o_snapshots"] = """
 SELECT n.ponum, n.poline, n.item, n.warehouse, n."PCQTY" AS pc, b."PCQTY" AS pc0, n."PQREC" AS pr, b."PQREC" AS pr0
 FROM snapshot_now n JOIN snapshot_before b ON b.ponum = n.ponum AND b.poline = n.poline"""
