@@ -23,15 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.components import components
-from stowage.llm.storage import drop_stored, release, stored, tally
+from stowage.llm.storage import drop_stored, marked, marks, release, stored, tally
 from stowage.llm.words import mixed, shingle_sets
 
 WIDTH = 5
 # The similarity as a fraction.
 LEAST = (4, 5)
-# Counters of the shingle tally and marks of the row filter: fixed sizes, exactness does not depend on them.
+# Counters of the shingle tally: a fixed size, exactness does not depend on it.
 TALLY_BITS = 20
-FILTER_BITS = 22
 # Pairs of different classes per set, up to which all are verified at once; merged sets, one in so many, for another round of hubs.
 PAIRS_PER_SET = 4
 MERGED_PART = 64
@@ -94,25 +93,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, f"doc_id {kind}, row_key bigint, n_shingles bigint, high bigint, low bigint, grp bigint, prefix array<bigint>")
 
 
-def marks_of(df: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size: packed bits of the low bits of a column's values."""
-    mask = (1 << FILTER_BITS) - 1
-    return np.packbits(tally(df.select(column), FILTER_BITS, lambda batch: iter([batch.column(0).to_numpy() & mask])) > 0)
-
-
 def postings_of(signed: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, grp, n, pos) of the prefixes at the wanted keys. A fixed-size filter keeps most others from being moved."""
-    shared, mask = signed.sparkSession.sparkContext.broadcast(marks_of(keys, "key")), (1 << FILTER_BITS) - 1
+    """(key, grp, n, pos) of the prefixes at the wanted keys. A filter of bounded size keeps most others from being moved."""
+    shared = signed.sparkSession.sparkContext.broadcast(marks(keys, "key"))
 
     def spread(batches):
-        marks = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             prefix = batch.column("prefix")
             sizes = np.diff(prefix.offsets.to_numpy())
             values = prefix.flatten().to_numpy()
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.flatnonzero(marks[values & mask])
+            at = np.flatnonzero(marked(shared.value, values))
             row = row[at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values[at]), pa.array(batch.column("grp").to_numpy()[row]), pa.array(batch.column("n_shingles").to_numpy()[row].astype(np.int32)), pa.array(pos[at].astype(np.int32))],
@@ -123,21 +115,20 @@ def postings_of(signed: DataFrame, keys: DataFrame) -> DataFrame:
     return made.join(keys, "key").distinct()
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of wanted sets (node, high, low, row_key).
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row_key, high, low, text) with the digest of their set, of documents whose key is wanted, and of few others.
 
-    A filter of fixed size keeps most other texts from being moved; digests and the join settle it.
+    A filter of bounded size keeps other texts from being moved; the caller's join settles it. A task sends a text once.
     """
-    shared, mask = docs.sparkSession.sparkContext.broadcast(marks_of(wanted, "row_key")), (1 << FILTER_BITS) - 1
+    shared = docs.sparkSession.sparkContext.broadcast(marks(keys, "row_key"))
 
     def chosen(batches):
-        marks, sent = np.unpackbits(shared.value).astype(bool), set()
+        sent = set()
         for batch in batches:
-            at = []
-            for i in np.flatnonzero(marks[batch.column("row_key").to_numpy() & mask]).tolist():
-                key = batch.column("row_key")[i].as_py()
-                if key not in sent:
-                    sent.add(key)
+            keys, at = batch.column("row_key").to_numpy(), []
+            for i in np.flatnonzero(marked(shared.value, keys)).tolist():
+                if int(keys[i]) not in sent:
+                    sent.add(int(keys[i]))
                     at.append(i)
             part = batch.take(pa.array(at, pa.int64()))
             digests = [digest(f) for f in shingle_sets(part.column("text"), WIDTH)]
@@ -146,8 +137,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["row_key", "high", "low", "text"],
             )
 
-    made = docs.select("row_key", "text").mapInArrow(chosen, "row_key bigint, high bigint, low bigint, text string")
-    return made.join(wanted, ["high", "low", "row_key"]).dropDuplicates(["high", "low", "row_key"]).select("node", "text")
+    return docs.select("row_key", "text").mapInArrow(chosen, "row_key bigint, high bigint, low bigint, text string")
 
 
 def near_enough(a: str, b: str):
@@ -162,9 +152,14 @@ def near_enough(a: str, b: str):
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that link, by the full intersection of the sets."""
-    needed = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
-    texts = stored(texts_of(docs, needed.select("node", "high", "low", "row_key")), "texts")
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    sides = ("row_key", "high", "low")
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sides]), side)
+    pairs = stored(pairs, "keyed-pairs")
+    texts = texts_of(docs, pairs.select(F.col("a_row_key").alias("row_key")).union(pairs.select("b_row_key")).distinct())
+    for side, name in (("a", "x"), ("b", "y")):
+        held = texts.select(*[F.col(c).alias(f"{side}_{c}") for c in sides], F.col("text").alias(name))
+        pairs = pairs.join(held, [f"{side}_{c}" for c in sides])
 
     def compare(batches):
         for batch in batches:
@@ -175,9 +170,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "verified")
-    drop_stored(docs.sparkSession, texts)
-    return links
+    # Copies of a text can come from several tasks.
+    return stored(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct(), "verified")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -209,8 +203,8 @@ def classes(docs: DataFrame) -> DataFrame:
     n_sets = members.count()
     round_number, n_links = 0, n_sets
     while True:
-        marked = stored(members.join(labels, "node").groupBy("grp", "class").agg(F.max("n_docs").alias("n_docs")), "marked")
-        held = postings.join(marked, "grp")
+        placed = stored(members.join(labels, "node").groupBy("grp", "class").agg(F.max("n_docs").alias("n_docs")), "placed")
+        held = postings.join(placed, "grp")
         per_key = held.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0")
         per_key = stored(per_key, "open")
         n_open = per_key.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
@@ -238,7 +232,7 @@ def classes(docs: DataFrame) -> DataFrame:
         n_links = links.count()
         if n_links:
             labels = relabelled(spark, labels, links)
-        drop_stored(spark, marked, per_key, pairs, links)
+        drop_stored(spark, placed, per_key, pairs, links)
         release(spark)
         if last:
             break

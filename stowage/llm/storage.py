@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A tally is summed in slices of this many counters, so that no task holds more than one slice per input row.
 SLICE = 1 << 14
@@ -94,3 +95,61 @@ def tally(df: DataFrame, bits: int, buckets: Callable[[pa.RecordBatch], Iterator
     for row in sums:
         total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["data"], "<i8")
     return total[:size]
+
+
+# Marks of a filter are set in pieces of this many bits. A filter takes about so many bits a value, within these bounds.
+PIECE = 1 << 17
+BITS_PER_VALUE, LEAST_BITS, MOST_BITS = 32, 18, 25
+
+
+def marks(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of a column of spread long values: packed bits at the values' low bits.
+
+    Its size follows the number of values up to ``2 ** MOST_BITS`` bits (4 MB packed). Beyond that it lets more values
+    through; what it lets through is settled by a join, so results do not depend on it.
+    """
+    values = df.select(F.col(column).alias("v"))
+    n = values.count()
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (n * BITS_PER_VALUE).bit_length()))
+
+    def cut(found: np.ndarray):
+        """Rows of sorted distinct places, by piece."""
+        edges = np.flatnonzero(np.diff(found // PIECE, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(found)]):
+            piece = int(found[a]) // PIECE
+            bits = np.zeros(PIECE, bool)
+            bits[found[a:b] % PIECE] = True
+            sparse = (b - a) * 32 < PIECE
+            yield piece, not sparse, (found[a:b] % PIECE).astype("<u4").tobytes() if sparse else np.packbits(bits).tobytes()
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["piece", "dense", "data"])
+
+    def collect(batches):
+        held = np.zeros(size, bool)
+        for batch in batches:
+            held[batch.column("v").to_numpy() & (size - 1)] = True
+        yield batch_of(list(cut(np.flatnonzero(held))))
+
+    def merge(batches):
+        pieces = {}
+        for batch in batches:
+            for piece, dense, raw in zip(*[batch.column(c).to_pylist() for c in ("piece", "dense", "data")]):
+                bits = pieces.setdefault(piece, np.zeros(PIECE, bool))
+                if dense:
+                    bits |= np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+                else:
+                    bits[np.frombuffer(raw, "<u4")] = True
+        yield batch_of([(p, True, np.packbits(b).tobytes()) for p, b in pieces.items()])
+
+    kind = "piece int, dense boolean, data binary"
+    out = np.zeros(max(size, PIECE) // 8, np.uint8)
+    for row in values.mapInArrow(collect, kind).repartition("piece").mapInArrow(merge, kind).collect():
+        out[row["piece"] * PIECE // 8 : (row["piece"] + 1) * PIECE // 8] = np.frombuffer(row["data"], np.uint8)
+    return out[: size // 8]
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter lets through."""
+    at = values & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

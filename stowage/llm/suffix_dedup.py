@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.storage import drop_stored, stored, tally
+from stowage.llm.storage import drop_stored, marked, marks, stored
 from stowage.llm.suffix_array import common_prefixes, suffix_array
 from stowage.llm.words import BASE, BASE_INVERSE, BYTE_VALUES, chunks, mixed, powers
 
@@ -31,7 +31,6 @@ GRAM = 64
 SHARD_BYTES = 2_000_000
 # Contexts of one anchor that a shard takes.
 MOST_CONTEXTS = 6_000
-FILTER_BITS = 22
 # A part of a text whose places fit 23 bits; parts overlap by a window.
 PART = 1 << 22
 
@@ -106,17 +105,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def texts_with(docs: DataFrame, wanted: DataFrame, spans: str) -> DataFrame:
     """(high, low, text, spans) of the wanted texts, each text at least once.
 
-    A filter of fixed size and a look at what a task has already sent keep most other rows from being moved; the join settles it.
+    A filter of bounded size and a look at what a task has already sent keep most other rows from being moved; the join settles it.
     """
-    mask = (1 << FILTER_BITS) - 1
-    marks = tally(wanted.select("high"), FILTER_BITS, lambda batch: iter([batch.column("high").to_numpy() & mask])) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    shared = docs.sparkSession.sparkContext.broadcast(marks(wanted, "high"))
 
     def chosen(batches):
-        marks, sent = np.unpackbits(shared.value).astype(bool), set()
+        sent = set()
         for batch in batches:
             at = []
-            for i in np.flatnonzero(marks[batch.column("high").to_numpy() & mask]).tolist():
+            for i in np.flatnonzero(marked(shared.value, batch.column("high").to_numpy())).tolist():
                 key = (batch.column("high")[i].as_py(), batch.column("low")[i].as_py())
                 if key not in sent:
                     sent.add(key)
