@@ -173,7 +173,7 @@ def _(t):
     return planned(t).select("item", "warehouse", level.alias("level"))
 
 
-@query("lead_time_weeks", "SELECT item, warehouse, lead_weeks FROM o_levels")
+@query("lead_time_weeks", "SELECT item, warehouse, CAST(greatest(1, ceil(COALESCE(NULLIF(lead_days, 0), 7) / 7.0)) AS INTEGER) AS lead_weeks FROM item_warehouse")
 def _(t):
     return t.item_warehouse.select("item", "warehouse", safety.lead_weeks(F.col("lead_days")).alias("lead_weeks"))
 

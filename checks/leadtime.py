@@ -41,7 +41,7 @@ FROM (SELECT COALESCE(s.vendor, f.vendor) AS vendor, COALESCE(s.warehouse, f.war
 
 def mapping_step(name: str, source: str, ranges: str, tolerance: int, candidate: str = "mean", days: str = "transport_days") -> None:
     """Predicted mode of every distinct (vendor, warehouse, mode, days)."""
-    STEPS[f"{name}_keys"] = f"SELECT DISTINCT vendor, warehouse, mode, CAST({days} AS DOUBLE) AS days FROM {source} WHERE {days} IS NOT NULL"
+    STEPS[f"{name}_keys"] = f"SELECT DISTINCT vendor, warehouse, mode, CAST({days} AS DOUBLE) AS days FROM {source}"
     STEPS[f"{name}_best"] = f"""
 SELECT k.vendor, k.warehouse, k.mode, k.days, c.mode AS best FROM {name}_keys k JOIN o_modes s ON s.mode = k.mode
 JOIN o_modes c ON c.assignable AND c.mode <> k.mode AND c.grp <> s.grp AND k.days BETWEEN c.low AND c.high
@@ -57,7 +57,7 @@ FROM {name}_keys k JOIN o_modes s ON s.mode = k.mode LEFT JOIN {ranges} r ON r.v
 LEFT JOIN {name}_best b ON b.vendor = k.vendor AND b.warehouse = k.warehouse AND b.mode = k.mode AND b.days = k.days"""
 
 
-ON_KEYS = "{m}.vendor = {s}.vendor AND {m}.warehouse = {s}.warehouse AND {m}.mode = {s}.mode AND {m}.days = {s}.transport_days"
+ON_KEYS = "{m}.vendor = {s}.vendor AND {m}.warehouse = {s}.warehouse AND {m}.mode = {s}.mode AND {m}.days IS NOT DISTINCT FROM {s}.transport_days"
 
 # Statistics of an earlier run, by plain aggregation.
 STEPS["o_previous"] = """
@@ -130,7 +130,7 @@ mapping_step("o_first_map", "o_shipments", "o_first_ranges", 0)
 
 def stats_steps(name: str, mapping: str, source: str) -> None:
     STEPS[f"{name}_rows"] = f"""
-SELECT s.warehouse, s.vendor, m.predicted AS mode, s.invoice_date, CAST(s.transport_days AS DOUBLE) AS days FROM {source} s JOIN {mapping} m ON {ON_KEYS.format(m='m', s='s')}"""
+SELECT s.warehouse, s.vendor, m.predicted AS mode, s.invoice_date, CAST(s.transport_days AS DOUBLE) AS days FROM {source} s JOIN {mapping} m ON {ON_KEYS.format(m='m', s='s')} WHERE s.transport_days IS NOT NULL"""
     STEPS[f"{name}_modes"] = f"""
 SELECT warehouse, vendor, mode, days FROM (SELECT warehouse, vendor, mode, days, ROW_NUMBER() OVER (PARTITION BY warehouse, vendor, mode ORDER BY COUNT(*) DESC, days) AS rn
   FROM {name}_rows GROUP BY warehouse, vendor, mode, days) x WHERE rn = 1"""
@@ -206,7 +206,7 @@ STEPS["o_preference"] = f"""
 SELECT item, warehouse, vendor, mode, CAST(ROW_NUMBER() OVER (PARTITION BY item, warehouse, vendor ORDER BY n DESC, mode) AS INTEGER) AS rank, n AS count,
   CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY item, warehouse, vendor) AS confidence, last_used
 FROM (SELECT d.item, d.warehouse, d.vendor, CASE WHEN m.predicted = 'Courier' THEN 'Air' ELSE m.predicted END AS mode, COUNT(*) AS n, MAX(d.delivery_date) AS last_used
-  FROM po_delivery d JOIN o_pref_map m ON {ON_KEYS.format(m='m', s='d')} GROUP BY d.item, d.warehouse, d.vendor, 4) x"""
+  FROM po_delivery d JOIN o_pref_map m ON {ON_KEYS.format(m='m', s='d')} WHERE d.transport_days IS NOT NULL GROUP BY d.item, d.warehouse, d.vendor, 4) x"""
 STEPS["o_smart"] = """
 SELECT p.item, p.warehouse, p.vendor, p.mode, COALESCE(q.mean_prep, 0) + COALESCE(s.mean_days, v.static_days, 0) AS mean_lead, COALESCE(q.mode_prep, 0) + COALESCE(s.mode_days, v.static_days, 0) AS mode_lead,
   COALESCE(q.p60_prep, 0) + COALESCE(s.p60_days, v.static_days) AS p60_lead, COALESCE(q.p90_prep, 0) + COALESCE(s.p90_days, v.static_days, 0) AS p90_lead,

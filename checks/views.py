@@ -45,8 +45,8 @@ SELECT {_text('o_orderkey')} AS ponum, {_text('l_linenumber')} AS poline, {_text
   order_date + CAST(l_partkey % 30 AS INT) AS invoice_date,
   order_date + CAST(l_partkey % 30 + (l_suppkey * 7 + l_linenumber * 3 + l_partkey) % 40 AS INT) AS delivery_date,
   CAST(l_partkey % 30 AS INT) AS prepare_days,
-  CAST((l_suppkey * 7 + l_linenumber * 3 + l_partkey) % 40 AS INT) AS transport_days,
-  m.mode AS mode, CASE WHEN ls = 'F' THEN 'Y' ELSE 'N' END AS is_closed
+  CASE WHEN l_partkey % 41 <> 0 THEN CAST((l_suppkey * 7 + l_linenumber * 3 + l_partkey) % 40 AS INT) END AS transport_days,
+  CASE l_partkey % 37 WHEN 0 THEN 'Courier' WHEN 1 THEN 'Train' WHEN 2 THEN 'International Truck' WHEN 3 THEN 'Unknown' ELSE m.mode END AS mode, CASE WHEN ls = 'F' THEN 'Y' ELSE 'N' END AS is_closed
 FROM lines JOIN mode_map m USING (rf)""",
     "po_in_transit": f"""
 SELECT {_text('o_orderkey')} AS ponum, {_text('l_linenumber')} AS poline, {_text('l_suppkey')} AS vendor, warehouse, item,
@@ -56,7 +56,7 @@ SELECT {_text('o_orderkey')} AS ponum, {_text('l_linenumber')} AS poline, {_text
     AS remaining_qty,
   order_date AS po_entry_date,
   CASE WHEN l_partkey % 4 <= 1 OR l_partkey % 11 = 0 THEN order_date + CAST(l_partkey % 30 AS INT) END AS invoice_date,
-  m.mode AS mode, CASE WHEN l_partkey % 11 = 0 THEN 'Delivery Date Confirmed' ELSE '' END AS comment
+  CASE WHEN l_partkey % 29 = 0 THEN 'International Train' ELSE m.mode END AS mode, CASE WHEN l_partkey % 11 = 0 THEN 'Delivery Date Confirmed' ELSE '' END AS comment
 FROM lines JOIN mode_map m USING (rf) WHERE ls = 'O'""",
     "vendor_master": " UNION ALL ".join(
         f"""SELECT {_text('s_suppkey')} AS vendor, '{m}' AS mode, CAST({d} + s_suppkey % 5 AS INT) AS static_days,
@@ -70,7 +70,8 @@ SELECT item, MIN(p_retailprice) AS cost, {_text('MIN(l_suppkey)')} AS vendor,
     "item_warehouse": """
 SELECT item, warehouse, CAST(7 + MIN(p_size) % 50 + LENGTH(item) AS INT) AS lead_days,
   CAST(1 + MAX(p_size) % 10 AS INT) AS moq, 5 AS lot, CAST(MIN(p_size) % 4 AS INT) AS safety
-FROM lines GROUP BY item, warehouse""",
+FROM lines GROUP BY item, warehouse
+UNION ALL SELECT item, '7', 30, 4, 5, 2 FROM item_master WHERE LENGTH(item) % 5 = 1""",
     "stock": """
 SELECT item, warehouse, CAST(COUNT(*) % 97 AS DOUBLE) AS available, CAST(SUM(l_partkey) % 53 AS DOUBLE) AS on_order
 FROM lines GROUP BY item, warehouse""",
@@ -80,8 +81,8 @@ SELECT DISTINCT CONCAT(p_brand, '/ECONOMY') AS parent, CONCAT(p_brand, '/PROMO')
     "freight": f"""
 SELECT CONCAT('G', {_text('l_suppkey')}) AS global_code, o_orderkey AS shipment, warehouse, m.mode AS mode,
   MIN(order_date) AS invoice_date,
-  CASE WHEN l_suppkey % 3 = 0 THEN 'JPY' WHEN l_suppkey % 3 = 1 THEN 'USD' ELSE 'EUR' END AS currency,
-  SUM(price) AS item_total, SUM(price * (1 + tax)) AS invoice_total, SUM(price * tax) AS freight, SUM(qty) AS gross_kg
+  CASE WHEN l_suppkey % 10 = 9 THEN 'GBP' WHEN l_suppkey % 3 = 0 THEN 'JPY' WHEN l_suppkey % 3 = 1 THEN 'USD' ELSE 'EUR' END AS currency,
+  SUM(price) AS item_total, SUM(price * (1 + tax)) AS invoice_total, SUM(price * tax) * CASE WHEN o_orderkey % 11 = 0 THEN 6 ELSE 1 END AS freight, SUM(qty) AS gross_kg
 FROM lines JOIN mode_map m USING (rf) GROUP BY l_suppkey, o_orderkey, warehouse, m.mode""",
     "fx": " UNION ALL ".join(
         f"""SELECT DISTINCT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS valid_date, '{c}' AS from_currency,
@@ -175,7 +176,8 @@ SELECT DISTINCT CONCAT(p_brand, '/ECONOMY ') AS "PSPITM", CASE WHEN p_size = 7 T
     "avm": """
 SELECT CAST(100 + s_suppkey AS INT) AS "VENDOR", CONCAT(s_name, ' ') AS "VNDNAM",
   CASE s_suppkey % 5 WHEN 0 THEN 'EDIC' WHEN 1 THEN 'LOCC' WHEN 2 THEN 'EXTC' ELSE 'DOMX' END AS "VTYPE" FROM supplier
-UNION ALL SELECT CAST(10000 + s_suppkey * 5 AS INT), s_name, 'ACGX' FROM supplier""",
+UNION ALL SELECT CAST(10000 + s_suppkey * 5 AS INT), s_name, 'ACGX' FROM supplier
+UNION ALL SELECT CAST(99907 + s_suppkey AS INT), s_name, 'EXTC' FROM supplier WHERE s_suppkey <= 2""",
     "avx": """
 SELECT CAST(100 + s_suppkey AS INT) AS "VXVNDN", CONCAT('C', CAST(s_suppkey % 40 AS VARCHAR(20))) AS "VXSPCD" FROM supplier
 UNION ALL SELECT CAST(10000 + s_suppkey * 5 AS INT), CONCAT('C', CAST(s_suppkey % 50 AS VARCHAR(20))) FROM supplier""",
