@@ -141,7 +141,7 @@ def _(t):
 # Replaced items are the parents of links; keys with a large minimum order count as never ordered.
 STEPS["o_gaps"] = """
 SELECT w.item, w.warehouse, w.safety, CASE WHEN w.item LIKE '%/ECONOMY' THEN 'Y' END AS rpflag,
-  w.moq > 6 AS unseen FROM item_warehouse w"""
+  w.moq > 6 OR w.warehouse = '7' AS unseen FROM item_warehouse w"""
 
 
 @query(
