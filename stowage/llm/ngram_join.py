@@ -7,8 +7,7 @@ group; groups that share a prefix shingle are paired, pairs are filtered by size
 of both groups are verified by their full intersection.
 
 A shingle that many groups hold is not paired out. First each group is compared with one hub per shingle, and what links is
-merged; this repeats with other hubs while a good part of the sets merges and many pairs of different classes are left. Then
-every remaining pair of different classes is verified. Pairs inside a class need no proof, so no link between classes is lost.
+merged; this repeats with other hubs while a good part of the sets merges. Then every remaining pair of different classes is verified. Pairs inside a class need no proof, so no link between classes is lost.
 
 Defined cases: null, empty or blank text has an empty set, links with nothing and is its own class; fewer than five words
 are one shingle; repeated rows are one class; a class's id is its smallest doc_id (nulls only if all are null); an empty table gives an
@@ -31,8 +30,7 @@ WIDTH = 5
 LEAST = (4, 5)
 # Counters of the shingle tally: a fixed size, exactness does not depend on it.
 TALLY_BITS = 20
-# Pairs of different classes per set, up to which all are verified at once; merged sets, one in so many, for another round of hubs.
-PAIRS_PER_SET = 4
+# Links found, one for so many sets, that call for another round of hubs.
 MERGED_PART = 64
 
 
@@ -204,23 +202,20 @@ def classes(docs: DataFrame) -> DataFrame:
     round_number, n_links = 0, n_sets
     while True:
         placed = stored(members.join(labels, "node").groupBy("grp", "class").agg(F.max("n_docs").alias("n_docs")), "placed")
-        held = postings.join(placed, "grp")
-        per_key = held.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0")
-        per_key = stored(per_key, "open")
-        n_open = per_key.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        within = members.join(crowded, "grp").join(labels, "node")
-        last = n_open <= PAIRS_PER_SET * n_sets or MERGED_PART * n_links < n_sets
-        held = held.join(per_key.select("key"), "key", "left_semi")
-        one = held.select("key", "grp", "n", "pos", "class")
+        held = stored(postings.join(placed, "grp"), "held")
+        # Sets with many copies are likely centres; later rounds try others.
+        rank = F.struct(-F.col("n_docs") if not round_number else F.lit(0), F.xxhash64("grp", F.lit(round_number)), "grp", "n", "pos", "class")
+        live = held.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.min(rank).alias("hub")).where("x <> y")
+        live = stored(live.select("key", "hub.grp", "hub.n", "hub.pos", "hub.class"), "live")
+        last = not n_links or MERGED_PART * n_links < n_sets
         if last:
             # Every pair of different classes that passes the filters, of groups and inside groups.
+            one = stored(held.join(live.select("key"), "key", "left_semi").drop("n_docs"), "open")
             met = one.alias("p").join(one.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.class") < F.col("q.class")))
+            within = members.join(crowded, "grp").join(labels, "node")
             inside = within.alias("p").join(within.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.class") < F.col("q.class"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
         else:
-            # Sets with many copies are likely centres; later rounds try others.
-            rank = F.struct(-F.col("n_docs") if not round_number else F.lit(0), F.xxhash64("grp", F.lit(round_number)), "grp", "n", "pos", "class")
-            hubs = held.groupBy("key").agg(F.min(rank).alias("hub")).select("key", "hub.grp", "hub.n", "hub.pos", "hub.class")
-            met = one.alias("p").join(hubs.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.class") != F.col("q.class")))
+            met = held.alias("p").join(live.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.class") != F.col("q.class")))
             inside = None
         met = met.where(near_enough("p", "q")).select(F.col("p.grp").alias("g"), F.col("p.class").alias("c"), F.col("q.grp").alias("h"), F.col("q.class").alias("d")).distinct()
         mine = members.join(labels, "node")
@@ -232,7 +227,7 @@ def classes(docs: DataFrame) -> DataFrame:
         n_links = links.count()
         if n_links:
             labels = relabelled(spark, labels, links)
-        drop_stored(spark, placed, per_key, pairs, links)
+        drop_stored(spark, placed, held, live, pairs, links)
         release(spark)
         if last:
             break
