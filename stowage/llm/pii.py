@@ -1,14 +1,14 @@
 """Format-preserving pseudonyms for personal numbers, in SQL expressions alone.
 
-Card numbers (13 to 19 digits with a right check digit), phone numbers, IPv4 addresses, dates that exist and mail
-addresses are replaced by a keyed permutation within their own format, so equal values stay linked across documents. A
+Card numbers (13 to 19 digits with a right check digit), phone numbers (ten digits, or 7 to 15 after +), IPv4 addresses, dates
+that exist (yyyy-MM-dd, dd/MM/yyyy, else MM/dd/yyyy, dd.MM.yyyy) and mail addresses are replaced by a keyed permutation within their own format, so equal values stay linked across documents. A
 pseudonym comes from an alternating Feistel network over Z_a x Z_b: left += F(right) mod a, right += F(left) mod b, with F
 from SHA-256 of key, kind, round and half. That is a bijection of 0 .. a*b-1 for any a and b. Cards keep their length and
 get a right check digit, phones keep country code and punctuation, addresses stay addresses, dates stay dates of the
 years 1900 to 2100 in their layout; the part of a mail address before the @ becomes a keyed name (it has no numeric format).
 
-Defined cases: null text gives null and no counts; digits that fail validation stay as they are; a hit needs no letter or digit
-next to it; repeated rows get equal results; an empty table gives an empty result; only doc_id and text are read.
+Defined cases: null text gives null and no counts; digits that fail validation stay as they are; a hit needs no Latin letter or digit
+next to it, but a date can go on with the T of a time and a phone with x or ext and an extension, which both stay; repeated rows get equal results; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,12 +24,37 @@ FIRST_DAY = "DATE'1900-01-01'"
 DAY_SIDES = (256, 286)
 # A hit starts where its run of name characters starts, and the run is never given back: linear time on any text.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
-PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+# Assigned country codes of one, two and three digits.
+CODES = (
+    "[17]",
+    "(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    r"(?:21[12368]|2[2-6]\d|29[01789]|3[578]\d|42[013]|50\d|59\d|67[02-9]|68\d|69[0-2]|80[08]|85[02356]|87[08]|88[0-368]|96[0-8]|97\d|99[2-68])",
+)
+APART = r"[ \u00A0\u202F./-]"
+TRUNK = rf"(?:{APART}?\(0\))?"
+# Three, three and four digits, with or without a country code or a leading 1.
+GROUPED = r"(?:\+\d{1,3}[ .-]?|1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+# Any grouping after a country code, 15 digits at most; an area code may stand in brackets.
+GLOBAL = (
+    r"\+(?:"
+    + "|".join(rf"{code}{TRUNK}(?:{APART}?\d){{{6 - k},{14 - k}}}" for k, code in enumerate(CODES))
+    + rf"|(?:{'|'.join(CODES)}){APART}?\(\d{{1,3}}\)(?:{APART}?\d){{4,9}})"
+)
+UNDIVIDED = r"[2-9]\d{2}[2-9]\d{6}"
+PHONE = rf"{GROUPED}|{GLOBAL}|{UNDIVIDED}"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
-CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{13,19}"
+DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
+CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
+# Neither digits nor Latin letters stand next to a hit, but for the T of a time after a date and an extension after a phone.
+END = r"(?!-?\d|\.\d|\p{IsLatin})"
+EXTENSION = r"(?=(?:[xX]|[eE][xX][tT])\.?[ ]?\d)"
 # One pass finds every kind; the order settles which kind a text position is tried as first.
-FOUND = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}_])(?<!\d[.-])(?:{DATE}|{CARD}|{IP}|{PHONE})(?!-?\d|\.\d|[\p{{L}}_])"
+FOUND = (
+    rf"{EMAIL}|(?<![\p{{IsLatin}}\p{{N}}])(?<!\d[.-])"
+    rf"(?:(?:{DATE})(?:(?=[Tt]\d)|{END})|(?:{CARD}|{IP}){END}|(?:{PHONE})(?:{EXTENSION}|{END}))"
+)
+# Steps to another day that a month-first date takes at most; two in five days call for another step.
+WALK = 64
 
 
 def quoted(pattern: str) -> str:
@@ -63,15 +88,20 @@ def check_sum(x: str) -> str:
     return f"aggregate(transform(split(reverse({x}), ''), (d, i) -> transform(array(CAST(d AS int) * (1 + i % 2)), v -> v - 9 * CAST(v > 9 AS int))[0]), 0, (s, v) -> s + v)"
 
 
+def layout(m: str) -> str:
+    """SQL of the layout of a date; with slashes the month comes first only if no day-first date exists."""
+    return f"CASE WHEN instr({m}, '-') > 0 THEN 'yyyy-MM-dd' WHEN instr({m}, '.') > 0 THEN 'dd.MM.yyyy' WHEN try_to_date({m}, 'dd/MM/yyyy') IS NOT NULL THEN 'dd/MM/yyyy' ELSE 'MM/dd/yyyy' END"
+
+
 def kind_of(m: str = "m") -> str:
     """SQL of the kind of a hit; null if it fails validation."""
     d = digits(m)
     return f"""CASE WHEN instr({m}, '@') > 0 THEN 'email'
-      WHEN {m} RLIKE {quoted(f'^(?:{DATE})$')} THEN CASE WHEN coalesce(try_to_date({m}, CASE WHEN instr({m}, '/') > 0 THEN 'dd/MM/yyyy' ELSE 'yyyy-MM-dd' END)
+      WHEN {m} RLIKE {quoted(f'^(?:{DATE})$')} THEN CASE WHEN coalesce(try_to_date({m}, {layout(m)})
           BETWEEN {FIRST_DAY} AND date_add({FIRST_DAY}, {DAY_SIDES[0] * DAY_SIDES[1] - 1}), false) THEN 'date' END
       WHEN {m} RLIKE {quoted(f'^(?:{CARD})$')} THEN CASE WHEN {check_sum(d)} % 10 = 0 THEN 'card' END
       WHEN {m} RLIKE {quoted(f'^{IP}$')} THEN CASE WHEN forall(split({m}, '[.]'), o -> CAST(o AS int) < 256) THEN 'ip' END
-      ELSE 'phone' END"""
+      WHEN length({d}) >= 7 THEN 'phone' END"""
 
 
 def in_layout(m: str, replacement: str) -> str:
@@ -88,15 +118,20 @@ def pseudonym(kind: str, m: str, key: str) -> str:
         body = f"lpad(CAST({feistel(f'CAST(substr({d}, 1, {n}) AS bigint)', f'CAST(pow(10, {n} DIV 2) AS bigint)', f'CAST(pow(10, {n} - {n} DIV 2) AS bigint)', 'card', key)} AS string), {n}, '0')"
         return in_layout(m, f"transform(array({body}), c -> concat(c, CAST(pmod(10 - {check_sum(chr(39).join(['concat(c, ', '0', ')']))} % 10, 10) AS string)))[0]")
     if kind == "phone":
-        body = f"lpad(CAST({feistel(f'CAST(right({d}, 10) AS bigint)', '100000L', '100000L', 'phone', key)} AS string), 10, '0')"
-        return in_layout(m, f"concat(substr({d}, 1, length({d}) - 10), {body})")
+        # What a country code keeps in place: the code itself, and a zero in brackets after it.
+        kept = digits(f"regexp_extract({m}, {quoted(rf'^[+](?:{'|'.join(CODES)}){TRUNK}')}, 0)")
+        n = f"(CASE WHEN {m} RLIKE {quoted(f'^(?:{GROUPED}|{UNDIVIDED})$')} THEN 10 ELSE length({d}) - length({kept}) END)"
+        body = f"transform(array({n}), n -> lpad(CAST({feistel(f'CAST(right({d}, n) AS bigint)', 'CAST(pow(10, n DIV 2) AS bigint)', 'CAST(pow(10, n - n DIV 2) AS bigint)', 'phone', key)} AS string), n, '0'))[0]"
+        return in_layout(m, f"transform(array({body}), c -> concat(substr({d}, 1, length({d}) - length(c)), c))[0]")
     if kind == "ip":
         number = f"aggregate(split({m}, '[.]'), 0L, (s, o) -> s * 256 + CAST(o AS bigint))"
         return f"transform(array({feistel(number, '65536L', '65536L', 'ip', key)}), v -> concat_ws('.', v DIV 16777216, v DIV 65536 % 256, v DIV 256 % 256, v % 256))[0]"
     if kind == "date":
-        layout = f"CASE WHEN instr({m}, '/') > 0 THEN 'dd/MM/yyyy' ELSE 'yyyy-MM-dd' END"
-        day = feistel(f"datediff(try_to_date({m}, {layout}), {FIRST_DAY})", f"{DAY_SIDES[0]}L", f"{DAY_SIDES[1]}L", "date", key)
-        return f"CASE WHEN instr({m}, '/') > 0 THEN date_format(date_add({FIRST_DAY}, CAST({day} AS int)), 'dd/MM/yyyy') ELSE date_format(date_add({FIRST_DAY}, CAST({day} AS int)), 'yyyy-MM-dd') END"
+        sides = (f"{DAY_SIDES[0]}L", f"{DAY_SIDES[1]}L", "date", key)
+        day = feistel(f"datediff(try_to_date({m}, way), {FIRST_DAY})", *sides)
+        # A month-first date walks on to a day that can only be read month first, so that no two dates share a pseudonym.
+        walked = f"aggregate(sequence(1, CASE WHEN way = 'MM/dd/yyyy' THEN {WALK} ELSE 1 END), {day}, (y, w) -> CASE WHEN way <> 'MM/dd/yyyy' OR day(date_add({FIRST_DAY}, CAST(y AS int))) > 12 THEN y ELSE {feistel('y', *sides)} END)"
+        return f"transform(array({layout(m)}), way -> date_format(date_add({FIRST_DAY}, CAST({walked} AS int)), way))[0]"
     mark = f"{key}:email:".replace("\\", "\\\\").replace("'", "\\'")
     # The domain may name a person as well: only its last label stays.
     return f"concat('u', substr(sha2(concat('{mark}', lower({m})), 256), 1, 16), '@masked.', lower(regexp_extract({m}, '[.]([^.]+)$', 1)))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import random
 import re
@@ -269,6 +270,47 @@ def test_values_keep_their_format_and_stay_linked(spark):
     assert "Python" not in plan.replace("ExistingRDD", "") and "Arrow" not in plan
 
 
+# Values, and the patterns of their pseudonyms.
+FORMS = {
+    "n_date": [
+        ("2024-01-15T10:30:00Z", r"\d{4}-\d\d-\d\dT10:30:00Z"), ("2024-01-15t10:30", r"\d{4}-\d\d-\d\dt10:30"), ("日期2024-01-15晴", r"日期\d{4}-\d\d-\d\d晴"),
+        ("15.01.2024.", r"\d\d\.\d\d\.\d{4}\."), ("01/15/2024", r"\d\d/\d\d/\d{4}"), ("_15/01/2024_", r"_\d\d/\d\d/\d{4}_"),
+    ],
+    "n_phone": [
+        ("212-555-0123x4", r"\d{3}-\d{3}-\d{4}x4"), ("(212) 555-0123ext. 77", r"\(\d{3}\) \d{3}-\d{4}ext\. 77"), ("电话212-555-0123请", r"电话\d{3}-\d{3}-\d{4}请"),
+        ("1-800-555-1234", r"1-\d{3}-\d{3}-\d{4}"), ("+44 20 7946 0958", r"\+44 \d\d \d{4} \d{4}"), ("+49 30 12345678", r"\+49 \d\d \d{8}"), ("+33 1 23 45 67 89", r"\+33 \d( \d\d){4}"),
+        ("+44 (0)20 7946 0958", r"\+44 \(0\)\d\d \d{4} \d{4}"), ("+55 (11) 91234-5678", r"\+55 \(\d\d\) \d{5}-\d{4}"), ("+34612345678", r"\+34\d{9}"), ("+352 27 12 3", r"\+352 \d\d \d\d \d"),
+        ("2125550123", r"\d{10}"), ("+49 30 12345678 2024-99-15", r"\+49 \d\d \d{8} 2024-99-15"), ("+44 20 7946 0958 (2 lines)", r"\+44 \d\d \d{4} \d{4} \(2 lines\)"),
+    ],
+    "n_card": [("3782-822463-10005", r"\d{4}-\d{6}-\d{5}"), ("3782 822463 10005", r"\d{4} \d{6} \d{5}"), ("3056 930902 5904", r"\d{4} \d{6} \d{4}"), ("卡4111111111111111号", r"卡\d{16}号")],
+}
+
+
+def test_more_forms_are_masked_in_their_layout(spark):
+    cases = [(name, value, shown) for name, forms in FORMS.items() for value, shown in forms]
+    got = {r.doc_id: r for r in pii.masked(frame(spark, [(i, v) for i, (_, v, _) in enumerate(cases)])).collect()}
+    for i, (name, value, shown) in enumerate(cases):
+        assert {k for k in ("n_card", "n_phone", "n_ip", "n_date", "n_email") if got[i][k]} == {name} and got[i][name] == 1, value
+        assert got[i].text != value and re.fullmatch(shown, got[i].text), (value, got[i].text)
+        if name == "n_card":
+            assert luhn(re.sub(r"\D", "", got[i].text))
+    by_value = {v: re.sub(r"\D", "", got[i].text) for i, (_, v, _) in enumerate(cases)}
+    assert by_value["+44 20 7946 0958"][2:] == by_value["+44 (0)20 7946 0958"][3:] and by_value["2125550123"] == by_value["电话212-555-0123请"]
+
+
+def test_numbers_that_are_no_values_stay(spark):
+    for text in ("3782-822463-10006", "+999 20 7946 0958", "+210 1234567", "+1 23456", "+1234567890123456", "1700000000", "2120550123", "13/15/2024", "31.02.2024", "15.01.1024", "2024-01-15Tx", "212-555-0123xy", "a2024-01-15", "212-555-0123é", "v1.15.01.2024"):
+        row = pii.masked(frame(spark, [(1, text)])).first()
+        assert (row.text, row.n_card + row.n_phone + row.n_ip + row.n_date + row.n_email) == (text, 0), text
+
+
+def test_pseudonyms_of_dates_are_distinct(spark):
+    days = [dt.date(2000, 1, 1) + dt.timedelta(i) for i in range(800)]
+    texts = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    got = pii.masked(frame(spark, list(enumerate(texts)))).collect()
+    assert all(r.n_date == 1 for r in got) and len({r.text for r in got}) == len(texts)
+
+
 # Decontamination.
 def test_leaks_match_all_windows(spark):
     rng = random.Random(7)
