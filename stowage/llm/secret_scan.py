@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least total of log10 guesses over all ways to cut it into common words, dates, repeats,
 keyboard walks and brute-force spans (dynamic programming over its positions). A context value at or above the limit is
-a finding of kind ``guess`` unless it overlaps a base finding.
+a finding of kind ``guess`` unless a base finding holds all of it. An auth scheme before a value (Bearer, Basic, Token) belongs to the
+context; a passphrase is the quoted value or the rest of the line.
 
 Positions are code points, ends exclusive. Defined cases: null is an empty text and has no finding; repeated rows are
 scanned alike; an empty table gives an empty result; only doc_id and text are read.
@@ -21,9 +22,18 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+KEYWORD = r"(?:password|passwd|passcode|pass|pwd|secret|token|api[_-]?key|(?:access|private|signing|encryption)[_-]?key|credentials?|authorization|bearer|login)"
+SAID = r"[\"']?\x20*(?:[:=]|\x20is\x20)\x20*"
+SCHEME = r"(?:bearer|basic|token|digest|negotiate)"
+WORD = r"([^\s\"'<>]{6,})"
+# A context can name several keywords and a scheme before its value. A passphrase is the quoted value, or after : and = the rest of
+# the line up to a tag; after "is", where prose goes on, an unquoted one is a single word. One group of a match is the value.
 CONTEXT = re.compile(
-    r"(?<![a-z])(?:password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|(?:access|private|signing|encryption)[_-]?key|credentials?|authorization|bearer|login)"
-    r"[\"']?\x20*(?:[:=]|\x20is\x20)\x20*[\"']?([^\s\"'<>]{6,})",
+    rf"(?<![a-z])(?:(?:{KEYWORD}{SAID}[\"']?){{0,4}}+passphrase"
+    rf"(?:{SAID}(?:\"((?:[^\"\\\r\n]|\\.){{6,}})\"|'((?:[^'\\\r\n]|\\.){{6,}})')"
+    rf"|[\"']?\x20*[:=]\x20*(?:\"(?![^\"\r\n]*\")|'(?![^'\r\n]*'))?([^\s\"'<>](?:(?!<[/a-z])[^\r\n]){{5,}})"
+    rf"|{SAID}[\"']?{WORD})"
+    rf"|(?:{KEYWORD}{SAID}[\"']?){{1,4}}+(?:{SCHEME}\x20+)?+(?!{SCHEME}(?![^\s\"'<>])){WORD})",
     re.I | re.A,
 )
 # log10 of the guesses from which a value counts as a secret.
@@ -82,15 +92,17 @@ def findings(text: str | None) -> list[tuple[int, int, int]]:
     if ":" in text or "=" in text:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if ":" in text or "=" in text or " is " in text:
-        # Base findings by start, with the furthest end so far: a context value may not touch one.
+        # Base findings by start, with the furthest end so far: a context value is dropped if one of them holds all of it.
         base = sorted((s, e) for s, _, e in found)
         k, reach = 0, 0
         for m in CONTEXT.finditer(text):
-            while k < len(base) and base[k][0] < m.end():
+            start, value = m.start(m.lastindex), m[m.lastindex].rstrip()
+            while k < len(base) and base[k][0] <= start:
                 reach = max(reach, base[k][1])
                 k += 1
-            if reach <= m.start() and guess_cost(m[1].rstrip(".,;:!?")) >= LEAST_COST:
-                found.append((m.start(), 3, m.end()))
+            scored = value.rstrip(".,;:!?")
+            if reach < start + len(scored) and guess_cost(scored) >= LEAST_COST:
+                found.append((m.start(), 3, start + len(value)))
     return sorted(found)
 
 

@@ -216,6 +216,31 @@ def test_context_values_need_a_high_cost():
     assert secret_scan.findings("the secret is out and the password is hidden") == []
 
 
+def test_contexts_keep_their_whole_value():
+    found = lambda text: secret_scan.joined(secret_scan.findings(text))
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIi"
+    # An auth scheme belongs to the context.
+    for text in (f"Authorization: Bearer {token} x", f"authorization=token {token} x", f"'Authorization': 'Basic {token}' x", f"login: password: {token}$9 x"):
+        assert any(k == 3 and token in text[s:e] for s, k, e in secret_scan.findings(text)), text
+    assert found(f"Authorization: Bearer {token} x") == f"guess:0:{22 + len(token)}"
+    assert found("Authorization: Bearer") == found("Authorization: Bearer <here>") == found("Authorization: Bearer abc") == ""
+    # A base finding takes the place of a guess only if it holds the whole value.
+    assert found("password: hunter2!X9$kq#Lw now") == "assign:0:17,guess:0:26"
+    assert found("password: f8Kq2zRw0Lm9, now") == "assign:0:22" and found("password: f8Kq2zRw0Lm9! now") == "assign:0:22"
+    # A passphrase is the quoted value or the rest of the line.
+    assert found("passphrase: correct horse battery staple \nnext") == "guess:0:40"
+    assert found('{"passphrase": "correct horse battery staple", "n": 1}') == "guess:2:44"
+    assert found("a passphrase is 'correct horse battery staple' there") == "guess:2:45"
+    assert found("<p>passphrase = correct horse battery staple</p>") == "guess:3:44"
+    assert found('passphrase: "correct horse battery staple') == "guess:0:41"
+    assert found("passphrase: <yours> here") == "" and found('passphrase: "abc", "name": "value"') == ""
+
+
+def test_long_runs_of_contexts_take_linear_time():
+    for text in ("login:" * 30_000, "passphrase:" * 20_000, "passphrase: \"" * 20_000, "token bearer " * 20_000, "secret is " * 20_000):
+        secret_scan.findings(text)
+
+
 # Languages.
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
