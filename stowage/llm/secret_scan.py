@@ -1,7 +1,8 @@
 """Secrets in texts: fixed forms, and values in credential contexts that a guesser would need long for.
 
 The guess cost of a value is the least total of log10 guesses over all ways to cut it into common words, dates, repeats,
-keyboard walks and brute-force spans (dynamic programming over its positions). A context value at or above the limit is
+keyboard walks and brute-force spans (dynamic programming over its positions). Words are ranked by a count over all documents,
+next to a short fixed list. A context value at or above the limit is
 a finding of kind ``guess`` unless a base finding holds all of it. An auth scheme before a value (Bearer, Basic, Token) belongs to the
 context; a passphrase is the quoted value or the rest of the line.
 
@@ -14,9 +15,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stowage.llm.storage import drop_stored, stored
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -46,14 +51,35 @@ COMMON = (
 )
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+# Words of the documents join the fixed ones: runs of 3 to 64 letters in at least LEAST_DOCS documents and in so many that they make one
+# in MOST_WORDS of all mentions of such words, so there are never more than MOST_WORDS. A document mentions a word once, however often.
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+LONGEST_WORD = 64
+LEAST_DOCS = 3
+MOST_WORDS = 500_000
+# Words that a task counts before it sends them on.
+HELD_WORDS = 200_000
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 STEP = {a + b for w in WALKS for a, b in zip(w, w[1:])} | {b + a for w in WALKS for a, b in zip(w, w[1:])}
 CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[^0-9A-Za-z]"), 33))
 SEGMENT = math.log10(2)
 
 
-def guess_cost(value: str) -> float:
+class Ranks:
+    """Ranks of common words, the fixed ones or those of documents, whichever is better."""
+
+    def __init__(self, words: list[str] = ()):
+        """words: the most common first."""
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
+        for w, r in RANK.items():
+            self.rank[w] = min(r, self.rank.get(w, r))
+        self.longest = max(map(len, self.rank))
+
+
+FIXED = Ranks()
+
+
+def guess_cost(value: str, ranks: Ranks = FIXED) -> float:
     """log10 of the guesses of the cheapest segmentation."""
     n, low = len(value), value.lower()
     brute = math.log10(sum(size for kind, size in CLASSES if kind.search(value)) or 1)
@@ -68,8 +94,8 @@ def guess_cost(value: str) -> float:
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + brute)
-        for length in range(3, min(LONGEST, n - i) + 1):
-            rank = RANK.get(low[i : i + length])
+        for length in range(3, min(ranks.longest, n - i) + 1):
+            rank = ranks.rank.get(low[i : i + length])
             if rank:
                 cased = SEGMENT * (value[i : i + length] != low[i : i + length])
                 best[i + length] = min(best[i + length], here + SEGMENT + math.log10(rank + 1) + cased)
@@ -83,7 +109,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def findings(text: str | None) -> list[tuple[int, int, int]]:
+def findings(text: str | None, ranks: Ranks = FIXED) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of all findings, by start, then kind."""
     text = text or ""
     found = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -101,7 +127,7 @@ def findings(text: str | None) -> list[tuple[int, int, int]]:
                 reach = max(reach, base[k][1])
                 k += 1
             scored = value.rstrip(".,;:!?")
-            if reach < start + len(scored) and guess_cost(scored) >= LEAST_COST:
+            if reach < start + len(scored) and guess_cost(scored, ranks) >= LEAST_COST:
                 found.append((m.start(), 3, start + len(value)))
     return sorted(found)
 
@@ -110,12 +136,47 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
+def mentioned(text: str | None) -> set[str]:
+    """The words of a text outside values of credentials, so that a leaked secret that is copied around does not become a word."""
+    text = text or ""
+    if ":" in text or "=" in text or " is " in text:
+        text = ASSIGN.sub(" ", CONTEXT.sub(" ", text))
+    return {w for w in LETTERS.findall(text.lower()) if len(w) <= LONGEST_WORD}
+
+
+def word_ranks(docs: DataFrame, most_words: int = MOST_WORDS) -> Ranks:
+    """Ranks from a count of the documents that mention a word."""
+
+    def count(batches):
+        held = Counter()
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                held.update(mentioned(text.as_py()))
+                if len(held) >= HELD_WORDS:
+                    yield sent()
+                    held.clear()
+        yield sent()
+
+    counts = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") >= LEAST_DOCS), "words")
+    mentions = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") * most_words >= mentions).collect()
+    drop_stored(docs.sparkSession, counts)
+    return Ranks([r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))])
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, digest of the base spans, all spans."""
+    """doc_id, counts of the base kinds, digest of the base spans, all spans; words are ranked over all documents first."""
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
 
     def scan(batches):
+        ranks = shared.value
         for batch in batches:
-            every = [findings(t.as_py()) for t in batch.column("text")]
+            every = [findings(t.as_py(), ranks) for t in batch.column("text")]
             counts = [pa.array([sum(k == kind for _, k, _ in f) for f in every], pa.int64()) for kind in range(3)]
             digests = [hashlib.sha256(joined([x for x in f if x[1] < 3]).encode()).hexdigest() for f in every]
             yield pa.RecordBatch.from_arrays(

@@ -236,6 +236,30 @@ def test_contexts_keep_their_whole_value():
     assert found("passphrase: <yours> here") == "" and found('passphrase: "abc", "name": "value"') == ""
 
 
+def test_words_of_the_documents_are_no_secrets(spark):
+    words = ["required", "incorrect", "revealed", "username", "erforderlich", "ungültig", "contraseña", "necesario", "obligatoire", "confidentiel"]
+    prose = [f"it says {w} here, {w.upper()} and again {w}" for w in words]
+    asked = [f"the password is {w}, as told" for w in words] + [f"credentials: {w}" for w in words]
+    leaked = "mwqtzcbxnrvp"
+    rows = list(enumerate(prose * 3 + asked + [f"login: {leaked}", f"mypwd passphrase: {leaked} fgkqzvxw"] * 9 + [f"odd once {leaked[::-1]}", f"login: {leaked[::-1]}", "login: x9$Kq!7Lw2@p now", None, ""]))
+    got = {r.doc_id: r.spans for r in secret_scan.scanned(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        guessed = bool(text) and (leaked in text or text.startswith("login"))
+        assert bool(got[i]) == guessed, (text, got[i])
+    # Without the documents these words cost as much as chance letters ("user" is a fixed word).
+    assert all(secret_scan.guess_cost(w) >= secret_scan.LEAST_COST for w in words if w != "username")
+
+
+def test_ranked_words_are_bounded(spark):
+    rows = [(i, " ".join("w" + "abcdefghij"[j] * 3 for j in range(10) if i % (j + 1) == 0)) for i in range(60)]
+    every = secret_scan.word_ranks(frame(spark, rows)).rank
+    few = secret_scan.word_ranks(frame(spark, rows), most_words=4).rank
+    assert every["waaa"] == 1 and every["wjjj"] == 10 and len(every) == 10 + len(secret_scan.COMMON)
+    assert few["waaa"] == 1 and 0 < len(few) - len(secret_scan.COMMON) <= 4
+    assert secret_scan.word_ranks(frame(spark, [])).rank == secret_scan.RANK
+
+
 def test_long_runs_of_contexts_take_linear_time():
     for text in ("login:" * 30_000, "passphrase:" * 20_000, "passphrase: \"" * 20_000, "token bearer " * 20_000, "secret is " * 20_000):
         secret_scan.findings(text)
