@@ -384,6 +384,24 @@ def test_leaks_match_all_windows(spark):
     assert sorted(map(tuple, in_blocks)) == sorted(map(tuple, got))
 
 
+def test_items_with_repeats_leak_as_well(spark):
+    rng = random.Random(9)
+    make = lambda n: ["".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n)]
+    items, docs = {}, {}
+    for i in range(60):
+        start = make(72)
+        # One shingle is there eight times; the document lacks all of them and is still similar enough.
+        items[i] = " ".join(start + ["again"] * 12)
+        docs[i] = " ".join(make(i % 5) + start + ["again"] * 4 + make(8 + i % 7))
+        table = make(12) + ["|", "-"] * 20
+        items[100 + i] = " ".join(table + make(30))
+        docs[100 + i] = " ".join(table[:12] + ["|", "-"] * (20 - i % 8) + items[100 + i].split()[-30:] + make(20))
+    got = decontaminate.leaks(frame(spark, list(docs.items())), frame(spark, list(items.items()), "item_id bigint, text string")).collect()
+    want = brute.leaks(docs, items)
+    assert all((i, i) in want for i in range(60))
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
     words = [rng.integers(1, 2**63, 30).astype(np.uint64) for _ in range(50)]
