@@ -8,6 +8,7 @@ of both groups are verified by their full intersection.
 
 A shingle that many groups hold is not paired out. First each group is compared with one hub per shingle, and what links is
 merged; this repeats with other hubs while a good part of the sets merges. Then every remaining pair of different classes is verified. Pairs inside a class need no proof, so no link between classes is lost.
+The result is classes alone: pairs within a class are not all verified, and how many links a document has is not given.
 
 Defined cases: null, empty or blank text has an empty set, links with nothing and is its own class; fewer than five words
 are one shingle; repeated rows are one class; a class's id is its smallest doc_id (nulls only if all are null); an empty table gives an
