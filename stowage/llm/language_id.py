@@ -4,7 +4,7 @@ Filters of several widths run over fixed-length windows of bytes; each filter ke
 softmax over these gives the languages. A text is scored in all its windows; the mean probability, weighted by bytes, decides.
 
 Training reads a bounded sample of labelled rows: up to ``ROWS_PER_LANG`` of each label, chosen by a hash of the id, with
-``WINDOWS_PER_ROW`` windows at seeded places. Prediction reads the text alone.
+``WINDOWS_PER_ROW`` windows at seeded places, cut before they go to the driver. Prediction reads the text alone.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned; rows without
 a label or an id are not learned from; ties go to the label that sorts first; repeated rows are predicted alike; an empty table gives
@@ -130,6 +130,27 @@ def window_probabilities(network: Network, tables: list[np.ndarray], windows: np
     return np.concatenate(out)
 
 
+def sampled(text: str, draw: int) -> np.ndarray:
+    """Windows of a text at places that its draw fixes, (WINDOWS_PER_ROW, LENGTH)."""
+    rng = np.random.default_rng([SEED, draw % (1 << 64)])
+    data = text.encode()
+    out = np.zeros((WINDOWS_PER_ROW, LENGTH), np.uint8)
+    for piece in out:
+        # Mostly whole windows, some short ones, as texts can be short.
+        size = int(rng.integers(20, LENGTH)) if rng.random() < 0.25 else LENGTH
+        start = int(rng.integers(0, max(1, len(data) - size + 1)))
+        taken = LOWER[np.frombuffer(data[start : start + size], np.uint8)]
+        piece[: len(taken)] = taken
+    return out
+
+
+def cut_samples(batches):
+    """The windows of the chosen rows, cut where the texts are: the driver gets WINDOWS_PER_ROW * LENGTH bytes a row."""
+    for batch in batches:
+        pieces = [sampled(t.as_py(), d.as_py()).tobytes() for t, d in zip(batch.column("text"), batch.column("draw"))]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array(pieces, pa.binary())], ["lang", "draw", "windows"])
+
+
 def learned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str], Network]:
     """Labels and the network trained on a bounded sample of the labelled rows that are not held out."""
     labelled = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -139,23 +160,14 @@ def learned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
     place = Window.partitionBy("lang").orderBy("draw", "id")
     chosen = keyed.select("lang", "id", "draw").withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows_per_lang)
     held = keyed.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"])
-    rows = held.groupBy("lang", "id", "draw").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["draw"], r["lang"], r["text"]))
+    texts = held.groupBy("lang", "id", "draw").agg(F.min("text").alias("text")).select("lang", "draw", "text")
+    rows = texts.mapInArrow(cut_samples, "lang string, draw bigint, windows binary").collect()
+    rows.sort(key=lambda r: (r["draw"], r["lang"], r["windows"]))
     langs = sorted({r["lang"] for r in rows})
+    number = {v: i for i, v in enumerate(langs)}
     network = Network(max(1, len(langs)))
-    rng = np.random.default_rng(SEED)
-    windows, labels = [], []
-    for r in rows:
-        data = r["text"].encode()
-        for _ in range(WINDOWS_PER_ROW):
-            # Mostly whole windows, some short ones, as texts can be short.
-            size = int(rng.integers(20, LENGTH)) if rng.random() < 0.25 else LENGTH
-            start = int(rng.integers(0, max(1, len(data) - size + 1)))
-            piece = np.zeros(LENGTH, np.uint8)
-            taken = LOWER[np.frombuffer(data[start : start + size], np.uint8)]
-            piece[: len(taken)] = taken
-            windows.append(piece)
-            labels.append(langs.index(r["lang"]))
+    windows = [w for r in rows for w in np.frombuffer(r["windows"], np.uint8).reshape(WINDOWS_PER_ROW, LENGTH)]
+    labels = [number[r["lang"]] for r in rows for _ in range(WINDOWS_PER_ROW)]
     if windows:
         network.train(np.array(windows), np.array(labels))
     return langs, network

@@ -284,6 +284,20 @@ def test_odd_texts_have_no_language(spark):
     assert language_id.identified(df.where("false")).collect() == []
 
 
+def test_only_windows_go_to_the_driver(spark, monkeypatch):
+    collect, sizes = type(spark.range(0)).collect, []
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(sum(len(v) for r in rows for v in r if isinstance(v, (str, bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(spark.range(0)), "collect", counted)
+    rows = [(i, "the cat and the dog " * 5000, "en") for i in range(8)] + [(10 + i, "der Hund und die Katze " * 5000, "de") for i in range(8)]
+    langs, network = language_id.learned(frame(spark, rows, "doc_id bigint, text string, lang string"))
+    assert langs == ["de", "en"] and sizes and sum(sizes) <= 16 * (language_id.WINDOWS_PER_ROW * language_id.LENGTH + 2)
+
+
 # Pseudonyms.
 def test_feistel_is_a_bijection_that_inverts(spark):
     n = 35 * 9
