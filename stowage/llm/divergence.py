@@ -32,8 +32,8 @@ SMOOTH = 2
 TOP_TERMS = 10
 MOST_GROUPS = 1_000_000
 SHARD_TERMS = 1 << 16
-# Rows a task counts before it sends them on, and shares (sources x terms) it holds at once.
-HELD_ROWS = 1 << 21
+# Bytes of counts a task holds before it sends them on, and shares (sources x terms) it holds at once.
+HELD_BYTES = 1 << 23
 HELD_SHARES = 1 << 22
 
 TERM_BYTE = np.zeros(256, bool)
@@ -91,11 +91,11 @@ def counted(docs: DataFrame, group: str, numbers: dict, by_document: bool) -> Da
                 table = pa.table({"g": groups[rows], "term": terms, "n": np.ones(len(rows), np.int64)})
                 table = summed([table], ["g", "term"])
                 held.append(table)
-                n_held += len(table)
-                if n_held > HELD_ROWS:
+                n_held += table.nbytes
+                if n_held > 2 * HELD_BYTES:
                     held = [summed(held, ["g", "term"])]
-                    n_held = len(held[0])
-                    if n_held > HELD_ROWS // 2:
+                    n_held = held[0].nbytes
+                    if n_held > HELD_BYTES:
                         yield from batch_of(held[0])
                         held, n_held = [], 0
         if held:

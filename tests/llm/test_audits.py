@@ -117,7 +117,7 @@ def test_transducer_shares_ends():
 def test_divergence_against_plain_sums(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(divergence, "SHARD_TERMS", 3)
-        monkeypatch.setattr(divergence, "HELD_ROWS", 50)
+        monkeypatch.setattr(divergence, "HELD_BYTES", 1000)
         monkeypatch.setattr(divergence, "HELD_SHARES", 8)
     rng = random.Random(6)
     words = ["The", "the", "É", "é", "straße", "x", "x1y", "naïve-word", "日本語", "\x7f", "123", "K", "İ", "a b", "zz\x00zz", "𝒳"]
