@@ -219,6 +219,37 @@ def _(t):
     return layout.top_pairs(layout.consecutive_picks(t.demand_lines), places)
 
 
+# Parts are what customers pick here: 200 at the smallest size, 20,000 at the largest.
+STEPS["o_shipped"] = "SELECT DISTINCT lord, CAST(l_partkey AS VARCHAR) AS item FROM (SELECT CAST(o_orderkey AS VARCHAR) AS lord, l_partkey FROM lines) l"
+STEPS["o_shipped_pairs"] = """
+SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS co_occurrence FROM o_shipped a JOIN o_shipped b ON a.lord = b.lord AND a.item < b.item GROUP BY a.item, b.item"""
+# Orders of a customer and year as one shipment: some hundred items in the larger ones.
+STEPS["o_shipments"] = """
+SELECT DISTINCT CONCAT(CAST(o_custkey % 25 AS VARCHAR), '/', CAST(YEAR(order_date) AS VARCHAR)) AS lord, CAST(l_partkey AS VARCHAR) AS item FROM lines"""
+STEPS["o_shipment_pairs"] = """
+SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS co_occurrence FROM o_shipments a JOIN o_shipments b ON a.lord = b.lord AND a.item < b.item GROUP BY a.item, b.item"""
+
+
+@query(
+    "co_shipped_pairs",
+    """
+SELECT p.item_a, p.item_b, p.co_occurrence, a.location AS location_a, b.location AS location_b
+FROM (SELECT * FROM o_shipped_pairs ORDER BY co_occurrence DESC, item_a, item_b LIMIT 100) p
+JOIN (SELECT CAST(p_partkey AS VARCHAR) AS item, CONCAT('L', CAST(p_size AS VARCHAR)) AS location FROM part) a ON a.item = p.item_a
+JOIN (SELECT CAST(p_partkey AS VARCHAR) AS item, CONCAT('L', CAST(p_size AS VARCHAR)) AS location FROM part) b ON b.item = p.item_b""",
+)
+def _(t):
+    lines = t.lines.select(F.col("o_orderkey").cast("string").alias("lord"), F.col("l_partkey").cast("string").alias("item"))
+    places = t.part.select(F.col("p_partkey").cast("string").alias("item"), F.concat(F.lit("L"), F.col("p_size").cast("string")).alias("location"))
+    return layout.top_pairs(layout.frequent_pairs(lines), places)
+
+
+@query("co_shipped_pairs_of_large_orders", "SELECT * FROM o_shipment_pairs ORDER BY co_occurrence DESC, item_a, item_b LIMIT 100")
+def _(t):
+    shipment = F.concat((F.col("o_custkey") % 25).cast("string"), F.lit("/"), F.year("order_date").cast("string"))
+    return layout.frequent_pairs(t.lines.select(shipment.alias("lord"), F.col("l_partkey").cast("string").alias("item")))
+
+
 def abc_query(name: str, subject: str, source: str) -> None:
     @query(
         name,

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.running import nulls_last, numbered
+from stowage.session import cut_lineage, materialised
+
+# Items of highest support that give the first bound, and how much larger the next trial is.
+FIRST_ITEMS, STEP = 128, 8
+# Items of an order that are paired with the rest of it in one task.
+PART_ITEMS = 128
 
 
 def split_coordinates(locations: DataFrame) -> DataFrame:
@@ -66,8 +72,50 @@ def consecutive_picks(lines: DataFrame) -> DataFrame:
     )
 
 
+def _pair_counts(picks: DataFrame) -> DataFrame:
+    """How many orders hold both of two items, from distinct (lord, item).
+
+    An order is cut into parts by item, and every part meets the whole order, so no order lies in one task.
+    """
+    sizes = picks.groupBy("lord").agg(F.ceil(F.count(F.lit(1)) / PART_ITEMS).cast("int").alias("_parts")).where("_parts > 0")
+    sized = picks.join(sizes, "lord")
+    part = F.pmod(F.xxhash64("item"), F.col("_parts")).cast("int")
+    first = sized.select("lord", part.alias("_part"), F.col("item").alias("item_a"))
+    second = sized.select("lord", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("item").alias("item_b"))
+    met = first.join(second, ["lord", "_part"]).where("item_a < item_b")
+    return met.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("co_occurrence"))
+
+
+def frequent_pairs(lines: DataFrame, count: int = 100) -> DataFrame:
+    """The ``count`` item pairs that most orders hold both items of; ties go by item_a, item_b.
+
+    A pair is in no more orders than its rarer item. So the ``count``-th pair among some items of highest support gives a bound,
+    and only items at or above it can be in a pair that counts. A trial over more items raises the bound before all that are left are
+    taken; the pairs of other items are never built. Lines without order or item are left out, an item counts once an order.
+    """
+    picks = materialised(lines.select("lord", "item").where("lord IS NOT NULL AND item IS NOT NULL").distinct())
+    supports = cut_lineage(picks.groupBy("item").agg(F.count(F.lit(1)).alias("support")))
+    taken, bound = FIRST_ITEMS, 1
+    while True:
+        able = supports.where(F.col("support") >= bound)
+        n_able = able.count()
+        if taken < n_able:
+            able = able.orderBy(F.col("support").desc(), "item").limit(taken)
+        pairs = _pair_counts(picks.join(able.select("item"), "item", "left_semi")).where(F.col("co_occurrence") >= bound)
+        best = cut_lineage(pairs.orderBy(F.col("co_occurrence").desc(), "item_a", "item_b").limit(count))
+        found, least = best.agg(F.count(F.lit(1)), F.min("co_occurrence")).first()
+        if taken >= n_able:
+            return best
+        if found == count:
+            bound = least
+            # The items that are left may all have been in this trial.
+            if supports.where(F.col("support") >= bound).count() <= taken:
+                return best
+        taken *= STEP
+
+
 def top_pairs(pairs: DataFrame, item_locations: DataFrame, count: int = 100) -> DataFrame:
-    """Of a given pair table, the most frequent item pairs with the location of each item; items without one drop out."""
+    """Of a pair table (``frequent_pairs``), the most frequent item pairs with the location of each item; items without one drop out."""
     best = pairs.orderBy(F.col("co_occurrence").desc(), "item_a", "item_b").limit(count)
     a = item_locations.select(F.col("item").alias("item_a"), F.col("location").alias("location_a"))
     b = item_locations.select(F.col("item").alias("item_b"), F.col("location").alias("location_b"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 import statistics
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +206,39 @@ def test_consecutive_picks_grow_with_the_lines(spark):
     lines = spark.createDataFrame([("o", str(i), f"i{i % 3}") for i in range(1, 101)], "lord string, lline string, item string")
     got = layout.consecutive_picks(lines).collect()
     assert sum(r.co_occurrence for r in got) == 99 and all(r.item_a < r.item_b for r in got)
+
+
+def plain_pairs(lines, count):
+    orders, pairs = defaultdict(set), Counter()
+    for lord, item in lines:
+        if lord is not None and item is not None:
+            orders[lord].add(item)
+    for held in orders.values():
+        pairs.update(combinations(sorted(held), 2))
+    return sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda r: (-r[2], r[0], r[1]))[:count]
+
+
+def test_frequent_pairs_with_one_large_order(spark):
+    lines = [("large", f"i{i:04d}") for i in range(5000)]
+    # Some thirty orders share the same few items, so that the bound is far above 1.
+    lines += [(f"o{k}", f"i{(k * 7 + j * j) % 40:04d}") for k in range(400) for j in range(6)]
+    lines += [("o1", "i0001")] * 3 + [(None, "i0001"), ("o2", None)]
+    df = spark.createDataFrame(lines, "lord string, item string").repartition(6)
+    trials = []
+    real = layout._pair_counts
+    layout._pair_counts = lambda picks: trials.append(picks.select("item").distinct().count()) or real(picks)
+    try:
+        got = [tuple(r) for r in layout.frequent_pairs(df).collect()]
+    finally:
+        layout._pair_counts = real
+    assert got == plain_pairs(lines, 100)
+    # Pairs are only built of items that can be in one of the hundred.
+    assert trials and max(trials) <= layout.FIRST_ITEMS
+
+
+def test_frequent_pairs_with_ties_and_few_rows(spark):
+    lines = [(f"o{k}", f"i{(k + j) % 900}") for k in range(900) for j in range(3)]
+    df = spark.createDataFrame(lines, "lord string, item string")
+    assert [tuple(r) for r in layout.frequent_pairs(df, 50).collect()] == plain_pairs(lines, 50)
+    assert layout.frequent_pairs(df.where("false")).collect() == []
+    assert [tuple(r) for r in layout.frequent_pairs(df.where("lord = 'o1'")).collect()] == plain_pairs(lines[3:6], 100)
