@@ -137,10 +137,10 @@ def _(t):
     return tables.hot_zone_replaced(stored, new, "order_date", AS_OF, keys=keys)
 
 
-def new_table(t, name: str, date: str | None = None) -> tables.StoredTable:
+def new_table(t, name: str, date: str | None = None, keys=()) -> tables.StoredTable:
     """A stored table of its own under the session's warehouse."""
     unique = f"{name}_{uuid.uuid4().hex}"
-    return tables.StoredTable(t.spark, unique, f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{unique}", date)
+    return tables.StoredTable(t.spark, unique, f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{unique}", date, keys)
 
 
 @query(
@@ -170,6 +170,47 @@ def _(t):
     return table.read()
 
 
+NULL_KEYED = "SELECT CASE WHEN o_orderkey % 10 <> 3 THEN o_orderkey END AS k, o_orderpriority AS part, CAST(o_orderdate AS DATE) AS day, o_totalprice AS total, o_orderkey FROM orders"
+
+
+@query(
+    "upserted_null_keys",
+    f"""
+WITH rows_ AS ({NULL_KEYED}), first AS (
+  SELECT k, part, day, total FROM rows_ WHERE k IS NOT NULL UNION ALL SELECT NULL, part, MIN(day), MIN(total) FROM rows_ WHERE k IS NULL GROUP BY part)
+SELECT k, part, CASE WHEN k IS NULL THEN CAST(day + INTERVAL 62 DAY AS DATE) ELSE day END AS day, CASE WHEN k IS NULL OR k % 4 = 0 THEN total + 1 ELSE total END AS total FROM first""",
+    "total",
+)
+def _(t):
+    """S12 by month: rows whose key holds a null move to another month and stay single."""
+    rows = t.orders.select(
+        F.when(F.col("o_orderkey") % 10 != 3, F.col("o_orderkey")).alias("k"), F.col("o_orderpriority").alias("part"),
+        F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").alias("total"),
+    )
+    keyless = rows.where("k IS NULL").groupBy("k", "part").agg(F.min("day").alias("day"), F.min("total").alias("total"))
+    table = new_table(t, "null_keys", "day", ("k", "part"))
+    table.append(rows.where("k IS NOT NULL"))
+    table.append(keyless)
+    later = keyless.withColumns({"day": F.date_add("day", 62), "total": F.col("total") + 1})
+    table.upsert(later, ["k", "part"])
+    table.upsert(rows.where("k % 4 = 0").withColumn("total", F.col("total") + 1), ["k", "part"])
+    return table.read()
+
+
+@query(
+    "dated_read",
+    """
+SELECT o_orderkey, day, total FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS p, o_totalprice AS total FROM orders) o
+WHERE day BETWEEN DATE '1996-02-11' AND DATE '1996-09-05' AND p IN ('1-URGENT', '2-HIGH')""",
+    "total",
+)
+def _(t):
+    """S3 on a table by month: a range of dates and a list."""
+    table = new_table(t, "dated_orders", "day")
+    table.append(t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("total")))
+    return table.read({"p": ["1-URGENT", "2-HIGH"]}, ["o_orderkey", "day", "total"], dt.date(1996, 2, 11), dt.date(1996, 9, 5))
+
+
 @query(
     "written_changes",
     """

@@ -1,9 +1,9 @@
 """Changing stored tables.
 
-A stored table is a catalog table over parquet files. With a date column it is partitioned by month, and a
-change rewrites only the months it touches. Without one, a rewrite goes to a new folder and the table is
-pointed at it afterwards; the folder before the last one is removed. Either way new content is complete
-on disk before old content goes, and a lost executor only repeats its own files.
+A stored table with a date column is kept by month in committed versions (see ``versions``): a change rewrites the months it touches
+into new folders, and one small table makes the version. Without a date column it is a catalog table: a rewrite goes to a new folder and
+the table is pointed at it afterwards; the folder before the last one is removed. Either way readers see all of a change or nothing of it, new content
+is complete on disk before old content goes, and a lost executor only repeats its own files.
 
 An empty input changes nothing in any sink.
 """
@@ -12,16 +12,16 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.running import first_rows
+from stowage.sources.readers import narrowed
+from stowage.sources.versions import MONTH, UNDATED, Versions, implied, month_of
 
 NEW = "_stored"
-MONTH = "_month"
-UNDATED = "none"
 PREVIOUS = "stowage.previous"
 
 
@@ -145,20 +145,46 @@ def fitted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class StoredTable:
-    """A catalog table whose files live under ``root``; with ``date`` it is partitioned by that column's month."""
+    """A table whose files live under ``root``: with ``date`` by that column's month in versions, otherwise a catalog table.
 
-    def __init__(self, spark, name: str, root: str, date: str | None = None):
+    ``keys`` declares the key that upserts of a table by month look rows up by: a digest of it is kept beside every month. ``keep`` is how long old
+    versions stay, besides the last two.
+    """
+
+    def __init__(self, spark, name: str, root: str, date: str | None = None, keys: Sequence[str] = (), keep: dt.timedelta = dt.timedelta(days=1)):
         self.spark = spark
         self.name = name
         self.root = root.rstrip("/")
         self.date = date
+        self.versions = Versions(spark, self.root, keys, keep) if date else None
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        return bool(self.versions.numbers()) if self.date else self.spark.catalog.tableExists(self.name)
 
-    def read(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name).drop(MONTH)
+    def read(
+        self,
+        equals: Mapping[str, object] | None = None,
+        columns: Sequence[str] | None = None,
+        since: dt.date | None = None,
+        until: dt.date | None = None,
+        version: int | None = None,
+    ) -> DataFrame:
+        """S3: the rows, with optional filters (see ``readers.narrowed``), dates (ends included) and columns.
+
+        Conditions on the date column open only the months they can hold in. ``version`` reads an older version of a table by month.
+        """
+        if not self.date:
+            self.spark.catalog.refreshTable(self.name)
+            return narrowed(self.spark.table(self.name), equals, columns)
+        schema, parts = self.versions.load(version)
+        months = implied(self.date, dict(equals or {}), since, until)
+        rows = self.versions.rows(schema, [p for p in parts if months.holds(p.month)]).where(months.column())
+        day = F.col(self.date).cast("date")
+        if since is not None:
+            rows = rows.where(day >= F.lit(since))
+        if until is not None:
+            rows = rows.where(day <= F.lit(until))
+        return narrowed(rows.drop(MONTH), equals, columns)
 
     def _folder(self, kind: str) -> str:
         return f"{self.root}/{kind}-{uuid.uuid4().hex}"
@@ -172,18 +198,17 @@ class StoredTable:
         df.write.parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder), folder
 
-    def _by_month(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(MONTH, F.coalesce(F.date_format(self.date, "yyyy-MM"), F.lit(UNDATED)))
-
-    def _months(self, df: DataFrame) -> list[str]:
-        """Distinct months: bounded by the calendar."""
-        return [r[0] for r in self._by_month(df).select(MONTH).distinct().collect()]
+    def _months(self, df: DataFrame) -> set[str]:
+        """Distinct months of rows to write: bounded by the calendar."""
+        if self.date not in df.columns:
+            return {UNDATED}
+        return {r[0] for r in df.select(month_of(self.date)).distinct().collect()}
 
     def _incoming(self, df: DataFrame) -> DataFrame | None:
         """The rows to write, in the table's columns; none if there is nothing to write."""
         rows = without_blank_rows(df)
         if self.exists():
-            rows = fitted(rows, self.read().columns)
+            rows = fitted(rows, self.versions.load()[0].names if self.date else self.read().columns)
         return None if rows.isEmpty() else rows
 
     def _location(self) -> str:
@@ -206,47 +231,45 @@ class StoredTable:
             self.spark.catalog.createTable(self.name, path=folder, source="parquet")
         self.spark.catalog.refreshTable(self.name)
 
-    def _write_months(self, df: DataFrame, touched: Sequence[str]) -> None:
-        """``df`` holds the whole new content of the touched months; months left without rows go."""
-        if not self.exists():
-            self._by_month(df).write.partitionBy(MONTH).option("path", self._folder("rows")).format("parquet").saveAsTable(self.name)
-            return
-        staged, folder = self._staged(df)
-        kept = set(self._months(staged))
-        location = self._location()
-        stored = {r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
-        self._by_month(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(location)
-        for month in sorted(set(touched) & stored - kept):
-            self._remove(f"{location}/{MONTH}={month}")
-        self.spark.sql(f"MSCK REPAIR TABLE {self.name} SYNC PARTITIONS")
-        self._remove(folder)
-        self.spark.catalog.refreshTable(self.name)
+    def _commit(self, df: DataFrame, replaced: Collection[str] | None = ()) -> None:
+        """Make a version in which ``df`` is the whole content of the replaced months (None: of all) and is added to others."""
+        start = (self.versions.numbers() or [None])[-1]
+        parts = self.versions.load(start)[1] if start is not None else []
+        kept = [p for p in parts if replaced is not None and p.month not in replaced]
+        self.versions.commit(df.schema, kept + self.versions.write(df, self.date), start)
+        self.versions.clean()
 
-    def _in_months(self, months: Sequence[str]) -> DataFrame:
-        return self.spark.table(self.name).where(F.col(MONTH).isin(list(months))).drop(MONTH)
+    def _in_months(self, months: set[str]) -> DataFrame:
+        schema, parts = self.versions.load()
+        return self.versions.rows(schema, [p for p in parts if p.month in months]).where(F.col(MONTH).isin(sorted(months))).drop(MONTH)
 
     def append(self, df: DataFrame) -> None:
         """S9."""
         rows = self._incoming(df)
         if rows is None:
             return
+        if self.date and self.exists():
+            return self._commit(self._completed(rows))
         if not self.exists():
             return self.overwrite(rows)
-        if self.date:
-            rows = self._by_month(rows)
-        rows.write.mode("append").format("parquet").option("path", self._location()).partitionBy(*([MONTH] if self.date else [])).saveAsTable(self.name)
+        rows.write.mode("append").format("parquet").option("path", self._location()).saveAsTable(self.name)
+
+    def _completed(self, rows: DataFrame) -> DataFrame:
+        """The rows with all columns of the table, in its types."""
+        schema, _ = self.versions.load()
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
     def overwrite(self, df: DataFrame) -> None:
         """S10."""
         rows = self._incoming(df)
         if rows is None:
             return
-        if not self.date:
-            return self._switch(rows)
-        self._write_months(rows, [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()] if self.exists() else [])
+        if self.date:
+            return self._commit(self._completed(rows) if self.exists() else rows, None)
+        self._switch(rows)
 
     def upsert(self, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-        """S12."""
+        """See ``upserted``. Only the months that hold one of the keys, and those the rows go to, are rewritten."""
         rows = self._incoming(df)
         if rows is None:
             return
@@ -254,29 +277,28 @@ class StoredTable:
             return self.overwrite(last_per_key(rows, keys, order))
         if not self.date:
             return self._switch(upserted(self.read(), rows, keys, order))
-        # The months the keys live in, and those the rows go to.
-        touched = {*self._months(self.read().join(rows.select(*keys).distinct(), list(keys), "left_semi"))}
-        touched |= {*self._months(rows)} if self.date in rows.columns else {UNDATED}
-        self._write_months(upserted(self._in_months(sorted(touched)), rows, keys, order), sorted(touched))
+        schema, parts = self.versions.load()
+        touched = self._months(rows) | self.versions.months_of(schema, parts, rows, keys)
+        self._commit(self._completed(upserted(self._in_months(touched), rows, keys, order)), touched)
 
     def replace_hot_zone(
         self, df: DataFrame, date: str, as_of: dt.date, days: int = 180, keys: Sequence[str] = ()
     ) -> None:
-        """S11."""
+        """See ``hot_zone_replaced``. The months of the zone are known by their names; no row is read to find them."""
         rows = self._incoming(df)
         if rows is None:
             return
         if not self.exists():
             return self.overwrite(last_per_key(rows, keys) if keys else rows)
         if self.date != date:
-            return self._switch(hot_zone_replaced(self.read(), rows, date, as_of, days, keys))
-        start = as_of - dt.timedelta(days=days)
-        stored = self.read()
-        touched = {*self._months(stored.where(F.col(date) >= F.lit(start).cast("date"))), *self._months(rows)}
+            whole = hot_zone_replaced(self.read(), rows, date, as_of, days, keys)
+            return self._commit(self._completed(whole), None) if self.date else self._switch(whole)
+        schema, parts = self.versions.load()
+        zone = implied(date, None, as_of - dt.timedelta(days=days), None)
+        touched = {p.month for p in parts if zone.holds(p.month)} | self._months(rows)
         if keys:
-            touched |= {*self._months(stored.join(rows.select(*keys).distinct(), list(keys), "left_semi"))}
-        kept = self._in_months(sorted(touched))
-        self._write_months(hot_zone_replaced(kept, rows, date, as_of, days, keys), sorted(touched))
+            touched |= self.versions.months_of(schema, [p for p in parts if p.month not in touched], rows, keys)
+        self._commit(self._completed(hot_zone_replaced(self._in_months(touched), rows, date, as_of, days, keys)), touched)
 
     def write_changes(
         self,
@@ -287,25 +309,28 @@ class StoredTable:
         monitor: Sequence[str] | None = None,
         exclude: Sequence[str] = (),
         dry_run: bool = False,
-    ) -> tuple[DataFrame, DataFrame | None]:
+    ) -> tuple[DataFrame | None, DataFrame | None]:
         """Upsert what changed, then append the log; a dry run only returns both.
 
-        Changes are compared once and staged; both results read the staged rows.
+        Changes are compared once and staged. What a dry run returns reads the staged rows; a run that writes removes
+        them and returns the changes as (None, None), for they are in the table and its log.
         """
         if not self.exists():
             if not dry_run:
                 self.overwrite(df)
             return df, None
         stored = self.read()
-        staged, _ = self._staged(_changed(df, stored, keys, exclude))
+        staged, folder = self._staged(_changed(df, stored, keys, exclude))
         delta = staged.select(*df.columns)
         entries = _entries(staged, _monitored(df, stored, keys, monitor, exclude), keys, as_of, "Table update")
-        if dry_run or delta.isEmpty():
+        if dry_run:
             return delta, entries
-        self.upsert(delta, keys)
-        if log is not None:
-            log.append(entries)
-        return delta, entries
+        if not delta.isEmpty():
+            self.upsert(delta, keys)
+            if log is not None:
+                log.append(entries)
+        self._remove(folder)
+        return None, None
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -77,7 +77,6 @@ def test_an_empty_input_changes_nothing(spark, table):
 
 
 def test_only_touched_months_are_rewritten(spark, tmp_path):
-    spark.sql("DROP TABLE IF EXISTS monthly")
     table = tables.StoredTable(spark, "monthly", str(tmp_path / "monthly"), "day")
     days = {"a": "2024-01-05", "b": "2024-02-05", "c": "2024-03-05", "d": "2024-04-05"}
     table.overwrite(frame(spark, *[(k, 1.0, "t", D(d)) for k, d in days.items()]))
@@ -95,7 +94,112 @@ def test_only_touched_months_are_rewritten(spark, tmp_path):
     last = files()
     assert last["2024-01"] == before["2024-01"] and last["2024-03"] == after["2024-03"]
     assert keys(table.read()) == ["a", "b", "c", "e"]
-    spark.sql("DROP TABLE monthly")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def monthly(spark, tmp_path, keys=("k",), **more):
+    return tables.StoredTable(spark, "monthly", str(tmp_path / "monthly"), "day", keys=keys, **more)
+
+
+DAYS = {"a": "2024-01-05", "b": "2024-02-05", "c": "2024-03-05", "d": "2024-04-05"}
+
+
+def test_dated_reads_open_their_months(spark, tmp_path):
+    table = monthly(spark, tmp_path)
+    table.overwrite(frame(spark, *[(k, 1.0, "t", D(d)) for k, d in DAYS.items()], ("n", 1.0, "t", None)))
+    df = table.read(since=D("2024-02-05"), until=D("2024-03-04"))
+    assert keys(df) == ["b"] and "PartitionFilters: [" in plan_of(df) and "_month" in plan_of(df).split("PartitionFilters: [")[1].split("]")[0]
+    assert {f.split("_month=")[1][:7] for f in df.inputFiles()} == {"2024-02", "2024-03"}
+    assert keys(table.read({"day": [D("2024-04-05"), D("2024-01-06")]})) == ["d"]
+    assert len(table.read({"day": D("2024-04-05")}).inputFiles()) == 1
+    assert keys(table.read({"k": ["a", "n"]}, ["k"])) == ["a", "n"] and keys(table.read(until=D("2024-01-31"))) == ["a"]
+    assert keys(table.read()) == ["a", "b", "c", "d", "n"]
+
+
+def test_upserts_look_keys_up_in_the_index(spark, tmp_path, monkeypatch):
+    rows = [(f"k{i:04d}", 1.0, "t", D("2024-01-01") + dt.timedelta(days=i)) for i in range(360)]
+    table = monthly(spark, tmp_path)
+    table.overwrite(frame(spark, *rows))
+    opened = []
+    real = table.versions.rows
+    monkeypatch.setattr(table.versions, "rows", lambda schema, parts: opened.append({p.month for p in parts}) or real(schema, parts))
+    # One key of February, and a new one: only February's rows are read, and December's, where both go.
+    table.upsert(frame(spark, ("k0040", 2.0, "t", D("2024-12-01")), ("k9999", 2.0, "t", D("2024-12-02"))), ["k"])
+    assert set().union(*opened) == {"2024-02", "2024-12"}
+    want = {r[0]: r for r in rows} | {"k0040": ("k0040", 2.0, "t", D("2024-12-01")), "k9999": ("k9999", 2.0, "t", D("2024-12-02"))}
+    assert {r.k: tuple(r) for r in table.read().collect()} == want and table.read().count() == len(want)
+    # Keys beyond all ranges open no month but that of the new rows.
+    opened.clear()
+    table.upsert(frame(spark, ("z", 2.0, "t", D("2024-12-03"))), ["k"])
+    assert set().union(*opened) == {"2024-12"}
+    # Other keys than the declared ones are looked up in all months, with the same result.
+    table.upsert(frame(spark, ("z", 5.0, "t", D("2024-11-03"))), ["k", "b"])
+    assert [(r.a, r.day) for r in table.read({"k": "z"}).collect()] == [(5.0, D("2024-11-03"))]
+
+
+@pytest.mark.parametrize("declared", [(), ("k", "b")])
+def test_null_keys_meet_in_other_months(spark, tmp_path, declared):
+    table = monthly(spark, tmp_path, declared)
+    table.append(frame(spark, (None, 1.0, "t", D("2001-01-05")), ("x", 1.0, None, D("2001-02-05")), ("y", 1.0, "t", None)))
+    table.upsert(frame(spark, (None, 9.0, "t", D("2001-03-05")), ("x", 9.0, None, D("2001-02-06")), ("y", 9.0, "t", D("2001-01-01"))), ["k", "b"])
+    assert sorted((str(r.k), r.a, str(r.day)) for r in table.read().collect()) == [("None", 9.0, "2001-03-05"), ("x", 9.0, "2001-02-06"), ("y", 9.0, "2001-01-01")]
+    table.replace_hot_zone(frame(spark, (None, 7.0, "t", D("2001-06-01"))), "day", D("2001-06-02"), 10, ["k", "b"])
+    assert sorted((str(r.k), r.a) for r in table.read().collect()) == [("None", 7.0), ("x", 9.0), ("y", 9.0)]
+
+
+def test_a_failed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    table = monthly(spark, tmp_path)
+    table.overwrite(frame(spark, *[(k, 1.0, "t", D(d)) for k, d in DAYS.items()]))
+    before = sorted(map(tuple, table.read().collect()))
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(table.versions, "commit", fails)
+        with pytest.raises(OSError):
+            table.upsert(frame(spark, ("a", 2.0, "t", D("2024-01-05")), ("d", 2.0, "t", D("2024-05-05"))), ["k"])
+    assert sorted(map(tuple, table.read().collect())) == before
+    # A version that Spark began and did not commit does not count either.
+    (tmp_path / "monthly" / "versions" / "00000002").mkdir()
+    assert sorted(map(tuple, table.read().collect())) == before
+    table.upsert(frame(spark, ("a", 3.0, "t", D("2024-01-05"))), ["k"])
+    assert table.versions.numbers() == [1, 3] and table.read({"k": "a"}).first().a == 3.0
+    assert table.read(version=1).where("k = 'a'").first().a == 1.0
+
+
+def test_a_version_is_read_while_the_next_is_written(spark, tmp_path):
+    table = monthly(spark, tmp_path)
+    table.overwrite(frame(spark, *[(k, 1.0, "t", D(d)) for k, d in DAYS.items()]))
+    reader = table.read()
+    table.overwrite(frame(spark, ("z", 1.0, "t", D("2024-06-01"))))
+    assert keys(reader) == ["a", "b", "c", "d"] and keys(table.read()) == ["z"]
+    start = table.versions.numbers()[0]
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.versions.commit(reader.schema, [], start)
+
+
+def test_old_versions_go_by_age(spark, tmp_path):
+    table = monthly(spark, tmp_path, keep=dt.timedelta(0))
+    for i, day in enumerate(["2024-01-01", "2024-02-01", "2024-01-02", "2024-01-03"]):
+        table.upsert(frame(spark, ("x", float(i), "t", D(day)), ("stays", 1.0, "t", D("2024-07-01"))) if not i else frame(spark, ("x", float(i), "t", D(day))), ["k"])
+    assert table.versions.numbers() == [3, 4]
+    folders = {p.relative_to(tmp_path / "monthly" / "parts").as_posix().split("/")[1] for p in (tmp_path / "monthly" / "parts").glob("*/*") if p.is_dir()}
+    assert folders == {"_month=2024-01", "_month=2024-07"} and len(list((tmp_path / "monthly" / "parts").glob("*/_month=2024-01"))) == 2
+    assert keys(table.read()) == ["stays", "x"] == keys(table.read(version=3)) and table.read({"k": "x"}).first().a == 3.0
+    kept = monthly(spark, tmp_path)
+    for i in range(3):
+        kept.append(frame(spark, (f"n{i}", 1.0, "t", D("2024-08-01"))))
+    assert kept.versions.numbers() == [3, 4, 5, 6, 7]
+
+
+def test_dates_beyond_four_digits_are_kept(spark, tmp_path):
+    table = monthly(spark, tmp_path)
+    table.append(spark.sql("SELECT 'x' AS k, 1D AS a, 't' AS b, DATE'2024-01-01' + INTERVAL 9000 YEAR AS day UNION ALL SELECT 'y', 1D, 't', DATE'2024-01-01'"))
+    assert table.read().count() == 2 and table.read(since=D("2024-02-01")).select("k").collect()[0].k == "x"
 
 
 def test_old_folders_go(spark, table, tmp_path):
@@ -104,7 +208,7 @@ def test_old_folders_go(spark, table, tmp_path):
     assert len(list((tmp_path / "kept").glob("rows-*"))) == 2 and table.read().first().a == 4.0
 
 
-def test_dry_run_and_unchanged_input_write_nothing(spark, table):
+def test_dry_run_and_unchanged_input_write_nothing(spark, table, tmp_path):
     table.overwrite(frame(spark, ("x", 1.0, "t", None)))
     delta, log = table.write_changes(frame(spark, ("x", 2.0, "t", None)), ["k"], D("2024-01-01"), dry_run=True)
     assert keys(delta) == ["x"] and log.count() == 1 and table.read().first().a == 1.0
@@ -112,7 +216,7 @@ def test_dry_run_and_unchanged_input_write_nothing(spark, table):
     table.write_changes(frame(spark, ("x", 1.0, "t", None)), ["k"], D("2024-01-01"))
     assert sorted(table.read().inputFiles()) == files
     table.write_changes(frame(spark, ("x", 3.0, "t", None)), ["k"], D("2024-01-01"))
-    assert table.read().first().a == 3.0
+    assert table.read().first().a == 3.0 and len(list(tmp_path.glob("kept/staged-*"))) == 1
 
 
 def test_csv_round_trip(spark, tmp_path):
