@@ -59,7 +59,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    hostile = spark.createDataFrame([(-1, turn, role, HOSTILE_TEXT) for turn, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE_TEXT).alias("text"))
     return chat_format.digests(chat_format.formatted(given.unionByName(hostile)))
 
 
