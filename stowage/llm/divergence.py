@@ -31,7 +31,7 @@ SCALE = 1_000_000_000
 SMOOTH = 2
 TOP_TERMS = 10
 MOST_GROUPS = 1_000_000
-SHARD_TERMS = 1 << 16
+SHARD_TERMS = 1 << 14
 # Bytes of counts a task holds before it sends them on, and shares (sources x terms) it holds at once.
 HELD_BYTES = 1 << 23
 HELD_SHARES = 1 << 22
@@ -68,40 +68,47 @@ def summed(tables: list[pa.Table], keys: list[str]) -> pa.Table:
     return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
 
 
-def counted(docs: DataFrame, group: str, numbers: dict, by_document: bool) -> DataFrame:
-    """(g, term, n) as counted by each task: occurrences, or documents, of a term in a group.
+def counted(docs: DataFrame, lang_of: np.ndarray, numbers: dict, by_source: bool) -> DataFrame:
+    """What each task counts of a language's terms: the documents with one (lang_no, term, n), or its occurrences by source
+    (lang_no, term, sources, counts). A term may come several times.
 
-    ``numbers`` numbers the groups. A group and term may come several times.
+    ``numbers`` numbers the (lang, source) groups, ``lang_of`` has their languages.
     """
 
     def count(batches):
         held, n_held = [], 0
+        key = "source_no" if by_source else "lang_no"
 
-        def batch_of(table: pa.Table):
-            table = table.combine_chunks()
-            yield from table.select(["g", "term", "n"]).to_batches(max_chunksize=20_000)
+        def out(table: pa.Table):
+            if by_source:
+                lang_no = pa.array(lang_of[table.column("source_no").to_numpy()])
+                table = table.append_column("lang_no", lang_no).group_by(["lang_no", "term"], use_threads=False).aggregate([("source_no", "list"), ("n", "list")])
+                table = table.rename_columns(["lang_no", "term", "sources", "counts"])
+            yield from table.combine_chunks().to_batches(max_chunksize=20_000)
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
-            names = list(zip(*[batch.column(c).to_pylist() for c in ("lang", "source")])) if group == "source" else batch.column("lang").to_pylist()
+            names = zip(*[batch.column(c).to_pylist() for c in ("lang", "source")])
             groups = np.array([numbers[x] for x in names], np.int32)
+            groups = groups if by_source else lang_of[groups]
             for rows, terms in terms_of(batch.column("text")):
-                if by_document:
+                if not by_source:
                     seen = pa.table({"row": rows, "term": terms}).group_by(["row", "term"], use_threads=False).aggregate([])
                     rows, terms = seen.column("row").to_numpy(), seen.column("term")
-                table = pa.table({"g": groups[rows], "term": terms, "n": np.ones(len(rows), np.int64)})
-                table = summed([table], ["g", "term"])
+                table = summed([pa.table({key: groups[rows], "term": terms, "n": np.ones(len(rows), np.int64)})], [key, "term"])
                 held.append(table)
                 n_held += table.nbytes
                 if n_held > 2 * HELD_BYTES:
-                    held = [summed(held, ["g", "term"])]
+                    held = [summed(held, [key, "term"])]
                     n_held = held[0].nbytes
                     if n_held > HELD_BYTES:
-                        yield from batch_of(held[0])
+                        yield from out(held[0])
                         held, n_held = [], 0
         if held:
-            yield from batch_of(summed(held, ["g", "term"]))
+            yield from out(summed(held, [key, "term"]))
 
-    return docs.select("lang", "source", "text").mapInArrow(count, "g int, term binary, n bigint")
+    kind = "sources array<int>, counts array<bigint>" if by_source else "n bigint"
+    return docs.select("lang", "source", "text").mapInArrow(count, f"lang_no int, term binary, {kind}")
 
 
 def groups_of(docs: DataFrame) -> list[tuple[str, str]]:
@@ -120,24 +127,19 @@ def recounted(docs: DataFrame, groups: list[tuple[str, str]], least_docs: int) -
     langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in groups))}
     numbers = {g: i for i, g in enumerate(groups)}
     lang_of = np.array([langs[lang] for lang, _ in groups], np.int32)
-    in_docs = counted(docs, "lang", langs, by_document=True).groupBy("g", "term").agg(F.sum("n").alias("n"))
-    kept = stored(in_docs.where(F.col("n") >= least_docs).select(F.col("g").alias("lang_no"), "term"), "divergence-kept")
-
-    def with_lang(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(lang_of[batch.column("g").to_numpy()]), *batch.columns], ["lang_no", "source_no", "term", "n"])
-
+    in_docs = counted(docs, lang_of, numbers, by_source=False).groupBy("lang_no", "term").agg(F.sum("n").alias("n"))
+    kept = stored(in_docs.where(F.col("n") >= least_docs).select("lang_no", "term"), "divergence-kept")
     # Written before they are dealt out by range, which reads its input twice.
-    counts = stored(counted(docs, "source", numbers, by_document=False).mapInArrow(with_lang, "lang_no int, source_no int, term binary, n bigint"), "divergence-counts")
-    vocabulary = kept.select("lang_no", F.lit(0).alias("kind"), "term", F.lit(-1).alias("source_no"), F.lit(0).cast("long").alias("n"))
+    counts = stored(counted(docs, lang_of, numbers, by_source=True), "divergence-counts")
+    vocabulary = kept.select("lang_no", F.lit(0).alias("kind"), "term", F.array().cast("array<int>").alias("sources"), F.array().cast("array<bigint>").alias("counts"))
     both = vocabulary.unionByName(counts.withColumn("kind", F.lit(1)))
-    dealt = both.repartitionByRange("lang_no", "term").sortWithinPartitions("lang_no", "kind", "term", "source_no")
+    dealt = both.repartitionByRange("lang_no", "term").sortWithinPartitions("lang_no", "kind", "term")
 
     def stream(batches):
         shard = TaskContext.get().partitionId()
         lang, waiting, machines, firsts, bases = None, [], [], [], []
-        # The counts of the last term, which the next batch may add to.
-        open_: list = []
+        # The last term and its counts, which the next batch may add to.
+        open_ = None
 
         def build():
             if waiting:
@@ -164,40 +166,46 @@ def recounted(docs: DataFrame, groups: list[tuple[str, str]], least_docs: int) -
                     out[a:b] = np.where(found >= 0, found + base, -1)
             return out
 
-        def rows(lang_no, place, sources, counts, terms, all_of_it: bool):
-            """Terms whose counts are complete, as a batch; the last one waits unless it is over."""
+        def rows(lang_no, place, terms, sizes, sources, counts, over: bool):
+            """The sums of terms whose counts are all here; the last one waits unless its language is over.
+
+            ``sizes`` says how many of the sources and counts belong to each row; places ascend.
+            """
             nonlocal open_
-            if open_:
-                place = np.concatenate((open_[0], place))
-                sources, counts = np.concatenate((open_[1], sources)), np.concatenate((open_[2], counts))
-                terms = [*open_[3], *terms]
-                open_ = []
+            if open_ is not None:
+                place, terms = np.append(open_[0], place), [open_[1], *terms]
+                sizes, sources, counts = np.append(len(open_[2]), sizes), np.concatenate((open_[2], sources)), np.concatenate((open_[3], counts))
+                open_ = None
             if not len(place):
                 return
-            fresh = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (sources[1:] != sources[:-1]))))
-            counts, sources, place = np.add.reduceat(counts, fresh), sources[fresh], place[fresh]
-            terms = [terms[i] for i in fresh.tolist()]
-            edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            if not all_of_it:
+            each = np.repeat(place, sizes)
+            order = np.lexsort((sources, each))
+            each, sources, counts = each[order], sources[order], counts[order]
+            fresh = np.flatnonzero(np.concatenate(([True], (each[1:] != each[:-1]) | (sources[1:] != sources[:-1]))))
+            each, sources, counts = each[fresh], sources[fresh], np.add.reduceat(counts, fresh)
+            edges = np.flatnonzero(np.diff(each, prepend=-1))
+            names = [terms[i] for i in np.flatnonzero(np.diff(place, prepend=-1)).tolist()]
+            if not over:
                 a = int(edges[-1])
-                open_ = [place[a:], sources[a:], counts[a:], terms[a:]]
-                place, sources, counts, edges = place[:a], sources[:a], counts[:a], edges[:-1]
+                open_ = (each[a], names[-1], sources[a:], counts[a:])
+                each, sources, counts, edges, names = each[:a], sources[:a], counts[:a], edges[:-1], names[:-1]
             n = len(edges)
             if n:
-                ends = pa.array(np.append(edges, len(place)).astype(np.int32))
+                ends = pa.array(np.append(edges, len(each)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, lang_no, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(place[edges]), pa.array([terms[i] for i in edges.tolist()], pa.binary()),
+                    [pa.array(np.full(n, lang_no, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(each[edges]), pa.array(names, pa.binary()),
                      pa.ListArray.from_arrays(ends, pa.array(sources.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts))],
                     ["lang_no", "shard", "ordinal", "term", "sources", "counts"],
                 )
 
         nothing = np.zeros(0, np.int64)
+        last = (nothing, [], nothing, nothing, nothing, True)
         for batch in batches:
             lang_nos, kinds = batch.column("lang_no").to_numpy(), batch.column("kind").to_numpy()
             edges = [0, *(np.flatnonzero((np.diff(lang_nos) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(lang_nos)]
             for a, b in zip(edges[:-1], edges[1:]):
                 if lang_nos[a] != lang:
-                    yield from rows(lang, nothing, nothing, nothing, [], True)
+                    yield from rows(lang, *last)
                     lang, waiting, machines, firsts, bases = int(lang_nos[a]), [], [], [], []
                 terms = batch.column("term").slice(a, b - a)
                 if not kinds[a]:
@@ -209,8 +217,13 @@ def recounted(docs: DataFrame, groups: list[tuple[str, str]], least_docs: int) -
                 build()
                 place = ordinals(terms)
                 hits = np.flatnonzero(place >= 0)
-                yield from rows(lang, place[hits], batch.column("source_no").to_numpy()[a:b][hits], batch.column("n").to_numpy()[a:b][hits], terms.take(pa.array(hits)).to_pylist(), False)
-        yield from rows(lang, nothing, nothing, nothing, [], True)
+                taken = pa.array(hits + a)
+                sources, counts = batch.column("sources").take(taken), batch.column("counts").take(taken)
+                yield from rows(
+                    lang, place[hits], batch.column("term").take(taken).to_pylist(), np.diff(sources.offsets.to_numpy()),
+                    sources.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), False,
+                )
+        yield from rows(lang, *last)
 
     out = stored(dealt.mapInArrow(stream, "lang_no int, shard int, ordinal bigint, term binary, sources array<int>, counts array<bigint>"), "divergence-recount")
     drop_stored(docs.sparkSession, kept, counts)
