@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "sources", "extract", "orders", "leadtime", "demand", "classes", "forecasts", "replenish", "arrivals", "reports",
+    "sources", "extract", "orders", "leadtime", "demand", "classes", "forecasts", "replenish", "arrivals", "reports", "shapes",
 )
 
 

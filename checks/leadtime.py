@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import STEPS, query
+from checks.sources import new_table
 from stowage.functions.distribution import smoothed
 from stowage.operators import delivery, demand, freight, leadtime
+from stowage.plans import states
 from stowage.plans.leadtime import analyse_lead_times
 from stowage.session import materialised
 
@@ -174,7 +176,7 @@ def _(t):
     "smoothed_days",
     """
 SELECT vendor, warehouse, list_reduce(list(CAST(transport_days AS DOUBLE) ORDER BY invoice_date, transport_days), lambda s, x: 0.3 * x + 0.7 * s) AS smoothed
-FROM po_delivery GROUP BY vendor, warehouse""",
+FROM po_delivery WHERE transport_days IS NOT NULL GROUP BY vendor, warehouse""",
     "smoothed",
 )
 def _(t):
@@ -408,3 +410,28 @@ LEFT JOIN o_freight_by_vendor f ON f.vendor = s.vendor AND f.warehouse = s.wareh
 )
 def _(t):
     return lead_times(t).transport
+
+
+def taken_in(t, statistic, *context):
+    """Deliveries in three steps by order, so that later steps bring late rows, and one that brings nothing."""
+    state, results = new_table(t, "state", statistic.date, statistic.keys), new_table(t, "results")
+    rows = materialised(t.po_delivery)
+    third = F.pmod(F.col("ponum").cast("bigint"), F.lit(3))
+    for part in (third == 0, third == 2, third == 1, F.lit(False)):
+        out = states.advance(statistic, state, results, rows.where(part), *context)
+    return out
+
+
+@query("transport_stats_in_steps", "SELECT * FROM o_stats_again", STATS)
+def _(t):
+    return taken_in(t, states.TRANSPORT, materialised(previous(t)))
+
+
+@query("prepare_stats_in_steps", "SELECT * FROM o_prepare", "mean_prep std_prep mode_prep p60_prep p90_prep smoothed_prep")
+def _(t):
+    return taken_in(t, states.PREPARE)
+
+
+@query("transport_preference_in_steps", "SELECT * FROM o_preference", "confidence")
+def _(t):
+    return taken_in(t, states.PREFERENCE, materialised(leadtime.transport_stats(t.po_delivery)))

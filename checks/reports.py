@@ -224,10 +224,10 @@ STEPS["o_shipped"] = "SELECT DISTINCT lord, CAST(l_partkey AS VARCHAR) AS item F
 STEPS["o_shipped_pairs"] = """
 SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS co_occurrence FROM o_shipped a JOIN o_shipped b ON a.lord = b.lord AND a.item < b.item GROUP BY a.item, b.item"""
 # Orders of a customer and year as one shipment: some hundred items in the larger ones.
-STEPS["o_shipments"] = """
+STEPS["o_truckloads"] = """
 SELECT DISTINCT CONCAT(CAST(o_custkey % 25 AS VARCHAR), '/', CAST(YEAR(order_date) AS VARCHAR)) AS lord, CAST(l_partkey AS VARCHAR) AS item FROM lines"""
-STEPS["o_shipment_pairs"] = """
-SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS co_occurrence FROM o_shipments a JOIN o_shipments b ON a.lord = b.lord AND a.item < b.item GROUP BY a.item, b.item"""
+STEPS["o_truckload_pairs"] = """
+SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS co_occurrence FROM o_truckloads a JOIN o_truckloads b ON a.lord = b.lord AND a.item < b.item GROUP BY a.item, b.item"""
 
 
 @query(
@@ -244,7 +244,7 @@ def _(t):
     return layout.top_pairs(layout.frequent_pairs(lines), places)
 
 
-@query("co_shipped_pairs_of_large_orders", "SELECT * FROM o_shipment_pairs ORDER BY co_occurrence DESC, item_a, item_b LIMIT 100")
+@query("co_shipped_pairs_of_large_orders", "SELECT * FROM o_truckload_pairs ORDER BY co_occurrence DESC, item_a, item_b LIMIT 100")
 def _(t):
     shipment = F.concat((F.col("o_custkey") % 25).cast("string"), F.lit("/"), F.year("order_date").cast("string"))
     return layout.frequent_pairs(t.lines.select(shipment.alias("lord"), F.col("l_partkey").cast("string").alias("item")))

@@ -130,6 +130,34 @@ SELECT item, CASE WHEN LENGTH(item) % 3 = 0 THEN cost + 1 ELSE cost END AS cost,
   CASE WHEN LENGTH(item) % 4 = 0 THEN NULL ELSE vendor END AS vendor FROM item_master WHERE LENGTH(item) % 5 <> 0""",
 }
 
+# A series per part whose shape goes by the part's number, so that every class, model and order reason occurs; they grow with the parts.
+VIEWS |= {
+    "plan_weeks": "SELECT DISTINCT CAST(o_orderkey % 60 AS INT) AS n FROM orders",
+    # Steady, rising, in one half of every four weeks, with rare peaks, rare, once long ago, new, and hardly alive.
+    "shaped_parts": f"""
+SELECT {_text('p_partkey')} AS item, CASE WHEN p_size % 2 = 0 THEN '5' ELSE '6' END AS warehouse, CAST(p_partkey % 8 AS INT) AS shape, CAST(p_partkey AS INT) AS number, CAST(p_size AS INT) AS size,
+  p_retailprice AS cost, CASE p_partkey % 8 WHEN 1 THEN 40 WHEN 5 THEN 41 WHEN 6 THEN 5 ELSE 60 END AS weeks FROM part""",
+    "shaped_weekly": """
+SELECT item, warehouse, DATE '2001-07-30' - CAST(7 * n AS INT) AS week_start, CAST(qty AS DOUBLE) AS qty FROM (
+  SELECT p.item, p.warehouse, w.n, CASE p.shape WHEN 0 THEN 10 + (p.number + w.n) % 5
+    WHEN 1 THEN CASE WHEN w.n < 6 THEN (100 + p.size) * (6 - w.n) ELSE 1 END
+    WHEN 2 THEN CASE w.n % 4 WHEN 0 THEN 40 + p.size WHEN 1 THEN 10 ELSE 0 END
+    WHEN 3 THEN CASE WHEN w.n % 13 = 0 THEN 300 + p.size ELSE 2 END
+    WHEN 4 THEN CASE WHEN w.n % 4 = 1 THEN 6 + (p.number + w.n) % 7 ELSE 0 END
+    WHEN 5 THEN CASE WHEN w.n = 40 THEN 9 ELSE 0 END
+    WHEN 6 THEN 3
+    ELSE CASE WHEN w.n % 6 = 3 THEN 5 ELSE 0 END END AS qty
+  FROM shaped_parts p JOIN plan_weeks w ON w.n < p.weeks) x WHERE qty > 0""",
+    "shaped_items": f"SELECT item, cost, {_text('1 + size')} AS vendor, CAST(NULL AS VARCHAR(1)) AS rpflag FROM shaped_parts",
+    # Some slow items are oversold while their safety stock is set below zero.
+    "shaped_places": """
+SELECT item, warehouse, CAST(7 + size % 50 AS INT) AS lead_days, CAST(1 + size % 10 AS INT) AS moq, 5 AS lot,
+  CAST(CASE WHEN shape = 7 AND size % 2 = 0 THEN -5 ELSE 4 END AS INT) AS safety FROM shaped_parts""",
+    "shaped_stock": """
+SELECT item, warehouse, CAST(CASE WHEN shape = 7 THEN -3 WHEN shape = 3 THEN 50 ELSE 0 END AS DOUBLE) AS available,
+  CAST(CASE WHEN shape = 0 THEN 5 ELSE 0 END AS DOUBLE) AS in_transit FROM shaped_parts""",
+}
+
 # Tables of the order system, under their own column names.
 VIEWS |= {
     "ecl": f"""

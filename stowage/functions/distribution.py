@@ -77,7 +77,8 @@ def smoothed(
 ) -> DataFrame:
     """The last value of ``s = a*x + (1-a)*s`` over rows ordered by date, then value; ``s`` starts at the first x.
 
-    Equal (date, value) rows fold in closed form, so rows are counted, not sorted.
+    Equal (date, value) rows fold in closed form, so rows are counted, not sorted. A row without a value is passed over: it neither moves the mean nor
+    ages what came before (A7 and A8 alike); a group without values gives no row.
     """
     keys = list(keys)
     keep = F.lit(1.0 - alpha)

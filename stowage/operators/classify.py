@@ -6,12 +6,14 @@ weeks since the first demand: the calendar bounds them, however large the order
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.numeric import is_true, ratio
+from stowage.functions.weeks import monday_of
 from stowage.params import KEYS, ClassifierParams, ForecastParams, SeriesParams
 
 # Labels of demand types and activity levels.
@@ -139,6 +141,11 @@ def series_metrics(
         F.sum(F.when(F.col("_row") > F.col("_rows") - base, w)).alias("_base_weight"),
         F.map_from_entries(F.collect_set(F.struct("_week_no", "_week_mean"))).alias("week_means"),
     )
+    return _finished(totals, keys, params)
+
+
+def _finished(totals: DataFrame, keys: Sequence[str], params: ClassifierParams) -> DataFrame:
+    """The metrics that follow from a key's sums."""
     long_enough = F.col("weeks") >= 2 * PERIOD if params.decompose else F.lit(False)
     centre = sum((F.col(f"_phase_{k}") for k in range(1, PERIOD)), F.col("_phase_0")) / PERIOD
     strength = sum(
@@ -168,6 +175,160 @@ def series_metrics(
     )
 
 
+def run_lengths(weekly: DataFrame, as_of: dt.date, keys: Sequence[str] = KEYS, params: SeriesParams = SeriesParams()) -> DataFrame:
+    """C3 without filled weeks: a row per week with demand and one per run of weeks without, so the work follows the orders, not the calendar.
+
+    ``n`` equal weeks from row ``start`` on, of ``rows`` in the series; ``demand`` is clipped as in ``prepare_series``.
+    """
+    last = F.lit(monday_of(as_of)).cast("date")
+    group = Window.partitionBy(*keys)
+    following = F.lead("week_start").over(group.orderBy("week_start"))
+    weeks_to = lambda day: F.floor(F.datediff(day, F.col("week_start")) / 7).cast("int")
+    placed = weekly.where(F.col("week_start") <= last).select(
+        *keys,
+        "week_start",
+        F.coalesce(F.col("qty"), F.lit(0.0)).alias("_own"),
+        weeks_to(F.coalesce(F.date_sub(following, 7), last)).alias("_gap"),
+        F.min("week_start").over(group).alias("first_week"),
+        F.weekofyear("week_start").alias("week_no"),
+    ).withColumn("start", F.floor(F.datediff("week_start", "first_week") / 7).cast("int") + 1)
+    own = F.struct(F.col("start"), F.lit(1).alias("n"), F.col("_own").alias("qty"), F.col("week_no"))
+    rest = F.struct((F.col("start") + 1).alias("start"), F.col("_gap").alias("n"), F.lit(0.0).alias("qty"), F.lit(None).cast("int").alias("week_no"))
+    runs = placed.select(*keys, "first_week", F.inline(F.when(F.col("_gap") > 0, F.array(own, rest)).otherwise(F.array(own))))
+    demand = F.col("qty")
+    if params.winsor_upper is not None:
+        demand = F.least(demand, F.percentile("qty", F.lit(params.winsor_upper), F.col("n")).over(group))
+    return runs.withColumns({"rows": F.sum("n").over(group).cast("int"), "demand": demand})
+
+
+def run_metrics(
+    runs: DataFrame,
+    keys: Sequence[str] = KEYS,
+    series: SeriesParams = SeriesParams(),
+    params: ClassifierParams = ClassifierParams(),
+    models: ForecastParams = ForecastParams(),
+) -> DataFrame:
+    """C4, C5 and the models' statistics as ``series_metrics`` gives them, in closed form over ``run_lengths``."""
+    keys = list(keys)
+    group = Window.partitionBy(*keys)
+    by_row = group.orderBy("start")
+    by_size = group.orderBy("demand").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x, n, start, rows = F.col("demand"), F.col("n"), F.col("start"), F.col("rows")
+    end = start + n - 1
+    oldest, newest = rows - start, rows - end
+    hit = x > 0
+
+    def weight_to(limit: Column) -> Column:
+        """The decay weights of the run's weeks that are at most ``limit`` weeks ago: a geometric sum."""
+        upto = F.least(oldest, limit)
+        if series.decay == 1:
+            total = (upto - newest + 1).cast("double")
+        else:
+            total = (F.pow(F.lit(series.decay), newest) - F.pow(F.lit(series.decay), upto + 1)) / (1 - series.decay)
+        return F.when(upto >= newest, total).otherwise(0.0)
+
+    def weeks_to(limit: Column) -> Column:
+        return F.greatest(F.least(oldest, limit) - newest + 1, F.lit(0))
+
+    def in_phase(low: Column, high: Column, phase: int) -> Column:
+        """How many rows from low to high are of a phase; row r is of phase (r - 1) % PERIOD."""
+        upto = lambda r: F.floor((r - 1 - phase + PERIOD) / PERIOD)
+        return F.when(high >= low, upto(high) - upto(low - 1)).otherwise(0)
+
+    def detrended(phase: int) -> Column:
+        """The run's share in the sum of a phase's detrended rows: what it is itself, less what it is in the means around it."""
+        inside = lambda by: in_phase(F.greatest(start + by, F.lit(3)), F.least(end + by, rows - 2), phase)
+        around = inside(-2) * 0.5 + inside(-1) + inside(0) + inside(1) + inside(2) * 0.5
+        return x * (inside(0) - around / PERIOD)
+
+    def at(row: Column) -> Column:
+        return F.max(F.when((start <= row) & (row <= end), x))
+
+    def moving(row: Column) -> Column:
+        return (at(row - 2) * 0.5 + at(row - 1) + at(row) + at(row + 1) + at(row + 2) * 0.5) / PERIOD
+
+    whole = weight_to(oldest)
+    keep = F.lit(1.0 - models.croston_alpha)
+    upto = by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = runs.withColumns(
+        {
+            "_w": whole,
+            "_mean": F.sum(x * whole).over(group) / F.sum(whole).over(group),
+            "_hits": F.count(F.when(hit, 1)).over(group),
+            "_hit_no": F.count(F.when(hit, 1)).over(upto),
+            "_last_hit": F.coalesce(F.max(F.when(hit, start)).over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_share": F.sum(whole).over(by_size) / F.sum(whole).over(group),
+            "_week_sum": F.sum(x).over(Window.partitionBy(*keys, "week_no")),
+            "_week_rows": F.count(F.lit(1)).over(Window.partitionBy(*keys, "week_no")),
+        }
+    )
+    smooth = F.pow(keep, F.col("_hits") - F.col("_hit_no")) * F.when(F.col("_hit_no") > 1, F.lit(models.croston_alpha)).otherwise(1.0)
+    burst = lambda weeks: F.lit(weeks - 1)
+    recent, active = F.lit(params.single_recent_weeks_ago), F.lit(params.activity_weeks - 1)
+    base = F.lit(models.seasonal_baseline_weeks - 1)
+    length = F.max(rows)
+    # Rows of the series by phase, all and those that have a moving mean.
+    sizes = [in_phase(F.lit(1), length, k) for k in range(PERIOD)]
+    inner = [in_phase(F.lit(3), length - 2, k) for k in range(PERIOD)]
+    positions = F.sum(x * n * (2 * (start - 1) + n - 1) / 2)
+    mean = F.sum(x * n) / length
+    off = x - F.col("_mean")
+    spread = length.cast("double") * (length.cast("double") * length - 1) / 12
+    totals = placed.groupBy(*keys).agg(
+        length.cast("long").alias("weeks"),
+        F.max(F.date_add("first_week", (rows - 1) * 7)).alias("last_week"),
+        (length - 1).cast("int").alias("max_weeks_ago"),
+        F.coalesce(F.sum(F.when(hit, n)), F.lit(0)).alias("weeks_with_demand"),
+        (F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0)) / length).alias("zero_ratio"),
+        F.max("_mean").alias("weighted_mean"),
+        F.sqrt(F.sum(F.col("_w") * F.pow(x - F.col("_mean"), 2)) / F.sum("_w")).alias("weighted_std"),
+        F.coalesce(F.sum(F.when(weeks_to(recent) > 0, x * weeks_to(recent))), F.lit(0.0)).alias("recent_demand"),
+        F.coalesce(F.sum(F.when(hit, weeks_to(active))), F.lit(0)).alias("recent_hits"),
+        F.max(F.when(weeks_to(burst(params.burst_tail_weeks)) > 0, x)).alias("tail_max"),
+        (F.sum(x * weeks_to(burst(params.burst_mean_weeks))) / F.sum(weeks_to(burst(params.burst_mean_weeks)))).alias("tail_mean"),
+        (moving(rows - 2) - moving(F.lit(3))).alias("_rise"),
+        *[F.when(inner[k] > 0, F.sum(detrended(k)) / inner[k]).alias(f"_phase_{k}") for k in range(PERIOD)],
+        *[sizes[k].alias(f"_size_{k}") for k in range(PERIOD)],
+        F.min(F.when(F.col("_share") >= models.steady_quantile, x)).alias("steady_level"),
+        F.percentile(x, F.lit(models.burst_quantile), n).alias("burst_level"),
+        F.when(length > 1, (positions - mean * length * (length - 1) / 2) / spread).alias("_slope"),
+        mean.alias("demand_mean"),
+        # Around the weighted mean, so that equal values have no spread left over from rounding.
+        F.when(length > 1, F.sqrt(F.greatest(F.sum(n * off * off) - F.sum(n * off) * F.sum(n * off) / length, F.lit(0.0)) / (length - 1))).alias("demand_std"),
+        F.stddev_samp(F.when(hit, x)).alias("size_std"),
+        F.sum(F.when(hit, x * smooth)).alias("croston_size"),
+        F.sum(F.when(hit, (start - F.col("_last_hit")) * smooth)).alias("croston_interval"),
+        F.sum(F.when(weeks_to(base) > 0, x * weight_to(base))).alias("_base_top"),
+        F.sum(F.when(weeks_to(base) > 0, weight_to(base))).alias("_base_weight"),
+        F.max("first_week").alias("_first"),
+        F.min(F.when(F.col("week_no").isNull(), x)).alias("_idle"),
+        F.map_from_entries(F.collect_set(F.when(F.col("week_no").isNotNull(), F.struct("week_no", F.struct(F.col("_week_sum").alias("top"), F.col("_week_rows").alias("n")))))).alias("_weeks"),
+    )
+    with_line = totals.withColumn("_intercept", F.col("demand_mean") - F.coalesce("_slope", F.lit(0.0)) * (F.col("weeks") - 1) / 2)
+    return _finished(with_line.withColumn("week_means", _week_means()), keys, params)
+
+
+def _week_means() -> Column:
+    """The mean of every ISO week number that lies between the first and the last week, from the sums of weeks with demand."""
+    year = lambda d: F.extract(F.lit("YEAROFWEEK"), d)
+    first, last = F.col("_first"), F.col("last_week")
+    years = F.filter(F.sequence(year(first), year(last)), lambda y: F.weekofyear(F.make_date(y, F.lit(12), F.lit(28))) == 53)
+
+    def count(w: Column) -> Column:
+        among = F.when(w == 53, F.size(years)).otherwise(year(last) - year(first) + 1)
+        # A first year that begins after the week, and a last one that ends before it, do not count.
+        long = lambda d: F.when(w == 53, (F.weekofyear(F.make_date(year(d), F.lit(12), F.lit(28))) == 53).cast("int")).otherwise(1)
+        return among - F.when(w < F.weekofyear(first), long(first)).otherwise(0) - F.when(w > F.weekofyear(last), long(last)).otherwise(0)
+
+    def entry(w: Column) -> Column:
+        seen = F.try_element_at("_weeks", w)
+        top = F.coalesce(seen["top"], F.lit(0.0)) + F.coalesce("_idle", F.lit(0.0)) * (count(w) - F.coalesce(seen["n"], F.lit(0)))
+        return F.struct(w.alias("key"), (top / count(w)).alias("value"))
+
+    weeks = F.filter(F.sequence(F.lit(1), F.lit(53)), lambda w: count(w) > 0)
+    return F.map_from_entries(F.transform(weeks, entry))
+
+
 def demand_type(p: ClassifierParams = ClassifierParams()) -> Column:
     """The first rule that holds."""
     steady = (

@@ -221,19 +221,27 @@ def prepare_stats(deliveries: DataFrame, alpha: float = 0.3, tail_only: bool = T
     )
 
 
+def preference_counts(deliveries: DataFrame) -> DataFrame:
+    """Rows by item, warehouse, vendor, mode and days, and the last delivery among them."""
+    return (
+        deliveries.where(F.col("transport_days").isNotNull() & F.col("mode").isNotNull())
+        .groupBy("item", "warehouse", "vendor", "mode", "transport_days")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("delivery_date").alias("_last"))
+    )
+
+
 def transport_preference(deliveries: DataFrame, stats: DataFrame | None = None, tolerance: float = 0) -> DataFrame:
     """How often each item came by each (corrected) mode, ranked per item, warehouse and vendor.
 
     Rows are counted by mode and days before the correction, which depends on nothing else; the counts are
     materialised.
     """
+    return ranked_preference(cut_lineage(preference_counts(deliveries)), stats, tolerance)
+
+
+def ranked_preference(counted: DataFrame, stats: DataFrame | None = None, tolerance: float = 0) -> DataFrame:
+    """A9 from ``preference_counts``."""
     keys = ["item", "warehouse", "vendor"]
-    counted = (
-        deliveries.where(F.col("transport_days").isNotNull() & F.col("mode").isNotNull())
-        .groupBy(*keys, "mode", "transport_days")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("delivery_date").alias("_last"))
-    )
-    counted = cut_lineage(counted)
     ranges = lead_time_ranges(stats, fallback_means(counted, F.col("_n")))
     corrected = correct_modes(counted, ranges, tolerance, courier_to_air=True)
     mode = F.when(F.col("mode") == "Courier", "Air").otherwise(F.col("mode"))

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.numeric import whole
-from stowage.functions.weeks import monday_of
-from stowage.operators.classify import classify_items, prepare_series, series_metrics
+from stowage.operators.classify import classify_items, run_lengths, run_metrics
 from stowage.operators.demand import fill_weeks, item_universe, master_data, merge_parent_demand, merge_parent_stock
 from stowage.operators.evaluate import backtest_windows, score_forecast
 from stowage.operators.forecast import forecast
@@ -38,8 +37,8 @@ def planned_items(
     over from a caller that has it.
     """
     universe = item_universe(weekly, item_warehouse) if universe is None else universe
-    filled = fill_weeks(merge_parent_demand(weekly, links, universe), as_of)
-    metrics = series_metrics(prepare_series(filled, params=series), params=classes, models=models)
+    runs = run_lengths(merge_parent_demand(weekly, links, universe), as_of, params=series)
+    metrics = run_metrics(runs, series=series, params=classes, models=models)
     master = master_data(universe, items, item_warehouse)
     forecasts = forecast(classify_items(master, metrics, classes), models)
     if smart is None:
@@ -96,12 +95,9 @@ def backtest(
     universe = cut_lineage(item_universe(weekly, item_warehouse))
     merged = materialised(merge_parent_demand(weekly, links, universe))
     filled = fill_weeks(merged, as_of)
-    seen = filled.where(F.col("week_start") <= F.lit(monday_of(cutoff)).cast("date"))
-    metrics = series_metrics(
-        prepare_series(seen, params=params.get("series", SeriesParams())),
-        params=params.get("classes", ClassifierParams()),
-        models=params.get("models", ForecastParams()),
-    )
+    series = params.get("series", SeriesParams())
+    seen = run_lengths(merged, min(cutoff, as_of), params=series)
+    metrics = run_metrics(seen, series=series, params=params.get("classes", ClassifierParams()), models=params.get("models", ForecastParams()))
     master = master_data(merged.select(*KEYS).distinct(), items, item_warehouse)
     classes = classify_items(master, metrics, params.get("classes", ClassifierParams()))
     forecasts = forecast(classes, params.get("models", ForecastParams()))

@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.running import first_rows
+from stowage.functions.running import first_rows, stacked
+from stowage.sources.digests import bucket_digests, only_differing
 from stowage.sources.readers import narrowed
 from stowage.sources.versions import MONTH, UNDATED, Versions, implied, month_of
 
 NEW = "_stored"
 PREVIOUS = "stowage.previous"
+# Spark's readers pass over names that begin so.
+DIGESTS = "_digests-"
 
 
 def _beside(new: DataFrame, stored: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -193,6 +196,19 @@ class StoredTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _names(self, folder: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def digests(self, keys: Sequence[str], fields: Sequence[str], known: DataFrame | None = None) -> DataFrame:
+        """Bucket digests (see ``digests``) of a catalog table, kept in its folder; ``known`` are those of the present content, if they are."""
+        location, name = self._location(), DIGESTS + "-".join([*keys, "", *fields])
+        if name not in self._names(location):
+            made = bucket_digests(self.read(), keys, fields) if known is None else known
+            made.coalesce(1).write.parquet(f"{location}/{name}")
+        return self.spark.read.parquet(f"{location}/{name}")
+
     def _staged(self, df: DataFrame) -> tuple[DataFrame, str]:
         folder = self._folder("staged")
         df.write.parquet(folder)
@@ -252,7 +268,12 @@ class StoredTable:
             return self._commit(self._completed(rows))
         if not self.exists():
             return self.overwrite(rows)
-        rows.write.mode("append").format("parquet").option("path", self._location()).saveAsTable(self.name)
+        # What was known of the content no longer holds.
+        location = self._location()
+        for name in self._names(location):
+            if name.startswith(DIGESTS):
+                self._remove(f"{location}/{name}")
+        rows.write.mode("append").format("parquet").option("path", location).saveAsTable(self.name)
 
     def _completed(self, rows: DataFrame) -> DataFrame:
         """The rows with all columns of the table, in its types."""
@@ -281,6 +302,19 @@ class StoredTable:
         touched = self._months(rows) | self.versions.months_of(schema, parts, rows, keys)
         self._commit(self._completed(upserted(self._in_months(touched), rows, keys, order)), touched)
 
+    def regroup(self, df: DataFrame, combine: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ()) -> None:
+        """Put rows of a table by month together with the stored rows of their months, and with those that share a key, by ``combine``."""
+        rows = self._incoming(df)
+        if rows is None:
+            return
+        if not self.exists():
+            return self.overwrite(combine(rows))
+        schema, parts = self.versions.load()
+        touched = self._months(rows)
+        if keys:
+            touched |= self.versions.months_of(schema, parts, rows, keys)
+        self._commit(self._completed(combine(stacked(self._in_months(touched), self._completed(rows)))), touched)
+
     def replace_hot_zone(
         self, df: DataFrame, date: str, as_of: dt.date, days: int = 180, keys: Sequence[str] = ()
     ) -> None:
@@ -312,7 +346,7 @@ class StoredTable:
     ) -> tuple[DataFrame | None, DataFrame | None]:
         """Upsert what changed, then append the log; a dry run only returns both.
 
-        Changes are compared once and staged. What a dry run returns reads the staged rows; a run that writes removes
+        Changes are compared once, in a catalog table only where bucket digests differ, and staged. What a dry run returns reads the staged rows; a run that writes removes
         them and returns the changes as (None, None), for they are in the table and its log.
         """
         if not self.exists():
@@ -320,7 +354,10 @@ class StoredTable:
                 self.overwrite(df)
             return df, None
         stored = self.read()
-        staged, folder = self._staged(_changed(df, stored, keys, exclude))
+        before, now, fields = stored, df, _compared_fields(df, stored, keys, exclude)
+        if not self.date:
+            before, now, _ = only_differing(stored, df, keys, fields, self.digests(keys, fields))
+        staged, folder = self._staged(_changed(now, before, keys, exclude))
         delta = staged.select(*df.columns)
         entries = _entries(staged, _monitored(df, stored, keys, monitor, exclude), keys, as_of, "Table update")
         if dry_run:

@@ -168,12 +168,13 @@ class Versions:
         """Store rows by month in a new folder, and the digests of their keys beside them."""
         id_ = uuid.uuid4().hex
         folder = f"{self.root}/parts/{WRITE}={id_}"
-        df.withColumn(MONTH, month_of(date)).write.partitionBy(MONTH).parquet(folder)
+        # Rows of a month meet in few tasks, as many as its size asks for: no month is one task, no task writes a file for every month.
+        df.withColumn(MONTH, month_of(date)).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(folder)
         parts = [Part(m.split("=", 1)[1], id_) for m in sorted(self._entries(folder)) if m.startswith(f"{MONTH}=")]
         if not parts or not self.keys:
             return parts
         written = self.rows(df.schema, parts)
-        written.select(MONTH, digest(self.keys).alias(DIGEST)).sortWithinPartitions(MONTH, DIGEST).write.partitionBy(MONTH).parquet(f"{self.root}/keys/{WRITE}={id_}")
+        written.select(MONTH, digest(self.keys).alias(DIGEST)).hint("rebalance", MONTH).sortWithinPartitions(MONTH, DIGEST).write.partitionBy(MONTH).parquet(f"{self.root}/keys/{WRITE}={id_}")
         first = F.col(self.keys[0])
         bounds = written.groupBy(MONTH).agg(F.min(first).cast("string"), F.max(first).cast("string"), F.max(first.isNull())).collect()
         return [Part(r[0], id_, *r[1:]) for r in bounds]

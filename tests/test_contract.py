@@ -39,3 +39,17 @@ def test_every_query_of_the_register_has_its_sql():
 def test_query_agrees(spark, database, name):
     contract.queries()
     assert compare(spark, database, FOLDER, name, contract.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize(
+    "name, column, values",
+    [
+        ("shaped_types", "demand_type", "Steady Demand|Trended Demand|Seasonal Demand|Burst Demand|Intermittent Demand|Single Demand|New Item"),
+        ("shaped_types", "activity_level", "Active|Occasional|Inactive|Dormant"),
+        ("shaped_forecasts", "model", "Steady Demand|Trended Demand|Seasonal Demand|Burst Demand|Intermittent Demand|cold_start"),
+        ("shaped_orders", "order_reason", "Replenish|Replenish & On-Demand|SafetyStockTopUp|On-Demand"),
+    ],
+)
+def test_every_class_and_reason_occurs(spark, name, column, values):
+    found = {r[0] for r in contract.queries()[name](spark, FOLDER).select(column).distinct().collect()}
+    assert set(values.split("|")) <= found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 import statistics
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import classify, demand, evaluate, forecast, layout, mrp, projection, safety
-from stowage.params import ClassifierParams, OrderParams
+from stowage.params import ClassifierParams, ForecastParams, OrderParams, SeriesParams
 from stowage.plans.planning import plan_orders
 
 AS_OF = dt.date(2024, 6, 5)
@@ -242,3 +243,31 @@ def test_frequent_pairs_with_ties_and_few_rows(spark):
     assert [tuple(r) for r in layout.frequent_pairs(df, 50).collect()] == plain_pairs(lines, 50)
     assert layout.frequent_pairs(df.where("false")).collect() == []
     assert [tuple(r) for r in layout.frequent_pairs(df.where("lord = 'o1'")).collect()] == plain_pairs(lines[3:6], 100)
+
+
+def test_run_metrics_equal_those_of_filled_weeks(spark):
+    rng = random.Random(11)
+    values = {"one": [3.0], "two": [3.0, 0.0], "four": [1.0, 0.0, 0.0, 2.0], "flat": [5.0] * 9, "idle": [2.0] + [0.0] * 200, "five": [1.0, 2.0, 0.0, 4.0, 8.0]}
+    for k in range(60):
+        n, share = rng.randrange(1, 330), rng.choice([0.02, 0.3, 0.8, 1.0])
+        values[f"r{k}"] = [float(rng.choice([1, 2, 5, 40, -3 if k % 7 == 0 else 7])) if rng.random() < share or i == 0 else 0.0 for i in range(n)]
+    values["below"] = [-4.0 if i % 2 else 0.0 for i in range(60)]
+    rows = [(item, "5", MONDAY - WEEK * (len(v) - 1 - i), x) for item, v in values.items() for i, x in enumerate(v) if x or i == 0]
+    weekly = spark.createDataFrame(rows, "item string, warehouse string, week_start date, qty double").cache()
+    for series_params, models in ((SeriesParams(), ForecastParams()), (SeriesParams(decay=1.0, winsor_upper=None), ForecastParams(seasonal_baseline_weeks=3, steady_quantile=0.9))):
+        want = classify.series_metrics(classify.prepare_series(demand.fill_weeks(weekly, AS_OF), params=series_params), models=models)
+        got = classify.run_metrics(classify.run_lengths(weekly, AS_OF, params=series_params), series=series_params, models=models)
+        assert got.dtypes == want.dtypes
+        there = {r.item: r.asDict() for r in want.collect()}
+        for r in got.collect():
+            w = there.pop(r.item)
+            for name, value in r.asDict().items():
+                if name == "week_means":
+                    assert value == pytest.approx(w[name]), (r.item, name)
+                elif isinstance(value, float):
+                    assert value == pytest.approx(w[name], abs=1e-7), (r.item, name)
+                else:
+                    assert value == w[name], (r.item, name)
+        assert not there
+    plan = classify.run_metrics(classify.run_lengths(weekly, AS_OF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

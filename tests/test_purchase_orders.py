@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.functions import modes
 from stowage.operators import eta, extract, freight, leadtime, orders, po
+from stowage.plans import states
+from stowage.sources.tables import StoredTable
 
 D = dt.date.fromisoformat
 OPEN = (
@@ -181,3 +184,48 @@ def test_safety_stock_moves_to_the_child(spark):
     )
     got = {r.item: r.safety for r in orders.inherit_safety(stock, links).collect()}
     assert got == {"A": 0.0, "B": 4.0, "C": 4.5, "D": 3.0, "E": 7.0}
+
+
+DELIVERED = (
+    "ponum string, poline string, vendor string, warehouse string, item string, invoice_date date, delivery_date date, "
+    "prepare_days int, transport_days int, mode string"
+)
+
+
+def delivered(po_number, vendor="V", item="I", invoice="2024-01-05", prepare=3, transport=5, mode="Air", poline="1"):
+    day = D(invoice)
+    return (po_number, poline, vendor, "5", item, day, day + dt.timedelta(days=transport), prepare, transport, mode)
+
+
+def test_late_rows_reopen_only_their_groups(spark, tmp_path, monkeypatch):
+    rows = [delivered(f"P{i}", "V" if i % 3 else "W", f"I{i % 4}", f"2024-{1 + i % 5:02d}-{1 + i % 27:02d}", i % 7, 2 + i % 11) for i in range(120)]
+    # P1 was delivered again, for another vendor: its last batch leaves V's group.
+    late = [delivered("P1", "U", "I9", "2024-05-20", 40, 9, poline="1-2"), delivered("P500", "W", "I0", "2024-01-03", 1, 1)]
+    frame = lambda x: spark.createDataFrame(x, DELIVERED)
+    whole = frame(rows + late)
+    cases = [
+        (states.TRANSPORT, leadtime.transport_stats(whole)),
+        (states.PREFERENCE, leadtime.transport_preference(whole)),
+        (states.PREPARE, leadtime.prepare_stats(whole)),
+    ]
+    opened = []
+    for i, (statistic, want) in enumerate(cases):
+        state = StoredTable(spark, f"state_{i}", str(tmp_path / f"state{i}"), statistic.date, statistic.keys)
+        results = StoredTable(spark, f"results_{i}", str(tmp_path / f"results{i}"))
+        try:
+            states.advance(statistic, state, results, frame(rows))
+            real = statistic.result
+            counting = statistic._replace(result=lambda held, *c, real=real: opened.append(sorted({(r.vendor, r.warehouse) for r in held.collect()})) or real(held, *c))
+            # A run that fails after the results is repeated with the same rows.
+            with monkeypatch.context() as m:
+                for name in ("regroup", "overwrite"):
+                    m.setattr(state, name, lambda *_: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError):
+                    states.advance(counting, state, results, frame(late))
+            got = states.advance(counting, state, results, frame(late))
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS state_{i}")
+            spark.sql(f"DROP TABLE IF EXISTS results_{i}")
+    # V is opened where P1's last batch leaves it, W and U where the new rows are.
+    assert opened == [[("U", "5"), ("W", "5")]] * 4 + [[("U", "5"), ("V", "5"), ("W", "5")]] * 2

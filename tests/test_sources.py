@@ -248,3 +248,72 @@ def test_filters_reach_the_scan(spark, tmp_path):
 def test_unknown_parameters_are_rejected():
     with pytest.raises(TypeError):
         ForecastParams(horizon=3)
+
+
+def test_bucket_digests_see_every_change(spark):
+    from stowage.sources import digests
+
+    schema = "k string, a double, b string"
+    base = [("x", 1.0, None), ("x", 1.0, None), ("y", None, "t"), (None, 2.0, "u")]
+
+    def differ(rows):
+        first, second = (digests.bucket_digests(spark.createDataFrame(r, schema).repartition(3), ["k"], ["a", "b"]) for r in (base, rows))
+        return digests.differing_buckets(first, second).count()
+
+    assert differ(base[::-1]) == 0
+    # A value that moves to the next column, a repeated row that goes with a pair, a row less.
+    for rows in ([("x", 1.0, None)] * 2 + [("y", None, None), (None, 2.0, "u")], [("y", None, "t"), (None, 2.0, "u")], base[:3], [("x", 1.0, "")] + base[1:]):
+        assert differ(rows) == 1
+    swapped = [("p", "s", None)], [("p", None, "s")]
+    a, b = (digests.bucket_digests(spark.createDataFrame(r, "k string, a string, b string"), ["k"], ["a", "b"]) for r in swapped)
+    assert digests.differing_buckets(a, b).count() == 1
+
+
+def snapshot_rows(n, **changed):
+    return [(f"p{i}", "1", "i", "5", 100.0, float(changed.get(f"p{i}", 3)), 2.0, 1.0) for i in range(n)]
+
+
+SNAPSHOT = "ponum string, poline string, item string, warehouse string, PQORD double, PQREC double, PCQTY double, PQTRANSIT double"
+
+
+def test_a_snapshot_run_joins_only_what_changed(spark, tmp_path, monkeypatch):
+    from stowage.plans import intake
+
+    snapshot, log = (tables.StoredTable(spark, f"snap_{n}", str(tmp_path / n)) for n in ("rows", "log"))
+    deliveries = spark.createDataFrame([], "ponum string, poline string")
+    joined = []
+    real = intake.snapshot_events
+
+    def counting(before, now, *rest):
+        joined.append((before.count(), now.count()))
+        return real(before, now, *rest)
+
+    monkeypatch.setattr(intake, "snapshot_events", counting)
+    run = lambda rows, **more: intake.snapshot_run(snapshot, log, spark.createDataFrame(rows, SNAPSHOT), deliveries, D("2024-01-02"), **more)
+    try:
+        assert run(snapshot_rows(5000)) is None
+        assert run(snapshot_rows(5000, p77=9)).count() == 1
+        assert run(snapshot_rows(5000, p77=9)).count() == 0
+        assert run(snapshot_rows(4999, p77=9)).count() == 1
+        # One bucket holds about a third of a row on average.
+        assert all(b <= 8 and n <= 8 for b, n in joined) and joined[1] == (0, 0)
+        assert sorted((r.ponum, r.event_type, r.qty_delta) for r in log.read().collect()) == [("p4999", "RECEIPT", 1.0), ("p77", "RECEIPT", 6.0)]
+        # The log was written, the snapshot was not: the run is repeated and tells nothing twice.
+        with monkeypatch.context() as m:
+            m.setattr(snapshot, "overwrite", lambda _: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                run(snapshot_rows(4999, p77=9, p5=8))
+        run(snapshot_rows(4999, p77=9, p5=8))
+        assert log.read().where("ponum = 'p5'").count() == 1 and snapshot.read().where("ponum = 'p5'").first().PQREC == 8.0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS snap_rows")
+        spark.sql("DROP TABLE IF EXISTS snap_log")
+
+
+def test_digests_go_when_rows_are_added(spark, table):
+    table.overwrite(frame(spark, ("x", 1.0, "t", None)))
+    assert table.digests(["k"], ["a"]).count() == 1
+    table.append(frame(spark, ("y", 1.0, "t", None)))
+    assert table.digests(["k"], ["a"]).agg({"n": "sum"}).first()[0] == 2 and table.read().count() == 2
+    table.write_changes(frame(spark, ("x", 1.0, "t", None), ("y", 2.0, "t", None)), ["k"], D("2024-01-01"))
+    assert sorted((r.k, r.a) for r in table.read().collect()) == [("x", 1.0), ("y", 2.0)]
