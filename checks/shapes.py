@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
 from checks.forecasts import long_form
 from checks.registry import STEPS, query
 from checks.replenish import DOUBLES, STATIC_WEEKS, order_sql
@@ -10,6 +15,10 @@ from checks.views import AS_OF
 from stowage.operators import classify, demand, forecast, mrp, safety
 from stowage.params import KEYS, OrderParams
 
+# Workers need neither package installed: functions go to them by value.
+for _name in ("checks", "stowage"):
+    cloudpickle.register_pickle_by_value(sys.modules[_name])
+
 restated(
     "h_",
     {
@@ -60,6 +69,33 @@ def _(t):
     return long_form(packed).join(packed.select("item", "warehouse", "model"), ["item", "warehouse"])
 
 
+def last_season(rows, p):
+    """A model of the user's own: the last four weeks again and again."""
+    weeks = rows.column("demand").to_pylist()[-4:]
+    return [weeks[k % len(weeks)] for k in range(p.horizon_weeks)]
+
+
+@query(
+    "user_forecasts",
+    """
+SELECT f.item, f.warehouse, CAST(f.k AS INTEGER) AS k, f.model,
+  CASE WHEN f.model = 'Seasonal Demand' THEN p.demand WHEN f.model = 'Steady Demand' THEN m.plain * 2 ELSE f.forecast END AS forecast
+FROM h_o_forecast f JOIN h_o_models m ON m.item = f.item AND m.warehouse = f.warehouse AND m.k = f.k
+JOIN h_o_basics b ON b.item = f.item AND b.warehouse = f.warehouse
+LEFT JOIN h_o_prepared p ON p.item = f.item AND p.warehouse = f.warehouse AND p.pos = b.weeks - 3 + (f.k - 1) % 4""",
+    "forecast",
+)
+def _(t):
+    """C9 with two models of the user: a column for steady keys, a function over the weeks of seasonal ones."""
+    models = {
+        classify.STEADY: lambda p: forecast.flat(F.col("weighted_mean") * 2, p.horizon_weeks),
+        classify.SEASONAL: forecast.GroupedModel(last_season),
+    }
+    weeks = classify.prepare_series(demand.fill_weeks(t.shaped_weekly, AS_OF))
+    packed = forecast.forecast(classify.classify(metrics(t)), models=models, series=weeks)
+    return packed.select("item", "warehouse", "model", F.posexplode("forecast").alias("k", "forecast")).withColumn("k", F.col("k") + 1)
+
+
 @query("shaped_safety", "SELECT * FROM h_o_static_safety", "service_level dynamic_safety final_safety")
 def _(t):
     return safety.safety_stock(planned(t)).select(

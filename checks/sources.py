@@ -71,6 +71,20 @@ def _(t):
     )
 
 
+@query(
+    "narrowed_types",
+    "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders",
+    "o_totalprice",
+)
+def _(t):
+    """Keys that come as doubles and midnights are narrowed, prices and words are not."""
+    rows = t.orders.select(
+        F.col("o_orderkey").cast("double"), F.col("o_custkey").cast("double"), "o_totalprice", F.col("o_orderdate").cast("timestamp"), "o_orderpriority"
+    )
+    kinds = {"o_orderkey": "bigint", "o_custkey": "int", "o_totalprice": "bigint", "o_orderdate": "date", "o_orderpriority": "int", "absent": "int"}
+    return readers.narrow_types(rows, kinds, strict=False)
+
+
 DIFFERENT = "s.item IS NOT NULL AND (s.cost IS DISTINCT FROM n.cost OR s.vendor IS DISTINCT FROM n.vendor)"
 
 

@@ -10,7 +10,7 @@ from stowage.functions.modes import ASSIGNABLE, INF, MODES, attribute, move_days
 from stowage.functions.numeric import is_true
 from stowage.functions.running import first_rows
 from stowage.operators.po import base_line
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, materialised
 
 ROUTE = ("vendor", "warehouse", "mode")
 SWITCH_COST = 20
@@ -176,9 +176,10 @@ def transport_stats(
     """
     rows = shipments(deliveries) if shipment_grain else deliveries
     known = rows.where(F.col("transport_days").isNotNull())
-    counted = cut_lineage(known.groupBy(*ROUTE, "invoice_date", "transport_days").agg(F.count(F.lit(1)).alias("_n")))
+    counted = materialised(known.groupBy(*ROUTE, "invoice_date", "transport_days").agg(F.count(F.lit(1)).alias("_n")))
     ranges = lead_time_ranges(previous, fallback_means(counted, F.col("_n")))
-    corrected = correct_modes(counted, ranges, tolerance)
+    # Corrected once, for the two groupings below.
+    corrected = materialised(correct_modes(counted, ranges, tolerance))
     keys = ["warehouse", "vendor", "mode"]
     spread = describe(corrected, keys, "transport_days", {"p60": 0.6, "p90": quantile}, "_n")
     recent = smoothed(corrected, keys, "invoice_date", "transport_days", alpha, "smoothed_days", "_n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,18 +99,19 @@ STRATEGIES = {
     kinds.INTERMITTENT: intermittent,
     kinds.BURST: burst,
 }
-SHORT_NAMES = {label.split()[0].upper(): label for label in STRATEGIES}
+Strategy = Callable[[Column, Column, SafetyParams], Column]
 
 
-def _sized(items: DataFrame, kind: Column, cold: Column, weeks: Column, level: Column, p: SafetyParams) -> DataFrame:
+def _sized(items: DataFrame, kind: Column, cold: Column, weeks: Column, level: Column, p: SafetyParams, strategies: Mapping[str, Strategy] | None = None) -> DataFrame:
+    strategies = STRATEGIES | dict(strategies or {})
     known = items.withColumns({"_kind": kind, "_cold": cold, "lead_weeks": weeks, "_level": level})
     z = inverse_normal(F.col("_level"))
     manual = F.coalesce(F.col("safety").cast("double"), F.lit(0.0))
-    ruled = ~F.col("_cold") & F.col("_kind").isin(*STRATEGIES)
+    ruled = ~F.col("_cold") & F.col("_kind").isin(*strategies)
     # Without any history only the forecast-based sizes apply, and they are zero.
     unseen = F.col("weeks").isNull()
     size = F.when(~ruled | unseen, 0.0)
-    for label, strategy in STRATEGIES.items():
+    for label, strategy in strategies.items():
         size = size.when(F.col("_kind") == label, strategy(z, F.col("lead_weeks"), p))
     return (
         known.withColumn("_size", F.coalesce(size, F.lit(0.0)))
@@ -130,17 +133,21 @@ def _cold() -> Column:
     )
 
 
-def safety_stock(items: DataFrame, params: SafetyParams = SafetyParams()) -> DataFrame:
-    """Service level, dynamic and final safety stock under the master lead time."""
+def safety_stock(items: DataFrame, params: SafetyParams = SafetyParams(), strategies: Mapping[str, Strategy] | None = None) -> DataFrame:
+    """Service level, dynamic and final safety stock under the master lead time.
+
+    ``strategies`` adds to or replaces the sizes by demand type: functions of the normal quantile, the lead time in weeks and the parameters.
+    """
     level = service_level(F.col("cost"), F.col("lead_days"), F.col("cv"), params.service_level)
-    return _sized(items, F.col("demand_type"), _cold(), lead_weeks(F.col("lead_days"), params), level, params)
+    return _sized(items, F.col("demand_type"), _cold(), lead_weeks(F.col("lead_days"), params), level, params, strategies)
 
 
-def safety_stock_with(items: DataFrame, method: str, params: SafetyParams = SafetyParams()) -> DataFrame:
+def safety_stock_with(items: DataFrame, method: str, params: SafetyParams = SafetyParams(), strategies: Mapping[str, Strategy] | None = None) -> DataFrame:
     """P10: one strategy for every key; takes the label or its first word in any case."""
-    label = SHORT_NAMES.get(method.upper(), method)
+    names = {label.split()[0].upper(): label for label in STRATEGIES | dict(strategies or {})}
+    label = names.get(method.upper(), method)
     level = service_level(F.col("cost"), F.col("lead_days"), F.col("cv"), params.service_level)
-    return _sized(items, F.lit(label), F.lit(False), lead_weeks(F.col("lead_days"), params), level, params)
+    return _sized(items, F.lit(label), F.lit(False), lead_weeks(F.col("lead_days"), params), level, params, strategies)
 
 
 def dynamic_safety_stock(items: DataFrame, params: SafetyParams = SafetyParams()) -> DataFrame:

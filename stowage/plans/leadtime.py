@@ -2,24 +2,75 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from stowage.operators.delivery import batch_profile, combined_deliveries, delivery_behaviour
 from stowage.operators.freight import analyse_freight, with_freight_cost
 from stowage.operators.leadtime import prepare_stats, smart_lead_times, transport_preference, transport_stats
-from stowage.session import cut_lineage, materialised
+from stowage.session import materialised
 
 
-class LeadTimes(NamedTuple):
-    transport: DataFrame
-    prepare: DataFrame
-    preference: DataFrame
-    behaviour: DataFrame
-    profile: DataFrame
-    smart: DataFrame
-    freight: DataFrame
+class LeadTimes:
+    """The results of one run. Each is worked out and stored when it is first asked for, so runs that share this object share its work and
+    a run that needs few results pays for few: routes ask for transport, preparation and preference, arrivals for all but the routes' costs.
+    """
+
+    def __init__(
+        self,
+        deliveries: DataFrame,
+        in_transit: DataFrame,
+        vendors: DataFrame,
+        charges: DataFrame,
+        rates: DataFrame,
+        previous: DataFrame | None = None,
+        base_currency: str = "JPY",
+    ):
+        self._given = deliveries, in_transit
+        self._vendors, self._charges, self._rates = vendors, charges, rates
+        self._previous, self._base_currency = previous, base_currency
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        return materialised(self._given[0])
+
+    @cached_property
+    def in_transit(self) -> DataFrame:
+        return materialised(self._given[1])
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        """A8 without the freight figures."""
+        return materialised(transport_stats(self.deliveries, self._previous))
+
+    @cached_property
+    def freight(self) -> DataFrame:
+        return materialised(analyse_freight(self._charges, self._rates, self._vendors, self._base_currency))
+
+    @cached_property
+    def transport(self) -> DataFrame:
+        return with_freight_cost(self.measured, self.freight)
+
+    @cached_property
+    def prepare(self) -> DataFrame:
+        return materialised(prepare_stats(self.deliveries))
+
+    @cached_property
+    def preference(self) -> DataFrame:
+        return materialised(transport_preference(self.deliveries, self.measured))
+
+    @cached_property
+    def behaviour(self) -> DataFrame:
+        return materialised(delivery_behaviour(combined_deliveries(self.deliveries, self.in_transit, self.measured)))
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return batch_profile(self.behaviour)
+
+    @cached_property
+    def smart(self) -> DataFrame:
+        return materialised(smart_lead_times(self.preference, self.prepare, self.measured, self._vendors))
 
 
 def analyse_lead_times(
@@ -34,16 +85,6 @@ def analyse_lead_times(
     """Transport, preparation, preference, behaviour, profile, smart lead time, freight.
 
     ``previous`` holds the transport statistics of the last run. The freight figures come back on
-    the transport statistics as well. Deliveries, open lines and the results that several later steps read
-    are materialised once.
+    the transport statistics as well. Deliveries, open lines and results are materialised once, when they are needed.
     """
-    deliveries, in_transit = materialised(deliveries), materialised(in_transit)
-    transport = cut_lineage(transport_stats(deliveries, previous))
-    prepare = cut_lineage(prepare_stats(deliveries))
-    preference = cut_lineage(transport_preference(deliveries, transport))
-    behaviour = cut_lineage(delivery_behaviour(materialised(combined_deliveries(deliveries, in_transit, transport))))
-    smart = cut_lineage(smart_lead_times(preference, prepare, transport, vendors))
-    freight = cut_lineage(analyse_freight(charges, rates, vendors, base_currency))
-    return LeadTimes(
-        with_freight_cost(transport, freight), prepare, preference, behaviour, batch_profile(behaviour), smart, freight
-    )
+    return LeadTimes(deliveries, in_transit, vendors, charges, rates, previous, base_currency)

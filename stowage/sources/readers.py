@@ -103,6 +103,27 @@ def enforce_types(df: DataFrame, types: Mapping[str, str] | T.StructType) -> Dat
     return df.withColumns({name: F.col(name).try_cast(kind) for name, kind in types.items() if name in df.columns})
 
 
+def narrow_types(df: DataFrame, types: Mapping[str, str], strict: bool = True) -> DataFrame:
+    """Present columns in a target type, where that loses no value: integral doubles as integers, digits as numbers, midnights as dates.
+
+    One pass over the table proves it for all columns. A column with a value that does not come back equal is refused by name; with
+    ``strict=False`` it stays as it is.
+    """
+    wanted = {name: kind for name, kind in types.items() if name in df.columns}
+    if not wanted:
+        return df
+
+    def lost(name: str, kind: str) -> Column:
+        narrow = F.col(name).try_cast(kind)
+        return F.coalesce(F.max(F.col(name).isNotNull() & ~narrow.try_cast(df.schema[name].dataType).eqNullSafe(F.col(name))), F.lit(False)).alias(name)
+
+    losing = df.agg(*[lost(name, kind) for name, kind in wanted.items()]).first().asDict()
+    refused = [name for name, loses in losing.items() if loses]
+    if refused and strict:
+        raise ValueError(f"columns that would lose values: {', '.join(f'{n} as {wanted[n]}' for n in refused)}")
+    return df.withColumns({n: F.col(n).try_cast(kind) for n, kind in wanted.items() if n not in refused})
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Fail when a column is missing or holds nothing but nulls. Reads the table once."""
     missing = [c for c in required if c not in df.columns]

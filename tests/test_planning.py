@@ -271,3 +271,28 @@ def test_run_metrics_equal_those_of_filled_weeks(spark):
         assert not there
     plan = classify.run_metrics(classify.run_lengths(weekly, AS_OF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_user_models_send_only_their_keys_to_python(spark):
+    values = {"rising": [1.0] * 34 + [100.0 * k for k in range(1, 7)], "even": [10.0, 12.0] * 15, "gone": [4.0] + [0.0] * 60}
+    weeks = classify.prepare_series(series(spark, values))
+    classified = classify.classify(classify.series_metrics(weeks))
+    kinds_ = {r.item: r.demand_type for r in classified.collect()}
+    assert kinds_ == {"rising": "Trended Demand", "even": "Steady Demand", "gone": "Single Demand"}
+
+    def last_but(rows, p):
+        assert rows.num_rows == 40 and rows.column("week_start").to_pylist() == sorted(rows.column("week_start").to_pylist())
+        return [rows.column("demand").to_pylist()[-1] + k for k in range(p.horizon_weeks)]
+
+    models = {"Trended Demand": forecast.GroupedModel(last_but), "Single Demand": forecast.GroupedModel(lambda *_: 1 / 0)}
+    got = {r.item: r for r in forecast.forecast(classified, models=models, series=weeks).collect()}
+    # The user's model, the built-in one, and a cold start that no model is asked about.
+    assert got["rising"].forecast[2] == got["rising"].forecast[0] + 2 and set(got["even"].forecast) == {12.0} and set(got["gone"].forecast) == {0.0}
+    plain = forecast.forecast(classified)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plain and "Python" not in plain
+    with pytest.raises(ValueError, match="need the series"):
+        forecast.forecast(classified, models=models)
+    forced = forecast.forecast_with(classified.where("item = 'even'"), "twice", models={"Twice Demand": lambda p: forecast.flat(F.lit(2.0), p.horizon_weeks)})
+    assert forced.first().forecast == [2.0] * 12
+    with pytest.raises(Exception, match="gives 1 values for 12 weeks"):
+        forecast.forecast_with(classified.where("item = 'even'"), "Trended Demand", models={"Trended Demand": forecast.GroupedModel(lambda *_: [1.0])}, series=weeks).collect()

@@ -317,3 +317,16 @@ def test_digests_go_when_rows_are_added(spark, table):
     assert table.digests(["k"], ["a"]).agg({"n": "sum"}).first()[0] == 2 and table.read().count() == 2
     table.write_changes(frame(spark, ("x", 1.0, "t", None), ("y", 2.0, "t", None)), ["k"], D("2024-01-01"))
     assert sorted((r.k, r.a) for r in table.read().collect()) == [("x", 1.0), ("y", 2.0)]
+
+
+def test_narrowing_refuses_lossy_columns_by_name(spark):
+    df = spark.createDataFrame([(1.0, 1.5, "7", None), (2.0, 2.0, "08", None), (None, None, None, None)], "a double, b double, c string, d double")
+    got = readers.narrow_types(df, {"a": "int", "d": "bigint", "absent": "int"})
+    assert got.dtypes == [("a", "int"), ("b", "double"), ("c", "string"), ("d", "bigint")] and [r.a for r in got.collect()] == [1, 2, None]
+    with pytest.raises(ValueError, match="b as int, c as int"):
+        readers.narrow_types(df, {"a": "int", "b": "int", "c": "int"})
+    kept = readers.narrow_types(df, {"a": "smallint", "b": "int", "c": "int"}, strict=False)
+    assert kept.dtypes == [("a", "smallint"), ("b", "double"), ("c", "string"), ("d", "double")]
+    large = spark.createDataFrame([(3e10,)], "a double")
+    assert readers.narrow_types(large, {"a": "int"}, strict=False).dtypes == [("a", "double")]
+    assert readers.narrow_types(large, {"a": "bigint"}).first().a == 30_000_000_000
