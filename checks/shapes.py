@@ -11,9 +11,12 @@ from checks.forecasts import long_form
 from checks.registry import STEPS, query
 from checks.replenish import DOUBLES, STATIC_WEEKS, order_sql
 from checks.reports import CHAIN, restated
+from checks.sources import new_table
 from checks.views import AS_OF
 from stowage.operators import classify, demand, forecast, mrp, safety
 from stowage.params import KEYS, OrderParams
+from stowage.plans import results
+from stowage.session import materialised
 
 # Workers need neither package installed: functions go to them by value.
 for _name in ("checks", "stowage"):
@@ -107,3 +110,31 @@ def _(t):
 def _(t):
     stocked = safety.safety_stock(planned(t)).join(t.shaped_stock, list(KEYS), "left")
     return mrp.static_orders(stocked, OrderParams(include_zero=True), AS_OF).select(*mrp.OUTPUT)
+
+
+@query(
+    "written_plan",
+    """
+SELECT t.item, t.warehouse, 'weeks_with_demand' AS field_name, CAST(t.weeks_with_demand + 1 AS VARCHAR) AS old_value, CAST(t.weeks_with_demand AS VARCHAR) AS new_value,
+  DATE '2001-08-01' AS change_date, 'Classify Update' AS change_reason, f.model, s.final_safety, o.reasons
+FROM h_o_types t JOIN shaped_parts p ON p.item = t.item AND p.warehouse = t.warehouse AND p.size % 3 = 0
+JOIN (SELECT DISTINCT item, warehouse, model FROM h_o_forecast) f ON f.item = t.item AND f.warehouse = t.warehouse
+JOIN h_o_static_safety s ON s.item = t.item AND s.warehouse = t.warehouse
+LEFT JOIN (SELECT item, warehouse, MAX(order_reason) AS reasons FROM ({ORDERS}) x WHERE order_reason IS NOT NULL GROUP BY item, warehouse) o ON o.item = t.item AND o.warehouse = t.warehouse""".replace("{ORDERS}", ORDERS),
+    "final_safety",
+)
+def _(t):
+    """A run with other counts for some parts, the run itself, and the same again, which changes nothing; the log and the stored results."""
+    stocked = materialised(safety.safety_stock(planned(t)).join(t.shaped_stock, list(KEYS), "left"))
+    orders = mrp.static_orders(stocked, OrderParams(include_zero=True), AS_OF).where("order_reason IS NOT NULL")
+    made = {}
+    table_of = lambda name: made.setdefault(name, new_table(t, name))
+    odd = t.shaped_parts.where("size % 3 = 0").select(*KEYS, F.lit(1).cast("long").alias("_more"))
+    other = stocked.join(odd, list(KEYS), "left").withColumn("weeks_with_demand", F.col("weeks_with_demand") + F.coalesce("_more", F.lit(0)))
+    for run in (other, stocked, stocked):
+        results.write_plan(run, orders, table_of, AS_OF)
+    stored = lambda name, *columns: made[name].read().select(*KEYS, *columns)
+    return (
+        made[f"{results.TYPES}_log"].read().join(stored(results.FORECASTS, "model"), list(KEYS)).join(stored(results.SAFETY, "final_safety"), list(KEYS))
+        .join(stored(results.ORDERS, F.col("order_reason").alias("reasons")), list(KEYS), "left")
+    )

@@ -343,6 +343,7 @@ class StoredTable:
         monitor: Sequence[str] | None = None,
         exclude: Sequence[str] = (),
         dry_run: bool = False,
+        reason: str = "Table update",
     ) -> tuple[DataFrame | None, DataFrame | None]:
         """Upsert what changed, then append the log; a dry run only returns both.
 
@@ -359,7 +360,7 @@ class StoredTable:
             before, now, _ = only_differing(stored, df, keys, fields, self.digests(keys, fields))
         staged, folder = self._staged(_changed(now, before, keys, exclude))
         delta = staged.select(*df.columns)
-        entries = _entries(staged, _monitored(df, stored, keys, monitor, exclude), keys, as_of, "Table update")
+        entries = _entries(staged, _monitored(df, stored, keys, monitor, exclude), keys, as_of, reason)
         if dry_run:
             return delta, entries
         if not delta.isEmpty():
