@@ -258,14 +258,19 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The first document of each class, and all documents without words, with the columns they had."""
+    """The first document of each class, and all documents without words, with the columns they had.
+
+    A row is known by its id and a 64-bit hash of id and text, so different rows are told apart unless they share an id, or have none, and a hash.
+    """
     judged = classes(docs)
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")
-    stay = judged.where("n_shingles > 0").groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("single"))
-    stay = stay.union(judged.where("n_shingles = 0").select("row_key", F.lit(False).alias("single")).distinct())
+    stay = judged.where("n_shingles > 0").groupBy("class").agg(F.min(place).alias("first"))
+    stay = stay.select(F.col("first.row_key").alias("key"), F.col("first.doc_id").alias("id"), F.lit(True).alias("single"))
+    stay = stay.union(judged.where("n_shingles = 0").select("row_key", "doc_id", F.lit(False).alias("single")).distinct())
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key")).join(stay, "row_key")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").alias("row_id"))
+    rows = rows.join(stay, (F.col("row_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id")))
     # Repeated rows share a key: one of them stays.
-    first = F.row_number().over(Window.partitionBy("row_key").orderBy("row"))
+    first = F.row_number().over(Window.partitionBy("row_key", "row_id").orderBy("row"))
     once = rows.where("single").withColumn("place", first).where("place = 1").select("row")
     return once.union(rows.where("NOT single").select("row")).select(*[F.col("row")[n].alias(n) for n in names])

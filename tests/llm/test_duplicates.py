@@ -148,3 +148,12 @@ def test_shingles_depend_on_content_alone():
     assert (sets[0] == sets[3]).all() and set(sets[0].tolist()) < set(sets[4].tolist())
     alone = [next(iter(shingle_sets(pa.array([t]), 5))) for t in texts]
     assert all((a == b).all() for a, b in zip(sets, alone))
+
+
+def test_rows_whose_hashes_meet_both_stay(spark, monkeypatch):
+    """As if all rows had one hash: they are told apart by their ids."""
+    real = ngram_join.F.xxhash64
+    monkeypatch.setattr(ngram_join.F, "xxhash64", lambda *c: ngram_join.F.lit(5).cast("long") if c == ("doc_id", "text") else real(*c))
+    rows = [(i, f"some words of the text number {i} and nothing more") for i in range(6)] + [(6, ""), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df).collect()) == list(range(9))
