@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAST_DATE = "9999-12-31"
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 
 
 def dated(column: str) -> Column:
@@ -80,10 +81,11 @@ def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Rows of several tables by column name.
 
     Spark 4.1 may report a partitioning for a union that its rows do not have after adaptive
-    replanning; a window or grouping on top then misses its shuffle and counts wrongly. The setting
-    takes the union back to an unknown partitioning.
+    replanning; a window or grouping on top then misses its shuffle and counts wrongly. A session that
+    ``session.configure`` has set up takes the union back to an unknown partitioning; in another one this is refused.
     """
-    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if first.sparkSession.conf.get(UNION_PARTITIONING, "true") != "false":
+        raise ValueError(f"set {UNION_PARTITIONING} to false first (stowage.session.configure)")
     for other in others:
         first = first.unionByName(other)
     return first

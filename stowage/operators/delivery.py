@@ -10,6 +10,7 @@ from stowage.functions.numeric import ratio
 from stowage.functions.running import stacked
 from stowage.operators.leadtime import correct_modes, fallback_means, lead_time_ranges
 from stowage.operators.po import base_line, number_sublines
+from stowage.session import materialised
 
 GROUP = ("vendor", "mode", "warehouse", "item")
 
@@ -88,9 +89,9 @@ def delivery_behaviour(records: DataFrame, closed_only: bool = True) -> DataFram
             }
         )
     )
-    known = lines.where(
-        F.col("vendor").isNotNull() & F.col("mode").isNotNull() & F.col("warehouse").isNotNull() & F.col("item").isNotNull()
-    )
+    whole = F.col("vendor").isNotNull() & F.col("mode").isNotNull() & F.col("warehouse").isNotNull() & F.col("item").isNotNull()
+    # Order lines are worked out once, for the means and for the quantile.
+    known = materialised(lines.where(whole).select(*GROUP, "_batches", "_average", "_spread", "_interval", "_tail_share", "_largest"))
 
     def mean_if(condition: Column, value: str, otherwise: float) -> Column:
         return F.coalesce(F.avg(F.when(condition, F.col(value))), F.lit(otherwise))
