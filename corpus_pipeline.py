@@ -1,4 +1,10 @@
-"""From raw documents to token files: quality rules, near duplicates, benchmark leaks, source weights, token ids."""
+"""From raw documents to token files: quality rules, near duplicates, benchmark leaks, source weights, token ids.
+
+Defined cases: a document with null text has no words and is rejected by the quality rules; a null doc_id, lang or source stays as it is, null being a source of its own
+in the weights. Of rows that are equal, and of near copies, the one with the least doc_id stays (null last); of rows with equal id and text the first by all columns. Weights
+repeat a row by its id, so rows that share an id are taken equally often. Extra columns come along to the weights, whatever their names; the last stage reads doc_id and text only.
+An empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
