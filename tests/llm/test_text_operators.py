@@ -477,3 +477,34 @@ def test_pipeline_stages_against_plain_steps(spark):
         n = len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
         assert (r.start, r.n_tokens) == (start, n)
         start += n
+
+
+def test_pipeline_of_odd_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    same, other = prose(80), prose(80)
+    rows = [
+        (1, same, "en", None), (1, same, "en", None), (2, same + " end", "en", "a"), (None, other, None, "a"), (None, None, "en", "a"), (3, "", None, None),
+        (4, "few words", "en", "b"), (5, prose(60) + " " + item + " " + prose(60), "en", "b"), (6, prose(3000), "en", "b"), (7, prose(70), "de", None),
+    ]
+    # Names that the stages use themselves.
+    extra = ["size", "target", "row_key", "place", "single", "n_words", "start", "key"]
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in extra)
+    df = frame(spark, [(*r, *extra) for r in rows], schema)
+    docs, kept = df, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder), "odd")
+        assert docs.columns == df.columns
+        assert all([r[n] for n in extra] == extra for r in docs.collect())
+        kept.append(Counter(r.doc_id for r in docs.collect()))
+    assert kept[0] == Counter({1: 2, 2: 1, None: 1, 5: 1, 6: 1, 7: 1})
+    assert kept[1] == Counter([1, None, 5, 6, 7]) and kept[2] == Counter([1, None, 6, 7])
+    assert set(kept[3]) <= set(kept[2])
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert Counter(r.doc_id for r in out.collect()) == kept[3]
+    empty = df.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, empty, folder)
+        assert made.collect() == [] and (made.columns == df.columns or "n_tokens" in made.columns)
