@@ -1,33 +1,52 @@
 """Adaptive context-mixing range coder for token ids, many blocks at once in numpy.
 
-A block starts from a fresh model, so each can be decoded alone. Before an id, three predictions stand: order 2, the id that
-last followed the last two ids; order 1, the id that last followed the last id; order 0, the last 256 different ids that were new
-when they came, under adaptive odds of their places. How often orders 2 and 1 were right lately selects the adaptive odds
-of the four outcomes: order 2 is right, order 1 is right, order 0 knows the id, the id is new. A place is coded as two four-bit digits, the second
-given the first; a new id as its plain bits. All odds drive a 32-bit range coder with carries, which writes 16-bit
-words. The state of a lane is small, so that those at work stay in the cache.
+A block starts from a fresh model, so each can be decoded alone. Three orders predict the next id: order 2 the id that last
+followed the last two, order 1 the id that last followed the last one, order 0 each id by how often it came. Is it order 2's id? If not,
+is it order 1's? Each of these questions is put to all three orders: an order answers with the adaptive odds that fit what it knows of the
+id asked for (its trust in it, whether it has another one in mind, how often the id came), and the three answers are mixed in the logistic domain by
+weights that learn from every outcome and are kept per trust. The mixed odds drive the coder. An id that neither order has in mind is coded by
+order 0 alone, digit by digit down a tree of adaptive odds, where ids that come often get short codes. All odds drive a 32-bit
+range coder with carries, which writes 16-bit words. All arithmetic is on whole numbers, so that any machine decodes what another coded.
 
 Blocks are lanes: one numpy step codes the t-th id of every lane that has one.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 
 # Ids in a block; lanes coded together.
 BLOCK = 4096
-LANES = 2048
+LANES = 1024
 TOTAL_BITS = 14
 TOTAL = 1 << TOTAL_BITS
-RATE = 5
-# Boundaries move a 32nd of their way to their aim; aims this far apart keep every outcome possible.
+RATE = 4
+# Boundaries move a 16th of their way to their aim; aims this far apart keep every outcome possible.
 APART = (1 << RATE) + 8
 SLOTS_BITS = 10
-# Bits of an id written at once without odds.
-PLAIN_BITS = 12
 EMPTY = -1
 LOW_MASK = 0xFFFFFFFF
 
+# Mixing: odds of 12 bits, their logarithms in 256ths, weights in 65536ths.
+REACH = 2047
+ONE = 1 << 16
+FIRST_WEIGHT = ONE * 2 // 5
+LEARNING = 10
+OPINION_RATE = 5
+CONTEXTS = 16
+SETS = 4
+# Odds of every logarithm, exactly rounded, and the least logarithm that gives odds.
+SQUASH = np.array([min(4095, max(1, round(4096 / (1 + (Decimal(-x) / 256).exp())))) for x in range(-REACH - 1, REACH + 1)], np.int64)
+STRETCH = np.searchsorted(SQUASH, np.arange(4096)) - REACH - 1
+
+# Order 0: digits of an id and the tables of a lane; deeper digits share hashed tables.
+DIGIT_BITS = 4
+SHALLOW = (0, 1, 17, 273)
+HASHED_BITS = 10
+NODES = SHALLOW[-1] + (1 << HASHED_BITS)
+
 
 def aims(n: int) -> np.ndarray:
     """For each outcome the boundaries (lower ones, then the total) that give it all the odds it can have."""
@@ -35,9 +54,7 @@ def aims(n: int) -> np.ndarray:
     return np.where(i[None, :] <= np.arange(n)[:, None], i * APART, TOTAL - (n - i) * APART).astype(np.int16)
 
 
-DIGIT_AIMS, OUTCOME_AIMS = aims(16), aims(4)
-# Places of order 0.
-KNOWN = 256
+DIGIT_AIMS = aims(16)
 
 
 def bits_of(most: int) -> int:
@@ -45,14 +62,38 @@ def bits_of(most: int) -> int:
     return max(1, int(most).bit_length())
 
 
-def plain_parts(bits: int) -> list[tuple[int, int]]:
-    """(shift, bits) of the parts of a plain id, from the top."""
-    out = []
-    while bits:
-        part = min(PLAIN_BITS, bits)
-        bits -= part
-        out.append((bits, part))
-    return out
+def node_of(level: int, prefix: np.ndarray) -> np.ndarray:
+    """The table of a digit, by the digits before it."""
+    if level < 3:
+        return SHALLOW[level] + prefix
+    return SHALLOW[3] + (((prefix + level) * 2654435761 >> 13) & ((1 << HASHED_BITS) - 1))
+
+
+class Question:
+    """A yes-or-no question put to three orders in some lanes; their answers are mixed."""
+
+    def __init__(self, lanes: int):
+        self.odds = np.full(lanes * 3 * CONTEXTS, ONE // 2, np.int32)
+        self.weights = np.full((3, lanes * SETS), FIRST_WEIGHT, np.int64)
+        self.base = (np.arange(lanes) * 3 + np.arange(3)[:, None]) * CONTEXTS
+
+    def ask(self, rows: np.ndarray, contexts: tuple, sets: np.ndarray) -> np.ndarray:
+        """The chance of a yes, in parts of ``TOTAL``."""
+        self.at = self.base.take(rows, 1)
+        for k in range(3):
+            self.at[k] += contexts[k]
+        self.held, self.sets = self.odds.take(self.at), rows * SETS + sets
+        self.said, self.weight = STRETCH.take(self.held >> 4), self.weights.take(self.sets, 1)
+        sums = (self.said * self.weight).sum(0) >> 16
+        self.mixed = SQUASH.take(np.minimum(np.maximum(sums, -REACH), REACH) + REACH + 1)
+        return self.mixed << (TOTAL_BITS - 12)
+
+    def learn(self, yes: np.ndarray) -> None:
+        """Note the outcome: odds move towards it, weights towards the orders that told it."""
+        aim = np.where(yes, ONE - 1, 0)
+        self.odds[self.at] = self.held + ((aim - self.held) >> OPINION_RATE)
+        miss = ((yes.astype(np.int64) << 12) - self.mixed) * LEARNING
+        self.weights[:, self.sets] = self.weight + ((self.said * miss + ONE // 2) >> 16)
 
 
 class Model:
@@ -63,37 +104,44 @@ class Model:
         kind = np.int32 if bits < 30 else np.int64
         self.one = np.full(lanes << SLOTS_BITS, EMPTY * 4, kind)
         self.two = np.full(lanes << SLOTS_BITS, EMPTY * 4, kind)
-        self.outcomes = np.tile((np.arange(5) * TOTAL // 4).astype(np.int16), (lanes * 16, 1))
-        # Order 0: the id of each place, the place of an id by its hash (a hint that the first table proves), the next place.
-        self.ids = np.full(lanes * KNOWN, -1, np.int64)
-        self.hints = np.zeros(lanes << SLOTS_BITS, np.uint8)
-        self.next = np.zeros(lanes, np.int64)
-        self.known_base = np.arange(lanes) * KNOWN
-        # Digit tables of a lane: one for the first digit, sixteen for the second.
-        self.odds = np.tile((np.arange(17) * TOTAL // 16).astype(np.int16), (lanes * 17, 1))
-        rows = np.arange(lanes)
-        self.slot_base, self.outcome_base, self.odds_base = rows << SLOTS_BITS, rows * 16, rows * 17
+        self.is_two, self.is_one = Question(lanes), Question(lanes)
+        # Order 0: how often ids came, by hash, and the tables of their digits.
+        self.came = np.zeros(lanes << SLOTS_BITS, np.uint8)
+        self.depth = -(-bits // DIGIT_BITS)
+        self.digits = np.tile((np.arange(17) * TOTAL // 16).astype(np.int16), (lanes * NODES, 1))
+        self.slot_base, self.node_base = np.arange(lanes) << SLOTS_BITS, np.arange(lanes) * NODES
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base, mask, mixed = self.slot_base[: len(last)], (1 << SLOTS_BITS) - 1, last * 40503
         return base + (((mixed + 7) >> 3) & mask), base + (((mixed + before * 60493 + 11) >> 4) & mask)
 
-    def follow(self, table: np.ndarray, slot: np.ndarray, entry: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> None:
-        """Note what came: right predictions gain trust, wrong ones lose it and then give way to the fresh entry."""
-        trust = entry & 3
-        table[slot] = np.where(right, entry + (trust < 3), np.where(trust > 1, entry - 1, fresh))
-
-    def learn(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        """Give new ids the next places of order 0."""
-        at = self.next[rows]
-        self.next[rows] = at + 1
-        at &= KNOWN - 1
-        self.ids[self.known_base[rows] + at] = ids
-        self.hints[self.hint_at(rows, ids)] = at
+    def times(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.came.take(self.came_at(rows, ids))
 
-    def hint_at(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def came_at(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return self.slot_base[rows] + ((ids * 40503 >> 5) & ((1 << SLOTS_BITS) - 1))
 
+    def ask_two(self, rows: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+        """The chance that order 2's id is next."""
+        agree, trust = (e1 >> 2) == (e2 >> 2), e2 & 3
+        return self.is_two.ask(rows, (self.times(rows, e2 >> 2), (agree << 2) | (e1 & 3), trust), trust)
+
+    def ask_one(self, rows: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+        """The chance that order 1's id is next, now that order 2's is not."""
+        trust = e1 & 3
+        return self.is_one.ask(rows, (self.times(rows, e1 >> 2), trust, ((e2 >= 0) << 2) | (e2 & 3)), trust)
+
+    def follow(self, table: np.ndarray, slot: np.ndarray, entry: np.ndarray, now: np.ndarray) -> None:
+        """Note what came: right predictions gain trust, wrong ones lose it and then give way to a fresh entry."""
+        trust, right = entry & 3, (entry >> 2) == now
+        table[slot] = np.where(right, entry + (trust < 3), np.where(trust > 1, entry - 1, (now << 2) | 1))
+
+    def note(self, rows: np.ndarray, one: np.ndarray, e1: np.ndarray, two: np.ndarray, e2: np.ndarray, now: np.ndarray) -> None:
+        self.follow(self.one, one, e1, now)
+        self.follow(self.two, two, e2, now)
+        at = self.came_at(rows, now)
+        self.came[at] = np.minimum(self.came.take(at) + 1, CONTEXTS - 1)
+
 
 class Writer:
     """Range coders of some lanes."""
@@ -182,44 +230,42 @@ def encode_lanes(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     ids = np.zeros((len(active) + 2, len(blocks)), np.int64)
     for lane, i in enumerate(order.tolist()):
         ids[2 : 2 + lengths[i], lane] = blocks[i]
-    plain = plain_parts(bits)
-    model, out = Model(len(blocks), bits), Writer(len(blocks), len(active) * (1 + max(2, len(plain))) + 4)
+    model = Model(len(blocks), bits)
+    out = Writer(len(blocks), len(active) * (2 + model.depth) + 4)
     lanes = np.arange(len(blocks))
+
+    def answer(question: Question, at: np.ndarray, chance: np.ndarray, yes: np.ndarray) -> None:
+        low[at], width[at] = out.code(at, low[at], width[at], np.where(yes, 0, chance), np.where(yes, chance, TOTAL))
+        question.learn(yes)
+
     for t, n in enumerate(active):
         rows, now = lanes[:n], ids[t + 2, :n]
         one, two = model.slots(ids[t + 1, :n], ids[t, :n])
         e1, e2 = model.one.take(one), model.two.take(two)
-        right1, right2 = (e1 >> 2) == now, (e2 >> 2) == now
-        known = model.hints.take(model.hint_at(rows, now)).astype(np.int64)
-        outcome = np.where(right2, 0, np.where(right1, 1, 3 - (model.ids.take(model.known_base[:n] + known) == now)))
-        place = model.outcome_base[:n] + (((e2 & 3) << 2) | (e1 & 3))
-        table = model.outcomes.take(place, 0)
-        flat, at = table.ravel(), 5 * rows + outcome
-        low, width = out.code(rows, out.low[:n], out.width[:n], flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
-        model.outcomes[place] = table + ((OUTCOME_AIMS.take(outcome, 0) - table) >> RATE)
-        fresh = ((now << 2) | 1).astype(e1.dtype)
-        model.follow(model.one, one, e1, right1, fresh)
-        model.follow(model.two, two, e2, right2, fresh)
-        rest = np.flatnonzero(outcome == 2)
+        low, width = out.low[:n], out.width[:n]
+        asked = np.flatnonzero(e2 >= 0)
+        if len(asked):
+            chance = model.ask_two(asked, e1[asked], e2[asked])
+            answer(model.is_two, asked, chance, (e2[asked] >> 2) == now[asked])
+        open_ = (e2 >> 2) != now
+        asked = np.flatnonzero(open_ & (e1 >= 0) & ((e1 >> 2) != (e2 >> 2)))
+        if len(asked):
+            chance = model.ask_one(asked, e1[asked], e2[asked])
+            answer(model.is_one, asked, chance, (e1[asked] >> 2) == now[asked])
+        rest = np.flatnonzero(open_ & ((e1 >> 2) != now))
         if len(rest):
-            value, place, i = known[rest], model.odds_base[rest], 17 * lanes[: len(rest)]
+            value, i, base = now[rest], 17 * lanes[: len(rest)], model.node_base[rest]
             rest_low, rest_width = low[rest], width[rest]
-            for digit in (value >> 4, value & 15):
-                table = model.odds.take(place, 0)
+            for level in range(model.depth):
+                left = DIGIT_BITS * (model.depth - 1 - level)
+                digit = (value >> left) & 15
+                node = base + node_of(level, value >> (left + DIGIT_BITS))
+                table = model.digits.take(node, 0)
                 flat, at = table.ravel(), i + digit
                 rest_low, rest_width = out.code(rest, rest_low, rest_width, flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
-                model.odds[place] = table + ((DIGIT_AIMS.take(digit, 0) - table) >> RATE)
-                place = place + 1 + digit
+                model.digits[node] = table + ((DIGIT_AIMS.take(digit, 0) - table) >> RATE)
             low[rest], width[rest] = rest_low, rest_width
-        new = np.flatnonzero(outcome == 3)
-        if len(new):
-            value, new_low, new_width = now[new], low[new], width[new]
-            for shift, size in plain:
-                start = ((value >> shift) & ((1 << size) - 1)) << (TOTAL_BITS - size)
-                new_low, new_width = out.code(new, new_low, new_width, start, start + (1 << (TOTAL_BITS - size)))
-            low[new], width[new] = new_low, new_width
-            model.learn(new, value)
-        out.low[:n], out.width[:n] = low, width
+        model.note(rows, one, e1, two, e2, now)
     coded = out.finish()
     result: list[bytes] = [b""] * len(blocks)
     for lane, i in enumerate(order.tolist()):
@@ -232,50 +278,45 @@ def decode_lanes(coded: list[bytes], lengths: list[int], bits: int) -> list[np.n
     order, active = longest_first(sizes)
     ids = np.zeros((len(active) + 2, len(coded)), np.int64)
     model, source = Model(len(coded), bits), Reader([coded[i] for i in order.tolist()])
-    lanes, plain = np.arange(len(coded)), plain_parts(bits)
+    lanes = np.arange(len(coded))
+
+    def answered(question: Question, at: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        held, unit = code[at], width[at] >> TOTAL_BITS
+        yes = held // unit < chance
+        code[at], width[at] = source.accept(at, held, unit, np.where(yes, 0, chance), np.where(yes, chance, TOTAL))
+        question.learn(yes)
+        return yes
+
     for t, n in enumerate(active):
         rows = lanes[:n]
         one, two = model.slots(ids[t + 1, :n], ids[t, :n])
         e1, e2 = model.one.take(one), model.two.take(two)
-        place = model.outcome_base[:n] + (((e2 & 3) << 2) | (e1 & 3))
-        table = model.outcomes.take(place, 0)
-        unit = source.width[:n] >> TOTAL_BITS
-        target = np.minimum(source.code[:n] // unit, TOTAL - 1)
-        outcome = (table[:, 1] <= target).astype(np.int64) + (table[:, 2] <= target) + (table[:, 3] <= target)
-        flat, at = table.ravel(), 5 * rows + outcome
-        code, width = source.accept(rows, source.code[:n], unit, flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
-        model.outcomes[place] = table + ((OUTCOME_AIMS.take(outcome, 0) - table) >> RATE)
-        now = np.where(outcome == 0, e2 >> 2, e1 >> 2).astype(np.int64)
-        rest = np.flatnonzero(outcome == 2)
+        code, width = source.code[:n], source.width[:n]
+        now, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        asked = np.flatnonzero(e2 >= 0)
+        if len(asked):
+            found = asked[answered(model.is_two, asked, model.ask_two(asked, e1[asked], e2[asked]))]
+            now[found], open_[found] = e2[found] >> 2, False
+        asked = np.flatnonzero(open_ & (e1 >= 0) & ((e1 >> 2) != (e2 >> 2)))
+        if len(asked):
+            found = asked[answered(model.is_one, asked, model.ask_one(asked, e1[asked], e2[asked]))]
+            now[found], open_[found] = e1[found] >> 2, False
+        rest = np.flatnonzero(open_)
         if len(rest):
-            value, place, i = np.zeros(len(rest), np.int64), model.odds_base[rest], 17 * lanes[: len(rest)]
+            value, i, base = np.zeros(len(rest), np.int64), 17 * lanes[: len(rest)], model.node_base[rest]
             rest_code, rest_width = code[rest], width[rest]
-            for _ in range(2):
-                table = model.odds.take(place, 0)
+            for level in range(model.depth):
+                node = base + node_of(level, value)
+                table = model.digits.take(node, 0)
                 flat = table.ravel()
                 unit = rest_width >> TOTAL_BITS
                 digit = digit_at(flat, i, np.minimum(rest_code // unit, TOTAL - 1))
                 at = i + digit
                 rest_code, rest_width = source.accept(rest, rest_code, unit, flat.take(at).astype(np.int64), flat.take(at + 1).astype(np.int64))
-                model.odds[place] = table + ((DIGIT_AIMS.take(digit, 0) - table) >> RATE)
-                value = (value << 4) | digit
-                place = place + 1 + digit
-            code[rest], width[rest], now[rest] = rest_code, rest_width, model.ids.take(model.known_base[rest] + value)
-        new = np.flatnonzero(outcome == 3)
-        if len(new):
-            value, new_code, new_width = np.zeros(len(new), np.int64), code[new], width[new]
-            for _, size in plain:
-                unit = new_width >> TOTAL_BITS
-                part = np.minimum(new_code // unit, TOTAL - 1) >> (TOTAL_BITS - size)
-                start = part << (TOTAL_BITS - size)
-                new_code, new_width = source.accept(new, new_code, unit, start, start + (1 << (TOTAL_BITS - size)))
-                value = (value << size) | part
-            code[new], width[new], now[new] = new_code, new_width, value
-            model.learn(new, value)
-        source.code[:n], source.width[:n] = code, width
-        fresh = ((now << 2) | 1).astype(e1.dtype)
-        model.follow(model.one, one, e1, (e1 >> 2) == now, fresh)
-        model.follow(model.two, two, e2, (e2 >> 2) == now, fresh)
+                model.digits[node] = table + ((DIGIT_AIMS.take(digit, 0) - table) >> RATE)
+                value = (value << DIGIT_BITS) | digit
+            code[rest], width[rest], now[rest] = rest_code, rest_width, value
+        model.note(rows, one, e1, two, e2, now)
         ids[t + 2, :n] = now
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
     for lane, i in enumerate(order.tolist()):
