@@ -19,7 +19,7 @@ import numpy as np
 
 # Ids in a block; lanes coded together.
 BLOCK = 4096
-LANES = 1024
+LANES = 2048
 TOTAL_BITS = 14
 TOTAL = 1 << TOTAL_BITS
 RATE = 4
@@ -29,17 +29,19 @@ SLOTS_BITS = 10
 EMPTY = -1
 LOW_MASK = 0xFFFFFFFF
 
-# Mixing: odds of 12 bits, their logarithms in 256ths, weights in 65536ths.
+# Mixing: odds of 12 bits, their logarithms in 256ths, weights in 16384ths and within 8, so that all fits 32 bits.
 REACH = 2047
 ONE = 1 << 16
-FIRST_WEIGHT = ONE * 2 // 5
+WEIGHT_BITS = 14
+FIRST_WEIGHT = (1 << WEIGHT_BITS) * 2 // 5
+MOST_WEIGHT = 8 << WEIGHT_BITS
 LEARNING = 10
 OPINION_RATE = 5
 CONTEXTS = 16
 SETS = 4
 # Odds of every logarithm, exactly rounded, and the least logarithm that gives odds.
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + (Decimal(-x) / 256).exp())))) for x in range(-REACH - 1, REACH + 1)], np.int64)
-STRETCH = np.searchsorted(SQUASH, np.arange(4096)) - REACH - 1
+STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - REACH - 1).astype(np.int32)
 
 # Order 0: digits of an id and the tables of a lane; deeper digits share hashed tables.
 DIGIT_BITS = 4
@@ -74,7 +76,7 @@ class Question:
 
     def __init__(self, lanes: int):
         self.odds = np.full(lanes * 3 * CONTEXTS, ONE // 2, np.int32)
-        self.weights = np.full((3, lanes * SETS), FIRST_WEIGHT, np.int64)
+        self.weights = np.full((3, lanes * SETS), FIRST_WEIGHT, np.int32)
         self.base = (np.arange(lanes) * 3 + np.arange(3)[:, None]) * CONTEXTS
 
     def ask(self, rows: np.ndarray, contexts: tuple, sets: np.ndarray) -> np.ndarray:
@@ -84,16 +86,18 @@ class Question:
             self.at[k] += contexts[k]
         self.held, self.sets = self.odds.take(self.at), rows * SETS + sets
         self.said, self.weight = STRETCH.take(self.held >> 4), self.weights.take(self.sets, 1)
-        sums = (self.said * self.weight).sum(0) >> 16
-        self.mixed = SQUASH.take(np.minimum(np.maximum(sums, -REACH), REACH) + REACH + 1)
+        votes = self.said * self.weight
+        sums = (votes[0] + votes[1] + votes[2]) >> WEIGHT_BITS
+        self.mixed = SQUASH.take(np.minimum(np.maximum(sums, -REACH), REACH) + (REACH + 1))
         return self.mixed << (TOTAL_BITS - 12)
 
     def learn(self, yes: np.ndarray) -> None:
         """Note the outcome: odds move towards it, weights towards the orders that told it."""
-        aim = np.where(yes, ONE - 1, 0)
-        self.odds[self.at] = self.held + ((aim - self.held) >> OPINION_RATE)
-        miss = ((yes.astype(np.int64) << 12) - self.mixed) * LEARNING
-        self.weights[:, self.sets] = self.weight + ((self.said * miss + ONE // 2) >> 16)
+        told = yes.astype(np.int32)
+        self.odds[self.at] = self.held + ((told * (ONE - 1) - self.held) >> OPINION_RATE)
+        miss = ((told << 12) - self.mixed.astype(np.int32)) * LEARNING
+        moved = self.weight + ((self.said * miss + (1 << 17)) >> 18)
+        self.weights[:, self.sets] = np.minimum(np.maximum(moved, -MOST_WEIGHT), MOST_WEIGHT)
 
 
 class Model:
