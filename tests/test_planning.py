@@ -296,3 +296,8 @@ def test_user_models_send_only_their_keys_to_python(spark):
     assert forced.first().forecast == [2.0] * 12
     with pytest.raises(Exception, match="gives 1 values for 12 weeks"):
         forecast.forecast_with(classified.where("item = 'even'"), "Trended Demand", models={"Trended Demand": forecast.GroupedModel(lambda *_: [1.0])}, series=weeks).collect()
+
+
+def test_week_means_bind_what_depends_on_the_key_alone(spark):
+    # Three calendar look-ups a key; inside the lambda over the weeks there would be several for each of the 53.
+    assert str(classify._week_means()).count("make_date") == 3
