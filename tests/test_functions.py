@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.session import checkpoint_folder
 from stowage.functions import modes, numeric, weeks
-from stowage.functions.distribution import describe, smoothed
+from stowage.functions.distribution import describe, described, smoothed
 from stowage.functions.running import dated, first_rows, numbered, stacked
 
 
@@ -119,6 +119,28 @@ def test_describe_and_smoothing_against_python(spark):
     assert stats["c"].std is None and stats["a"].std == pytest.approx(statistics.stdev([v for k, _, v in values if k == "a"]))
 
 
+def test_described_is_describe_and_smoothed_without_group_buffers(spark):
+    rng = random.Random(8)
+    values = [(g, rng.choice([None, *range(1, 30)]), rng.choice([None, *range(12)])) for g in ("a", "b", None) for _ in range(200)] + [("c", 1, 7), ("d", 1, None)]
+    df = spark.createDataFrame(values, "g string, d int, v int")
+    both = described(df, ["g"], "d", "v", {"p60": 0.6, "p90": 0.9}, 0.3)
+    assert "ObjectHashAggregate" not in both._jdf.queryExecution().executedPlan().toString()
+    stats = {r.g: r for r in describe(df, ["g"], "v", {"p60": 0.6, "p90": 0.9}).collect()}
+    recent = {r.g: r.s for r in smoothed(df, ["g"], "d", "v", 0.3, "s").collect()}
+    found = {r.g: r for r in both.collect()}
+    assert found.keys() == stats.keys() == {"a", "b", "c", None}
+    for g, r in found.items():
+        assert (r.samples, r.typical, r.p60, r.p90) == (stats[g].samples, stats[g].typical, pytest.approx(stats[g].p60), pytest.approx(stats[g].p90))
+        assert r.mean == pytest.approx(stats[g]["mean"]) and r.recent == pytest.approx(recent[g])
+        assert r.std == (None if stats[g].std is None else pytest.approx(stats[g].std))
+
+
+def test_sessions_bound_tasks_and_methods(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1000
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4m"
+
+
 def test_grouping_over_a_union_counts_every_row(spark):
     left = spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"))
     counted = left.join(left.groupBy("k").count(), "k")
