@@ -12,6 +12,10 @@ from stowage.session import cut_lineage, materialised
 FIRST_ITEMS, STEP = 128, 8
 # Items of an order that are paired with the rest of it in one task.
 PART_ITEMS = 128
+# An order of more items than this that holds over a 64th of all items is kept as a bit of its items; as many such orders at most.
+LARGE_ITEMS, LARGE_SHARE, LARGE_ORDERS = 1024, 64, 4096
+# Items that meet in one task, and the least number of blocks of items.
+BLOCK_ITEMS, BLOCKS = 16384, 16
 
 
 def split_coordinates(locations: DataFrame) -> DataFrame:
@@ -86,22 +90,65 @@ def _pair_counts(picks: DataFrame) -> DataFrame:
     return met.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("co_occurrence"))
 
 
+def _large_orders(picks: DataFrame, n_items: int) -> DataFrame:
+    """(lord, _at): the orders that hold a good share of all items, numbered. At most LARGE_SHARE times an item's mean support fit that."""
+    sizes = picks.groupBy("lord").agg(F.count(F.lit(1)).alias("_items"))
+    large = sizes.where((F.col("_items") > LARGE_ITEMS) & (F.col("_items") * LARGE_SHARE > n_items))
+    best = large.orderBy(F.col("_items").desc(), "lord").limit(LARGE_ORDERS)
+    return cut_lineage(best.select("lord", (F.row_number().over(Window.orderBy("lord")) - 1).alias("_at")))
+
+
+def _item_bits(picks: DataFrame, large: DataFrame, words: int) -> DataFrame:
+    """(item, _w0.., _rest): the large orders of an item as bits, and how many other orders it is in."""
+    word, bit = F.floor(F.col("_at") / 64), F.expr("shiftleft(1L, _at % 64)")
+    bits = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"_w{k}") for k in range(words)]
+    placed = picks.join(large, "lord", "left")
+    return placed.groupBy("item").agg(*bits, F.count(F.when(F.col("_at").isNull(), 1)).alias("_rest"), F.count("_at").alias("_large")).where("_large > 0").drop("_large")
+
+
+def _pairs_by_bits(bits: DataFrame, words: int, bound: int) -> DataFrame:
+    """(item_a, item_b, _common): in how many large orders both items are, of the pairs that can be in ``bound`` orders altogether.
+
+    Items are dealt into blocks and every two blocks meet in a task, as rows of a few words; no pair is built that the bound rules out.
+    """
+    blocks = max(BLOCKS, -(-bits.count() // BLOCK_ITEMS))
+    own = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in bits.columns]
+    dealt = bits.withColumn("_own", own)
+    first = dealt.select(*named("a"), F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.lit(blocks - 1))).alias("_j"))
+    second = dealt.select(*named("b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
+    common = sum((F.bit_count(F.col(f"_w{k}_a").bitwiseAND(F.col(f"_w{k}_b"))) for k in range(words)), F.lit(0))
+    able = (common + F.least("_rest_a", "_rest_b") >= bound) & ((F.col("_i") < F.col("_j")) | (F.col("item_a") < F.col("item_b")))
+    met = first.join(second.withColumnsRenamed({"_i": "_i_b", "_j": "_j_b"}), (F.col("_i") == F.col("_i_b")) & (F.col("_j") == F.col("_j_b")) & able)
+    return met.select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), common.cast("long").alias("_common"))
+
+
 def frequent_pairs(lines: DataFrame, count: int = 100) -> DataFrame:
     """The ``count`` item pairs that most orders hold both items of; ties go by item_a, item_b.
 
     A pair is in no more orders than its rarer item. So the ``count``-th pair among some items of highest support gives a bound,
     and only items at or above it can be in a pair that counts. A trial over more items raises the bound before all that are left are
-    taken; the pairs of other items are never built. Lines without order or item are left out, an item counts once an order.
+    taken; the pairs of other items are never built. Orders that hold a good share of all items are compared as bits of their items. Lines without order or item are left out, an item counts once an order.
     """
     picks = materialised(lines.select("lord", "item").where("lord IS NOT NULL AND item IS NOT NULL").distinct())
     supports = cut_lineage(picks.groupBy("item").agg(F.count(F.lit(1)).alias("support")))
+    large = _large_orders(picks, supports.count())
+    words = -(-large.count() // 64)
+    bits = materialised(_item_bits(picks, large, words)) if words else None
+    others = materialised(picks.join(large, "lord", "left_anti")) if words else picks
     taken, bound = FIRST_ITEMS, 1
     while True:
         able = supports.where(F.col("support") >= bound)
         n_able = able.count()
         if taken < n_able:
             able = able.orderBy(F.col("support").desc(), "item").limit(taken)
-        pairs = _pair_counts(picks.join(able.select("item"), "item", "left_semi")).where(F.col("co_occurrence") >= bound)
+        pairs = _pair_counts(others.join(able.select("item"), "item", "left_semi"))
+        if words:
+            # A pair that the bits leave out is below the bound, with or without its other orders.
+            in_large = _pairs_by_bits(bits.join(able.select("item"), "item", "left_semi"), words, bound)
+            both = F.coalesce("co_occurrence", F.lit(0)) + F.coalesce("_common", F.lit(0))
+            pairs = pairs.join(in_large, ["item_a", "item_b"], "full").select("item_a", "item_b", both.alias("co_occurrence"))
+        pairs = pairs.where(F.col("co_occurrence") >= bound)
         best = cut_lineage(pairs.orderBy(F.col("co_occurrence").desc(), "item_a", "item_b").limit(count))
         found, least = best.agg(F.count(F.lit(1)), F.min("co_occurrence")).first()
         if taken >= n_able:

@@ -301,3 +301,18 @@ def test_user_models_send_only_their_keys_to_python(spark):
 def test_week_means_bind_what_depends_on_the_key_alone(spark):
     # Three calendar look-ups a key; inside the lambda over the weeks there would be several for each of the 53.
     assert str(classify._week_means()).count("make_date") == 3
+
+
+@pytest.mark.parametrize("largest", [3, 12])
+def test_frequent_pairs_of_large_and_small_orders(spark, monkeypatch, largest):
+    """Large orders as bits, others by their pairs: together what plain counting gives."""
+    rng = random.Random(largest)
+    for name, value in (("LARGE_ITEMS", largest), ("LARGE_SHARE", 20), ("FIRST_ITEMS", 4), ("BLOCKS", 3)):
+        monkeypatch.setattr(layout, name, value)
+    orders = {f"o{k}": {f"i{int(rng.random() ** 2 * 40)}" for _ in range(rng.choice([2, 5, 25]))} for k in range(150)}
+    lines = spark.createDataFrame([(o, i) for o, items in orders.items() for i in items for _ in range(2)] + [(None, "i1"), ("o1", None)], "lord string, item string")
+    counted = Counter(pair for items in orders.values() for pair in combinations(sorted(items), 2))
+    expected = sorted(((-n, *pair) for pair, n in counted.items()))[:20]
+    found = layout.frequent_pairs(lines, 20).collect()
+    assert sorted((-r.co_occurrence, r.item_a, r.item_b) for r in found) == expected
+    assert layout._large_orders(lines.dropna().distinct(), 40).count() > 64 // largest
