@@ -10,6 +10,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from checks.views import BASE_TABLES, Tables
 from stowage.session import checkpoint_folder
 from stowage.functions import modes, numeric, weeks
 from stowage.functions.distribution import describe, described, smoothed
@@ -135,6 +136,30 @@ def test_described_is_describe_and_smoothed_without_group_buffers(spark):
         assert r.std == (None if stats[g].std is None else pytest.approx(stats[g].std))
 
 
+def test_tables_derived_from_stored_lines_are_the_same(spark, tmp_path):
+    day = dt.datetime(1996, 1, 2)
+    rows = {
+        "orders": ([(k, k % 3, "O", 1.0, day, "1-URGENT") for k in range(6)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": (
+            [(k % 6, k % 4, k % 5, k % 3, float(k), 2.0 * k, 0.0, 0.1, "ANR"[k % 3], "FO"[k % 2], day) for k in range(40)],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+        ),
+        "part": ([(k, "n", f"B{k}", "T", k, 3.0) for k in range(4)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+    }
+    for name in BASE_TABLES:
+        data, schema = rows.get(name, ([], "unused int"))
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ("po_delivery", "po_in_transit", "item_warehouse", "freight", "lines")
+    plain, stored = Tables(spark, str(tmp_path)), Tables(spark, str(tmp_path))
+    stored.store("lines")
+    for name in names:
+        before, after = getattr(plain, name), getattr(stored, name)
+        assert before.dtypes == after.dtypes and before.count() > 0
+        assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
+    plan = stored.po_delivery._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and "SortMergeJoin" not in plan
+
+
 def test_sessions_bound_tasks_and_methods(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1000

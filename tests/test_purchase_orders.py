@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import modes
 from stowage.operators import eta, extract, freight, leadtime, orders, po
-from stowage.plans import states
+from stowage.plans import intake, states
 from stowage.sources.tables import StoredTable
 
 D = dt.date.fromisoformat
@@ -38,6 +38,37 @@ def test_remaining_tail_and_sublines(spark):
     assert moving == 10.0
 
 
+def test_open_lines_move_once_and_unknown_lines_stay(spark):
+    rows = [
+        open_line("1", 4.0, 9.0, D("2024-01-05")), open_line("1", 3.0, 9.0, None), open_line(None, 4.0, 9.0, D("2024-01-05")),
+        open_line("2", 0.0, None, None), open_line("3", None, 4.0, D("2024-01-02"), comment="c"),
+    ]
+    found = intake.open_order_lines(spark.createDataFrame(rows, OPEN))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted(((r.poline, r.in_transit_qty, r.remaining_qty, r.invoice_date, r.comment, r.remaining_corrected) for r in found.collect()), key=str)
+    assert got == sorted([
+        ("1-1", 4.0, 0.0, D("2024-01-05"), None, 1), ("1-2", 0.0, 3.0, None, "[VIRTUAL_TAIL]", 0), ("1-3", 3.0, 0.0, None, None, 1),
+        # A line without a number keeps its quantities, and gets its tail row.
+        ("1", 4.0, 9.0, D("2024-01-05"), None, 0), ("2", 0.0, 9.0, None, "[VIRTUAL_TAIL]", 0),
+        ("2", 0.0, None, None, None, 0), ("3-1", None, 0.0, D("2024-01-02"), "c", 0), ("3-2", 0.0, 4.0, None, "c[VIRTUAL_TAIL]", 0),
+    ], key=str)
+
+
+def test_lines_move_once_for_all_tables_of_routes(spark):
+    key = "item string, warehouse string, vendor string, mode string"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.createDataFrame([open_line("1", 4.0, 9.0, D("2024-01-05"))], OPEN)
+        smart = spark.createDataFrame([("I", "5", "V", "Air", 28.0)], f"{key}, p60_lead double")
+        master = spark.createDataFrame([("I", "5", 10)], "item string, warehouse string, lead_days int")
+        habits = spark.createDataFrame([], f"{key}, is_batch_prone string, predicted_batch_count int, predicted_batch_qty double, predicted_interval_days double, predicted_tail_share double")
+        plan = eta.enrich_in_transit(lines, smart, master, habits)._jdf.queryExecution().executedPlan().toString()
+        # Lines by item and warehouse, then by vendor and warehouse; the master, learned days and habits once each.
+        assert plan.count("Exchange hashpartitioning") == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_tail_labels_count_on(spark):
     df = spark.createDataFrame([("1-2",), ("7",)], "l string")
     assert [r[0] for r in df.select(po.tail_subline(F.col("l"), F.lit(1))).collect()] == ["1-3", "7-1"]
