@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks.views import BASE_TABLES, Tables
 from stowage.session import checkpoint_folder
 from stowage.functions import modes, numeric, weeks
-from stowage.functions.distribution import describe, described, smoothed
+from stowage.functions.distribution import describe, described, quantile, smoothed
 from stowage.functions.running import dated, first_rows, numbered, stacked
 
 
@@ -136,6 +136,14 @@ def test_described_is_describe_and_smoothed_without_group_buffers(spark):
         assert r.std == (None if stats[g].std is None else pytest.approx(stats[g].std))
 
 
+def test_statistics_sort_a_group_by_value_and_by_date_only(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 2), ("b", 1, 5)], "g string, d int, v int")
+    plan = described(df, ["g"], "d", "v", {"p60": 0.6}, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2
+    plan = quantile(df, ["g"], "v", 0.9, "q")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
 def test_tables_derived_from_stored_lines_are_the_same(spark, tmp_path):
     day = dt.datetime(1996, 1, 2)
     rows = {
