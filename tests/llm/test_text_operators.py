@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,38 @@ def test_broken_blocks_are_found():
         token_output.unpacked([b"NONE" + bytes(payload[4:])])
 
 
+def test_frames_share_their_tables():
+    """Ids without order cost about their entropy, as blocks do not learn the shares of ids anew."""
+    rng = np.random.default_rng(3)
+    odds = 1 / np.arange(1, 20_001)
+    odds /= odds.sum()
+    frames = [rng.choice(20_000, n, p=odds).astype("<u4") * 3 for n in (200_000, 5, 50_000)]
+    payloads = token_output.packed(frames)
+    assert all((a == b).all() for a, b in zip(frames, token_output.unpacked(payloads)))
+    entropy = -(odds * np.log2(odds)).sum()
+    assert 8 * len(payloads[0]) / 200_000 < 1.15 * entropy
+    broken = bytearray(payloads[0])
+    broken[token_output.HEAD + 9] ^= 1
+    with pytest.raises(ValueError, match="tables"):
+        token_output.unpacked([bytes(broken)])
+
+
+def test_words_are_tokenized_once(monkeypatch):
+    """Case and marks at the end make no new words for the library, and the ids are those of the whole text."""
+    encoder = token_output.Encoder(token_output.vocabulary_path())
+    sent, encoded = [], encoder.encoded
+    monkeypatch.setattr(encoder, "encoded", lambda texts: sent.extend(texts) or encoded(texts))
+    texts = ["Word, word. WORD (word) word's, WORD'S; word!?", "word", None, ""]
+    ids, counts = encoder.ids(pa.array(texts), 2)
+    assert " ".join(sent).split().count("word") == 1
+    odd = ["<|ENDOFTEXT|>x, <|endoftext|>, <|endoftext|", "J\u030c, \u0130. ΑΣ, Σ. ﬁ, x\u0301,", "a'S, a'.s 'll' ''s \u0958\u0915. \u1e9e!", "Ａ, ½x. x½, 7x, x7. \x00x, x\x00,", "ǅ. \u0345x, \u2160, x\u200b, Ⅷ", "\x1cx,\x85y. \u3000z,"]
+    for more in ([], odd, [w + m for t in odd for w in t.split(" ") for m in ("", "X", ",.", "'s,", "|>,")]):
+        texts += more
+        ids, counts = encoder.ids(pa.array(texts), 2)
+        whole = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert counts.tolist() == [len(w) for w in whole] and ids.tolist() == [i for w in whole for i in w]
+
+
 @pytest.mark.parametrize("frame_ids", [1 << 20, 64])
 def test_token_files_hold_the_library_ids(spark, monkeypatch, frame_ids):
     monkeypatch.setattr(token_output, "FRAME_IDS", frame_ids)
