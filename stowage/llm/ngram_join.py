@@ -178,6 +178,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     signed = stored(signatures(docs), "signatures")
+    release(spark)
     rows = stored(signed.drop("prefix", "grp"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")).alias("first")
     nodes = signed.where("n_shingles > 0").groupBy("high", "low").agg(first, F.min("grp").alias("grp"), F.count("*").alias("n_docs"))
@@ -192,6 +193,7 @@ def classes(docs: DataFrame) -> DataFrame:
     release(spark)
     crowded = nodes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
     wanted = stored(nodes.join(postings.select("grp").union(crowded).distinct(), "grp", "left_semi"), "wanted")
+    release(spark)
 
     members = wanted.select("grp", "node", "n_docs")
     # The members of a group share prefix and size: compare each with the group's first.
@@ -208,6 +210,8 @@ def classes(docs: DataFrame) -> DataFrame:
         rank = F.struct(-F.col("n_docs") if not round_number else F.lit(0), F.xxhash64("grp", F.lit(round_number)), "grp", "n", "pos", "class")
         live = held.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.min(rank).alias("hub")).where("x <> y")
         live = stored(live.select("key", "hub.grp", "hub.n", "hub.pos", "hub.class"), "live")
+        # The next step moves texts; what was moved up to here is not needed any more.
+        release(spark)
         last = not n_links or MERGED_PART * n_links < n_sets
         if last:
             # Every pair of different classes that passes the filters, of groups and inside groups.

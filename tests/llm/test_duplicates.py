@@ -52,6 +52,16 @@ def test_rounds_of_hubs_lose_nothing(spark, monkeypatch):
     assert got == brute.components(dict(rows))
 
 
+def test_shuffle_files_go_between_large_steps(spark, monkeypatch):
+    steps, real, let_go = [], ngram_join.stored, ngram_join.release
+    monkeypatch.setattr(ngram_join, "stored", lambda df, purpose: (real(df, purpose), steps.append(purpose))[0])
+    monkeypatch.setattr(ngram_join, "release", lambda session: (steps.append("-"), let_go(session)))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words[:50], f"x{k}"])) for k in range(4)] + [(9, "alone in here with five words")]
+    assert {(r.doc_id, r.component_id) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {(0, 0), (1, 0), (2, 0), (3, 0), (9, 9)}
+    assert all(steps[steps.index(step) + 1] == "-" for step in ("signatures", "keys", "wanted", "live"))
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_join.linked(empty).collect() == []
