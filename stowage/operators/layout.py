@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.functions.running import nulls_last, numbered
+from stowage.functions.running import nulls_last, numbered, stacked
 from stowage.session import cut_lineage, materialised
 
 # Items of highest support that give the first bound, and how much larger the next trial is.
@@ -16,6 +20,8 @@ PART_ITEMS = 128
 LARGE_ITEMS, LARGE_SHARE, LARGE_ORDERS = 1024, 64, 4096
 # Items that meet in one task, and the least number of blocks of items.
 BLOCK_ITEMS, BLOCKS = 16384, 16
+# Items of a block that are compared with the other block at once.
+STRIPE = 64
 
 
 def split_coordinates(locations: DataFrame) -> DataFrame:
@@ -109,18 +115,38 @@ def _item_bits(picks: DataFrame, large: DataFrame, words: int) -> DataFrame:
 def _pairs_by_bits(bits: DataFrame, words: int, bound: int) -> DataFrame:
     """(item_a, item_b, _common): in how many large orders both items are, of the pairs that can be in ``bound`` orders altogether.
 
-    Items are dealt into blocks and every two blocks meet in a task, as rows of a few words; no pair is built that the bound rules out.
+    Items are dealt into blocks and every two blocks meet in a task, as rows of a few words that are compared in stripes; no pair is built
+    that the bound rules out.
     """
     blocks = max(BLOCKS, -(-bits.count() // BLOCK_ITEMS))
-    own = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in bits.columns]
-    dealt = bits.withColumn("_own", own)
-    first = dealt.select(*named("a"), F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.lit(blocks - 1))).alias("_j"))
-    second = dealt.select(*named("b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
-    common = sum((F.bit_count(F.col(f"_w{k}_a").bitwiseAND(F.col(f"_w{k}_b"))) for k in range(words)), F.lit(0))
-    able = (common + F.least("_rest_a", "_rest_b") >= bound) & ((F.col("_i") < F.col("_j")) | (F.col("item_a") < F.col("item_b")))
-    met = first.join(second.withColumnsRenamed({"_i": "_i_b", "_j": "_j_b"}), (F.col("_i") == F.col("_i_b")) & (F.col("_j") == F.col("_j_b")) & able)
-    return met.select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), common.cast("long").alias("_common"))
+    dealt = bits.withColumn("_own", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    first = dealt.select(*bits.columns, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.lit(blocks - 1))).alias("_j"), F.lit(False).alias("_second"))
+    earlier = dealt.where("_own > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_own") - 1)).alias("_i"))
+    second = earlier.select(*bits.columns, "_i", F.col("_own").alias("_j"), F.lit(True).alias("_second"))
+    stripe = STRIPE
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        held = [rows[f"_w{k}"].to_numpy().view(np.uint64) for k in range(words)]
+        rest, items = rows["_rest"].to_numpy(), rows["item"].combine_chunks()
+        here = rows["_second"].to_numpy(zero_copy_only=False)
+        own = rows["_i"][0] == rows["_j"][0]
+        a, b = np.flatnonzero(~here), np.flatnonzero(~here if own else here)
+        for at in range(0, len(a), stripe):
+            some = a[at : at + stripe]
+            common = np.zeros((len(some), len(b)), np.uint16)
+            for word in held:
+                common += np.bitwise_count(word[some][:, None] & word[b][None, :])
+            able = common + np.minimum(rest[some][:, None], rest[b][None, :]) >= bound
+            if own:
+                able &= b[None, :] > some[:, None]
+            x, y = np.nonzero(able)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([items.take(pa.array(some[x])), items.take(pa.array(b[y])), pa.array(common[x, y].astype(np.int64))], ["_x", "_y", "_common"])
+
+    # A task for every two blocks, however few bytes they are: the work is in the pairs.
+    met = stacked(first, second).repartition(blocks * (blocks + 1) // 2, "_i", "_j").groupBy("_i", "_j")
+    return met.applyInArrow(compared, "_x string, _y string, _common long").select(F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b"), "_common")
 
 
 def frequent_pairs(lines: DataFrame, count: int = 100) -> DataFrame:

@@ -316,3 +316,23 @@ def test_frequent_pairs_of_large_and_small_orders(spark, monkeypatch, largest):
     found = layout.frequent_pairs(lines, 20).collect()
     assert sorted((-r.co_occurrence, r.item_a, r.item_b) for r in found) == expected
     assert layout._large_orders(lines.dropna().distinct(), 40).count() > 64 // largest
+
+
+def test_blocks_of_items_are_compared_in_stripes(spark, monkeypatch):
+    """Every pair that can reach the bound is met once, within blocks and between them, and no row is made of another."""
+    rng = random.Random(5)
+    monkeypatch.setattr(layout, "BLOCKS", 4)
+    monkeypatch.setattr(layout, "STRIPE", 3)
+    held = {f"i{k}": ({o for o in range(100) if rng.random() < 0.3}, rng.randrange(3)) for k in range(60)}
+    mask = lambda orders, w: sum(1 << (o % 64) for o in orders if o // 64 == w)
+    signed = lambda n: n - 2**64 if n >= 2**63 else n
+    rows = [(item, signed(mask(orders, 0)), signed(mask(orders, 1)), rest) for item, (orders, rest) in held.items()]
+    bits = spark.createDataFrame(rows, "item string, _w0 bigint, _w1 bigint, _rest bigint")
+    for bound in (1, 14):
+        met = layout._pairs_by_bits(bits, 2, bound)
+        expected = sorted(
+            (a, b, len(held[a][0] & held[b][0])) for a, b in combinations(sorted(held), 2) if len(held[a][0] & held[b][0]) + min(held[a][1], held[b][1]) >= bound
+        )
+        assert sorted(tuple(r) for r in met.collect()) == expected
+        assert "Join" not in met._jdf.queryExecution().executedPlan().toString()
+    assert layout._pairs_by_bits(bits.limit(0), 2, 1).collect() == []
