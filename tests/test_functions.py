@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.views import BASE_TABLES, Tables
-from stowage.session import checkpoint_folder
+from stowage.session import checkpoint_folder, materialised
 from stowage.functions import modes, numeric, weeks
 from stowage.functions.distribution import describe, described, quantile, smoothed
 from stowage.functions.running import dated, first_rows, numbered, stacked
@@ -188,3 +190,24 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     for master in ("yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             checkpoint_folder(None, master)
+
+
+def test_statistics_of_a_group_take_two_windows(spark):
+    rows = spark.createDataFrame([("a", dt.date(2024, 1, d), v) for d, v in ((1, 3), (1, 5), (2, 3), (3, 9), (4, 5))], "k string, day date, v int")
+    spread = described(rows, ["k"], "day", "v", {"p60": 0.6, "p90": 0.9}, 0.5)
+    assert spread._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    (row,) = spread.collect()
+    assert (row.samples, row.mean, row.typical, row.p60) == (5, 5.0, 3.0, 5.0) and abs(row.p90 - 7.4) < 1e-9 and row.recent == 0.5 * 5 + 0.25 * 9 + 0.125 * 3 + 0.0625 * 5 + 0.0625 * 3
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for top in folders for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_"))
+    before = held()
+    stored = materialised(spark.range(400000).groupBy((F.col("id") % 300000).alias("k")).agg(F.sum("id").alias("s")))
+    assert stored.count() == 300000
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
