@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.functions import modes
-from stowage.operators import eta, extract, freight, leadtime, orders, po
+from stowage.operators import delivery, eta, extract, freight, leadtime, orders, po, routes
 from stowage.plans import intake, states
 from stowage.sources.tables import StoredTable
 
@@ -260,3 +260,38 @@ def test_late_rows_reopen_only_their_groups(spark, tmp_path, monkeypatch):
             spark.sql(f"DROP TABLE IF EXISTS results_{i}")
     # V is opened where P1's last batch leaves it, W and U where the new rows are.
     assert opened == [[("U", "5"), ("W", "5")]] * 4 + [[("U", "5"), ("V", "5"), ("W", "5")]] * 2
+
+
+def test_sublines_and_splits_of_records_in_one_shuffle(spark):
+    closed = lambda n, line, day: (n, line, "V", "5", "I", 1.0, 1.0, D("2024-01-01"), D(day), D("2024-02-01"), 3, 5, "Air", "Y")
+    rows = [closed("P", "1", "2024-01-05"), closed("P", "1", "2024-01-03"), closed("P", "1-7", "2024-01-02"), closed("P", "2", "2024-01-05"), closed("Q", None, "2024-01-05"), closed(None, "1", "2024-01-06")]
+    schema = (
+        "ponum string, poline string, vendor string, warehouse string, item string, ordered_qty double, received_qty double, po_entry_date date, invoice_date date, "
+        "delivery_date date, prepare_days int, transport_days int, mode string, is_closed string"
+    )
+    history = spark.createDataFrame(rows, schema)
+    moving = spark.createDataFrame([open_line("2", 4.0, 0.0, D("2024-01-09"))], OPEN)
+    records = delivery.delivery_records(history, moving)
+    found = {(r.ponum, r.unified_poline, r.invoice_date.day): (r.base_poline, r.is_split) for r in records.collect()}
+    assert found == {
+        ("P", "1-1", 3): ("1", True), ("P", "1-2", 5): ("1", True), ("P", "1-7", 2): ("1", True), ("P", "2-1", 5): ("2", True), ("P", "2-2", 9): ("2", True),
+        ("Q", None, 5): (None, None), (None, "1", 6): ("1", None),
+    }
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    # The lines move once, by what both windows share; none is joined to its own count.
+    assert plan.count("base_poline") and "Join LeftOuter, ((ponum" not in plan
+
+
+def test_routes_are_the_active_modes_of_partners(spark):
+    universe = spark.createDataFrame([("A", "5"), ("B", "5")], "item string, warehouse string")
+    preference = spark.createDataFrame([("A", "5", "V", "Air", 0.9), ("A", "5", "V", "Train", 0.5), ("A", "5", "W", "Air", 0.05), ("B", "5", None, "Air", 0.9), ("C", "5", "W", "Air", 0.9)], "item string, warehouse string, vendor string, mode string, confidence double")
+    stats = spark.createDataFrame([("V", "5", "Vessel", 30.0, 2.0), ("V", "5", "Air", 4.6, None), ("W", "5", "Train", 9.0, 1.0)], "vendor string, warehouse string, mode string, p60_days double, cost_per_kg double")
+    vendors = spark.createDataFrame([("V", "Air", 5, "Y"), ("V", "Vessel", 28, "Y"), ("V", "Train", 9, "N"), ("W", "Air", 6, "Y"), ("W", "Train", 8, "N")], "vendor string, mode string, static_days int, is_active string")
+    items = spark.createDataFrame([("A", "V"), ("B", "W"), ("C", "W")], "item string, vendor string")
+    found = routes.candidate_routes(universe, preference, stats, vendors, items)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("A", "5", "V", "Air", True, 4, 0.0), ("A", "5", "V", "Vessel", True, 30, 2.0), ("B", "5", "W", "Air", False, 6, 99999.0),
+    ]
+    assert sorted(tuple(r) for r in routes.candidate_routes(universe, preference, stats, vendors, items, vendor_paths=False).collect()) == [("A", "5", "V", "Air", True, 4, 0.0)]
+    # Routes are not built by mode three times over to be told apart afterwards.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
