@@ -220,11 +220,16 @@ class StoredTable:
             return {UNDATED}
         return {r[0] for r in df.select(month_of(self.date)).distinct().collect()}
 
-    def _incoming(self, df: DataFrame) -> DataFrame | None:
-        """The rows to write, in the table's columns; none if there is nothing to write."""
+    def _fitting(self, df: DataFrame) -> DataFrame:
+        """The rows to write, in the table's columns."""
         rows = without_blank_rows(df)
         if self.exists():
             rows = fitted(rows, self.versions.load()[0].names if self.date else self.read().columns)
+        return rows
+
+    def _incoming(self, df: DataFrame) -> DataFrame | None:
+        """The rows to write, in the table's columns; none if there is nothing to write."""
+        rows = self._fitting(df)
         return None if rows.isEmpty() else rows
 
     def _location(self) -> str:
@@ -232,9 +237,11 @@ class StoredTable:
         return rows[0]["data_type"]
 
     def _switch(self, df: DataFrame) -> None:
-        """Write all of the table to a new folder and point the table at it."""
+        """Write all of the table to a new folder and point the table at it, if there is a row."""
         folder = self._folder("rows")
         df.write.parquet(folder)
+        if self.spark.read.schema(df.schema).parquet(folder).isEmpty():
+            return self._remove(folder)
         if self.exists():
             properties = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()}
             current = self._location()
@@ -248,11 +255,14 @@ class StoredTable:
         self.spark.catalog.refreshTable(self.name)
 
     def _commit(self, df: DataFrame, replaced: Collection[str] | None = ()) -> None:
-        """Make a version in which ``df`` is the whole content of the replaced months (None: of all) and is added to others."""
+        """Make a version in which ``df`` is the whole content of the replaced months (None: of all, if there is a row) and is added to others."""
         start = (self.versions.numbers() or [None])[-1]
         parts = self.versions.load(start)[1] if start is not None else []
         kept = [p for p in parts if replaced is not None and p.month not in replaced]
-        self.versions.commit(df.schema, kept + self.versions.write(df, self.date), start)
+        written = self.versions.write(df, self.date)
+        if not written and replaced is None:
+            return
+        self.versions.commit(df.schema, kept + written, start)
         self.versions.clean()
 
     def _in_months(self, months: set[str]) -> DataFrame:
@@ -281,10 +291,8 @@ class StoredTable:
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
     def overwrite(self, df: DataFrame) -> None:
-        """S10."""
-        rows = self._incoming(df)
-        if rows is None:
-            return
+        """S10. The rows are worked out once: whether there are any is seen from what was written."""
+        rows = self._fitting(df)
         if self.date:
             return self._commit(self._completed(rows) if self.exists() else rows, None)
         self._switch(rows)

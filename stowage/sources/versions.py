@@ -171,6 +171,8 @@ class Versions:
         # Rows of a month meet in few tasks, as many as its size asks for: no month is one task, no task writes a file for every month.
         df.withColumn(MONTH, month_of(date)).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(folder)
         parts = [Part(m.split("=", 1)[1], id_) for m in sorted(self._entries(folder)) if m.startswith(f"{MONTH}=")]
+        if not parts:
+            self._remove(folder)
         if not parts or not self.keys:
             return parts
         written = self.rows(df.schema, parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.params import ForecastParams
 from stowage.sources import readers, tables
@@ -330,3 +331,28 @@ def test_narrowing_refuses_lossy_columns_by_name(spark):
     large = spark.createDataFrame([(3e10,)], "a double")
     assert readers.narrow_types(large, {"a": "int"}, strict=False).dtypes == [("a", "double")]
     assert readers.narrow_types(large, {"a": "bigint"}).first().a == 30_000_000_000
+
+
+def test_an_overwrite_works_its_input_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, dt.date(2024, 1 + i % 3, 1)) for i in range(90)], "k int, day date").mapInArrow(counted, "k int, day date")
+    grouped = rows.groupBy("day").agg(F.count("k").alias("n"))
+    for name, date in (("once_whole", None), ("once_by_month", "day")):
+        table = tables.StoredTable(spark, name, str(tmp_path / name), date)
+        try:
+            before = seen.value
+            table.overwrite(grouped)
+            assert seen.value - before == 90
+            # An empty input changes nothing, and leaves nothing behind.
+            table.overwrite(grouped.where("n < 0"))
+            assert sorted(r.n for r in table.read().collect()) == [30, 30, 30]
+            folders = [p.name for p in (tmp_path / name / "parts" if date else tmp_path / name).iterdir() if not p.name.startswith(".")]
+            assert len(folders) == 1
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
